@@ -175,7 +175,8 @@ def compare_departments(star: Star, departments: Sequence[str], lo: dt.date, hi:
     """One row per listed department; 0 when it has no hours."""
     fact = _hours_per(star.work_hour.where(overlaps(lo, hi)), "employee_id")
     spark = star.employee.sparkSession
-    listed = spark.createDataFrame([(d,) for d in dict.fromkeys(departments)], "department STRING")
+    names = F.array(*(F.lit(d) for d in dict.fromkeys(departments)))
+    listed = spark.range(1).select(F.explode(names).alias("department"))
     sums = (
         _of_employees(star, fact, F.col("department").isin(*departments))
         .groupBy("department").agg(F.sum("hours").alias("hours"))

@@ -44,3 +44,66 @@ def star(spark: SparkSession, base: str) -> Star:
         start.alias("start_date"), F.date_add(start, F.col("l_linenumber")).alias("end_date"),
     )
     return Star(employee, project, work_hour)
+
+
+# The question shapes of the derived question log.
+QUESTION_SHAPES = (
+    "How many hours did {e} work on the {p} project in {q}?",
+    "What projects did {e} work on in {m}?",
+    "Who worked on the {p} project in {y}?",
+    "How many hours did {e} work in {q}?",
+    "How many hours were spent on the {p} project in {w}?",
+    "Compare the hours worked by {e} and {e2} in {q}",
+    "Compare the hours spent on {i} and {i2} in {m}",
+    "Which projects had the most hours in last quarter?",
+    "Which employees worked the most hours in this year?",
+    "List all hours for {e} by project in {q}",
+    "How many hours did employees in {d} work in {q}?",
+    "Send 12.5% of the {t} report on {i} to user{k}@example.com for 40 people",
+    "How many hours did they work in {q}?",
+)
+
+
+def question_parts(spark: SparkSession, base: str) -> DataFrame:
+    """Orders with the words a question about them uses (one row per order)."""
+    s = star(spark, base)
+    people = s.employee.select("uuid", "name", "department")
+    day = F.col("o_orderdate").cast("date")
+    orders = table(spark, base, "orders").select(
+        F.col("o_orderkey").alias("question_id"), F.col("o_custkey").alias("session_id"),
+        F.col("o_orderdate").alias("ts"), day.alias("day"),
+        F.expr("o_custkey div 15").alias("ek"), F.expr("(o_orderkey * 2) div 15").alias("pk"),
+    )
+    second = people.select(F.col("uuid").alias("ek2"), F.col("name").alias("e2"))
+    return (
+        orders.join(people, F.col("ek") == F.col("uuid"))
+        .withColumn("ek2", F.col("ek").bitwiseXOR(F.lit(1).cast("long")))
+        .join(second, "ek2")
+        .join(s.project.select(F.col("uuid").alias("pk"), F.col("name").alias("p")), "pk")
+        .select(
+            "question_id", "session_id", "ts", "day",
+            F.pmod("question_id", F.lit(len(QUESTION_SHAPES))).cast("int").alias("shape"),
+            F.col("name").alias("e"), "e2", "p", F.col("department").alias("d"),
+            F.concat(F.lit("Q"), F.quarter("day").cast("string"), F.lit(" "), F.year("day").cast("string")).alias("q"),
+            F.date_format("day", "MMMM yyyy").alias("m"), F.year("day").cast("string").alias("y"),
+            F.concat(
+                F.element_at(F.array(*(F.lit(w) for w in ("first", "second", "third", "fourth"))), F.quarter("day")),
+                F.lit(" quarter of "), F.year("day").cast("string"),
+            ).alias("w"),
+            F.concat(F.lit("P-"), _text("pk")).alias("i"),
+            F.concat(F.lit("P-"), F.col("pk").bitwiseXOR(F.lit(1).cast("long")).cast("string")).alias("i2"),
+            F.date_format("day", "yyyy-MM-dd").alias("t"), F.col("session_id").cast("string").alias("k"),
+        )
+    )
+
+
+def questions(spark: SparkSession, base: str) -> DataFrame:
+    """Question log derived from orders: question_id, session_id, ts, text."""
+    parts = question_parts(spark, base)
+    text = F
+    for number, shape in enumerate(QUESTION_SHAPES):
+        pieces = []
+        for index, piece in enumerate(shape.replace("}", "{").split("{")):
+            pieces.append(F.col(piece) if index % 2 else F.lit(piece))
+        text = text.when(F.col("shape") == number, F.concat(*pieces))
+    return parts.select("question_id", "session_id", "ts", text.alias("text"))
