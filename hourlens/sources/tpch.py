@@ -57,7 +57,7 @@ QUESTION_SHAPES = (
     "Compare the hours spent on {i} and {i2} in {m}",
     "Which projects had the most hours in last quarter?",
     "Which employees worked the most hours in this year?",
-    "List all hours for {e} by project in {q}",
+    "List all hours for {a} by project in {q}",
     "How many hours did employees in {d} work in {q}?",
     "Send 12.5% of the {t} report on {i} to user{k}@example.com for 40 people",
     "How many hours did they work in {q}?",
@@ -83,7 +83,7 @@ def question_parts(spark: SparkSession, base: str) -> DataFrame:
         .select(
             "question_id", "session_id", "ts", "day",
             F.pmod("question_id", F.lit(len(QUESTION_SHAPES))).cast("int").alias("shape"),
-            F.col("name").alias("e"), "e2", "p", F.col("department").alias("d"),
+            F.col("name").alias("e"), F.concat(F.lit("Staff "), _text("ek")).alias("a"), "e2", "p", F.col("department").alias("d"),
             F.concat(F.lit("Q"), F.quarter("day").cast("string"), F.lit(" "), F.year("day").cast("string")).alias("q"),
             F.date_format("day", "MMMM yyyy").alias("m"), F.year("day").cast("string").alias("y"),
             F.concat(
@@ -107,3 +107,37 @@ def questions(spark: SparkSession, base: str) -> DataFrame:
             pieces.append(F.col(piece) if index % 2 else F.lit(piece))
         text = text.when(F.col("shape") == number, F.concat(*pieces))
     return parts.select("question_id", "session_id", "ts", text.alias("text"))
+
+
+def dictionary(spark: SparkSession, base: str) -> DataFrame:
+    """Known names by type: people, projects, departments, work types."""
+    def names(kind: str, source: DataFrame, column) -> DataFrame:
+        return source.select(F.lit(kind).alias("entity_type"), column.alias("entity")).distinct()
+
+    return (
+        names("employee", table(spark, base, "supplier"), F.col("s_name"))
+        .unionByName(names("project", table(spark, base, "part"), F.col("p_name")))
+        .unionByName(names("department", table(spark, base, "nation"), F.col("n_name")))
+        .unionByName(names("work_type", table(spark, base, "lineitem"), F.concat("l_returnflag", "l_linestatus")))
+    )
+
+
+def aliases(spark: SparkSession, base: str) -> DataFrame:
+    """Aliases by type. Departments share their region's name, so those aliases collide."""
+    def rows(kind: str, source: DataFrame, canonical: str, seq: str, *spellings) -> DataFrame:
+        listed = F.array(*spellings)
+        return source.select(
+            F.lit(kind).alias("entity_type"), F.col(canonical).alias("canonical"),
+            F.col(seq).cast("int").alias("canonical_seq"), F.posexplode(listed).alias("alias_seq", "alias"),
+        ).select("entity_type", "canonical", "canonical_seq", "alias", "alias_seq")
+
+    region = table(spark, base, "region")
+    nation = table(spark, base, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    project = table(spark, base, "part").groupBy("p_name").agg(F.min("p_partkey").alias("seq"))
+    return (
+        rows("employee", table(spark, base, "supplier"), "s_name", "s_suppkey",
+             F.concat(F.lit("S-"), _text("s_suppkey")), F.concat(F.lit("Staff "), _text("s_suppkey")))
+        .unionByName(rows("department", nation, "n_name", "n_nationkey",
+                          F.col("r_name"), F.concat(F.lit("Dept "), _text("n_nationkey"))))
+        .unionByName(rows("project", project, "p_name", "seq", F.concat(F.lit("Project "), _text("seq"))))
+    )

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-GROUPS = ("reports", "texts")
+GROUPS = ("reports", "texts", "names")
 
 
 def register(key: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -22,7 +22,7 @@ def _shape_sql(shape: str) -> str:
 PARTS_SQL = STAR_SQL + f""",
 parts AS (
   SELECT o_orderkey AS question_id, o_custkey AS session_id, o_orderdate AS ts, CAST(o_orderdate AS DATE) AS day,
-         o_orderkey % {len(QUESTION_SHAPES)} AS shape, e1.name AS e, e2.name AS e2, e1.department AS d, j.name AS p,
+         o_orderkey % {len(QUESTION_SHAPES)} AS shape, e1.name AS e, 'Staff ' || e1.uuid AS a, e2.name AS e2, e1.department AS d, j.name AS p,
          'Q' || quarter(o_orderdate) || ' ' || year(o_orderdate) AS q, strftime(o_orderdate, '%B %Y') AS m,
          CAST(year(o_orderdate) AS VARCHAR) AS y,
          ['first', 'second', 'third', 'fourth'][quarter(o_orderdate)] || ' quarter of ' || year(o_orderdate) AS w,
