@@ -51,7 +51,10 @@ GRAMMAR = (
     ("time_period", "year", YEAR),
     ("number", "number", NUMBER),
 )
-LEXER = "|".join(pattern for _, _, pattern in GRAMMAR)
+# One group per grammar entry; every entry starts at a word boundary.
+LEXER = r"\b(?:" + "|".join(
+    "(" + pattern.replace(r"|\b", "|").removeprefix(r"\b") + ")" for _, _, pattern in GRAMMAR
+) + ")"
 
 # The order in which types take their placeholders.
 TYPE_ORDER = (
@@ -78,53 +81,51 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def form_of(match: Column) -> Column:
-    """Sub-form of a lexer match (quarter, month_year, year, date, email, ...)."""
-    out = F
-    for _, form, pattern in GRAMMAR:
-        out = out.when(F.rlike(match, F.lit(f"^(?:{pattern})$")), F.lit(form))
-    return out
+SPAN = "struct<start:int,end:int,group:int,value:string>"
+_OPEN, _NEXT, _CLOSE = "\x01", "\x03", "\x02"
 
 
-def type_of(match: Column) -> Column:
-    out = F
-    for kind, _, pattern in GRAMMAR:
-        out = out.when(F.rlike(match, F.lit(f"^(?:{pattern})$")), F.lit(kind))
-    return out
+def spans(text: Column, pattern: str, groups: int = 1) -> Column:
+    """array<struct<start, end, group, value>> of the whole matches (0-based, end exclusive).
 
+    ``pattern`` consists of ``groups`` capturing groups of which one matches;
+    ``group`` is its number. One regex pass marks the matches, a plain split
+    takes the marked text apart, and the piece lengths give exact positions.
+    """
+    plain = F.translate(text, _OPEN + _NEXT + _CLOSE, "   ")
+    marks = _OPEN + _NEXT.join(f"${g + 1}" for g in range(groups)) + _CLOSE
+    pieces = F.split(F.regexp_replace(plain, pattern, marks), f"(?={_OPEN})|{_CLOSE}", -1)
+    nothing = F.array().cast(f"array<{SPAN}>")
+
+    def step(acc: Column, piece: Column) -> Column:
+        hit = F.startswith(piece, F.lit(_OPEN))
+        parts = F.split(F.substring(piece, F.lit(2), F.length(piece)), _NEXT, -1)
+        value = F.array_join(parts, "")
+        group = F.array_position(F.transform(parts, lambda part: part != ""), True)
+        lo = acc["at"]
+        hi = lo + F.when(hit, F.length(piece) - groups).otherwise(F.length(piece))
+        item = F.struct(lo.alias("start"), hi.alias("end"), group.cast("int").alias("group"), value.alias("value"))
+        out = F.when(hit, F.concat(acc["out"], F.array(item))).otherwise(acc["out"])
+        return F.struct(hi.alias("at"), out.alias("out"))
 
-def mentions_of_form(text: Column, *forms: str) -> Column:
-    """Distinct matches of the given sub-forms, in order of first appearance."""
-    found = F.filter(matches(text, LEXER), lambda m: form_of(m).isin(*forms))
-    return F.array_distinct(found)
+    start = F.struct(F.lit(0).alias("at"), nothing.alias("out"))
+    return F.coalesce(F.aggregate(pieces, start, step, lambda acc: acc["out"]), nothing)
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the whole matches (0-based, end exclusive).
+def lex(text: Column) -> Column:
+    """Spans of the whole grammar; ``group`` counts from 1 in GRAMMAR."""
+    return spans(text, LEXER, len(GRAMMAR))
 
-    The texts between the matches come from a split on the same pattern, so the
-    positions are exact.
-    """
-    gaps = F.split(text, pattern, -1)
-    found = matches(text, pattern)
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.lit(None).cast("array<struct<start:int,end:int,value:string>>").alias("out"),
-    )
 
-    def step(acc: Column, pair: Column) -> Column:
-        lo = acc["at"] + F.length(pair["gap"])
-        hi = lo + F.length(pair["match"])
-        item = F.struct(lo.alias("start"), hi.alias("end"), pair["match"].alias("value"))
-        out = F.concat(F.coalesce(acc["out"], F.array().cast("array<struct<start:int,end:int,value:string>>")), F.array(item))
-        return F.struct(hi.alias("at"), out.alias("out"))
+def type_of(group: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(kind) for kind, _, _ in GRAMMAR)), group)
 
-    pairs = F.zip_with(
-        F.slice(gaps, F.lit(1), F.size(found)), found,
-        lambda g, m: F.struct(g.alias("gap"), m.alias("match")),
-    )
-    folded = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.coalesce(folded, F.array().cast("array<struct<start:int,end:int,value:string>>"))
+
+def mentions_of_form(text: Column, *forms: str) -> Column:
+    """Distinct matches of the given sub-forms, in order of first appearance."""
+    wanted = [i + 1 for i, (_, form, _) in enumerate(GRAMMAR) if form in forms]
+    found = F.filter(lex(text), lambda s: s["group"].isin(*wanted))
+    return F.array_distinct(F.transform(found, lambda s: s["value"]))
 
 
 def type_rank(kind: Column) -> Column:
@@ -145,16 +146,14 @@ def mention(start: Column, end: Column, kind: Column, value: Column, canonical:
 
 def pattern_mentions(text: Column) -> Column:
     """array<mention> of every lexer match in the text."""
-    return F.transform(
-        spans(text, LEXER), lambda s: mention(s["start"], s["end"], type_of(s["value"]), s["value"])
-    )
+    return F.transform(lex(text), lambda s: mention(s["start"], s["end"], type_of(s["group"]), s["value"]))
 
 
 def chinese_mentions(text: Column) -> Column:
     """array<mention> of the Chinese and mixed patterns (matches of at least 2 characters)."""
     found = [
         F.transform(
-            F.filter(spans(text, pattern), lambda s: F.length(F.trim(s["value"])) >= 2),
+            F.filter(spans(text, f"({pattern})"), lambda s: F.length(F.trim(s["value"])) >= 2),
             lambda s, kind=kind: mention(s["start"], s["end"], F.lit(kind), s["value"]),
         )
         for kind, pattern in CHINESE_GRAMMAR
@@ -203,50 +202,54 @@ def keep_longest(found: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda acc: acc["kept"])
 
 
-def _identity(m: Column) -> Column:
-    return F.struct(m["type"].alias("type"), F.lower(F.coalesce(m["canonical"], m["value"])).alias("key"))
+def entity_keys(kept: Column) -> Column:
+    """One key per kept mention: its type and its name, or its value where no name is known."""
+    return F.transform(kept, lambda m: F.concat_ws(":", m["type"], F.lower(F.coalesce(m["canonical"], m["value"]))))
 
 
-def number_mentions(kept: Column) -> Column:
-    """One entry per distinct value and type, numbered within the type.
+def number_mentions(kept: Column, keys: Column) -> Column:
+    """One entry per distinct key, numbered within its type.
 
     Longer values come first, ties in text order. Names with the same
     canonical form are one entity.
     """
-    firsts = F.filter(
-        F.transform(kept, lambda m, i: F.struct(m.alias("m"), i.alias("i"))),
-        lambda e: ~F.exists(
-            F.slice(kept, F.lit(1), e["i"]), lambda o: _identity(o) == _identity(e["m"])
-        ),
-    )
-    width = lambda m: F.length(m["value"])
-
-    def ordinal(e: Column) -> Column:
-        return F.size(F.filter(firsts, lambda o: (o["m"]["type"] == e["m"]["type"]) & (
-            (width(o["m"]) > width(e["m"])) | ((width(o["m"]) == width(e["m"])) & (o["i"] < e["i"])))))
+    entries = F.zip_with(kept, keys, lambda m, k: F.struct(m.alias("m"), k.alias("k")))
+    firsts = F.filter(entries, lambda e, i: F.array_position(keys, e["k"]) == i + 1)
+    ordered = F.array_sort(F.transform(firsts, lambda e: F.struct(
+        e["m"]["type"].alias("type"), (-F.length(e["m"]["value"])).alias("width"),
+        e["m"]["start"].alias("start"), e["m"]["value"].alias("value"),
+        e["m"]["canonical"].alias("canonical"), e["k"].alias("key"),
+    )))
+
+    def entry(e: Column, i: Column, types: Column) -> Column:
+        first = F.array_position(types, e["type"]) - 1
+        return F.struct(
+            e["type"].alias("entity_type"), (i - first).cast("int").alias("ordinal"),
+            e["value"].alias("value"), e["canonical"].alias("canonical"), e["key"].alias("key"),
+        )
 
-    return F.transform(firsts, lambda e: F.struct(
-        e["m"]["type"].alias("entity_type"), ordinal(e).alias("ordinal"), e["m"]["value"].alias("value"),
-        e["m"]["canonical"].alias("canonical"), _identity(e["m"])["key"].alias("key"),
-    ))
+    # A one-element array binds the sorted list once for the lambda below.
+    return F.flatten(F.transform(F.array(ordered), lambda sorted_: F.transform(
+        sorted_, lambda e, i: entry(e, i, F.transform(sorted_, lambda o: o["type"])))))
 
 
 def placeholder(kind: Column, ordinal: Column) -> Column:
     return F.concat(F.lit("{"), kind, F.lit("_"), ordinal.cast("string"), F.lit("}"))
 
 
-def skeleton(text: Column, kept: Column, numbered: Column) -> Column:
+def skeleton(text: Column, kept: Column, keys: Column, numbered: Column) -> Column:
     """The text with every kept mention replaced by its ``{type_n}`` placeholder."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    numbers = F.transform(numbered, lambda n: n["key"])
 
-    def slot(m: Column) -> Column:
-        own = F.filter(numbered, lambda n: (n["entity_type"] == m["type"]) & (n["key"] == _identity(m)["key"]))
-        return placeholder(m["type"], F.element_at(own, 1)["ordinal"])
-
-    def step(acc: Column, m: Column) -> Column:
+    def step(acc: Column, e: Column) -> Column:
+        m = e["m"]
+        own = F.element_at(numbered, F.array_position(numbers, e["k"]).cast("int"))
         gap = F.substring(text, acc["at"] + 1, m["start"] - acc["at"])
-        return F.struct((-m["neg_end"]).alias("at"), F.concat(acc["out"], gap, slot(m)).alias("out"))
+        slot = placeholder(m["type"], own["ordinal"])
+        return F.struct((-m["neg_end"]).alias("at"), F.concat(acc["out"], gap, slot).alias("out"))
 
+    entries = F.zip_with(kept, keys, lambda m, k: F.struct(m.alias("m"), k.alias("k")))
     return F.aggregate(
-        kept, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+        entries, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     )

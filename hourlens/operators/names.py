@@ -173,7 +173,7 @@ def containment_pairs(
     """
     def indexed(df: DataFrame, text: str) -> DataFrame:
         shortest = F.ceil(F.length(text) * F.lit(min_ratio) - F.lit(1e-9))
-        return df.select("*", F.explode(substrings(F.col(text), shortest)).alias("_piece"))
+        return df.select("*", F.explode_outer(substrings(F.col(text), shortest)).alias("_piece"))
 
     a = indexed(left, left_text).join(right.withColumn("_piece", F.col(right_text)), [*on, "_piece"])
     b = left.withColumn("_piece", F.col(left_text)).join(indexed(right, right_text), [*on, "_piece"])
@@ -224,7 +224,7 @@ def rows_containing(values: DataFrame, value: str, dim: DataFrame, key: str, col
     pieces = F.array_distinct(F.flatten(F.array(*(
         F.coalesce(substrings(F.lower(F.col(c)), F.lit(1)), F.array().cast("array<string>")) for c in columns
     ))))
-    index = dim.select(F.col(key), F.explode(pieces).alias("_piece"))
+    index = dim.select(F.col(key), F.explode_outer(pieces).alias("_piece"))
     return index.join(needles, "_piece").select(value, key).distinct()
 
 
@@ -250,12 +250,14 @@ def _starts_chinese(name: Column) -> Column:
     return F.rlike(name, F.lit(f"^[{X.CJK}]"))
 
 
-def name_sizes(names: DataFrame) -> tuple[int, int]:
+def name_sizes(dictionary: DataFrame, aliases: DataFrame | None = None) -> tuple[int, int]:
     """Most words in a Latin name and most characters in a Chinese one (one small job)."""
-    name = F.col("name")
-    words = F.size(X.matches(name, WORD))
-    row = names.agg(
-        F.max(F.when(~_starts_chinese(name), words)).alias("words"),
+    name = F.trim("name")
+    named = dictionary.select(F.col("entity").alias("name"))
+    if aliases is not None:
+        named = named.union(aliases.select(F.explode(F.array("canonical", "alias"))))
+    row = named.agg(
+        F.max(F.when(~_starts_chinese(name), F.size(X.matches(name, WORD)))).alias("words"),
         F.max(F.when(_starts_chinese(name), F.length(name))).alias("characters"),
     ).first()
     return row.words or 0, row.characters or 0
@@ -291,20 +293,22 @@ def _chinese_pieces(text: Column, longest: int) -> Column:
         F.array().cast("array<struct<start:int,end:int,piece:string>>"))
 
 
-def dictionary_hits(texts: DataFrame, names: DataFrame, key: str = "question_id", text: str = "text") -> DataFrame:
+def dictionary_hits(
+    texts: DataFrame, names: DataFrame, sizes: tuple[int, int], key: str = "question_id", text: str = "text"
+) -> DataFrame:
     """Every known name in every text: (key, start, end, entity_type, value, canonical).
 
     Latin names match whole words, ignoring case; Chinese names match anywhere.
     The runs of words of a text are joined by equality with the names, which
     Spark broadcasts while they are small and hash-shuffles when they are not.
     """
-    words, characters = name_sizes(names)
+    words, characters = sizes
     body = F.col(text)
-    tokens = texts.select(key, text, X.spans(body, WORD).alias("_tokens"))
+    tokens = texts.select(key, text, X.spans(body, f"({WORD})").alias("_tokens"))
     pieces = _runs(body, F.col("_tokens"), max(words, 1))
     if characters:
         pieces = F.concat(pieces, _chinese_pieces(body, characters))
-    candidates = tokens.select(key, text, F.explode(pieces).alias("_p"))
+    candidates = tokens.select(key, text, F.explode_outer(pieces).alias("_p"))
     # A name may begin or end with punctuation that is not part of its words.
     edges = r"^[^\p{L}\p{N}_]+"
     trimmed = F.regexp_replace(F.regexp_replace(F.lower("name"), edges, ""), r"[^\p{L}\p{N}_]+$", "")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from hourlens.functions import extract as X
 from hourlens.functions.normalize import normalize_value
-from hourlens.operators.names import dictionary_hits, known_names
+from hourlens.operators.names import dictionary_hits, known_names, name_sizes
+from hourlens.operators.partitioning import spread
 
 
 def _mask(text, kept):
@@ -31,13 +32,15 @@ def find_mentions(
     Pattern mentions are found where the text lies. Only dictionary hits are
     grouped by question, and a question's hits are bounded by its length.
     """
+    questions = spread(questions)
     text = F.col("text")
     none = F.array().cast(f"array<{X.MENTION}>")
     found = questions.withColumn("_found", X.pattern_mentions(text))
     if dictionary is not None:
         names = known_names(dictionary, aliases)
+        sizes = name_sizes(dictionary, aliases)
         hit = X.mention(F.col("start"), F.col("end"), F.col("entity_type"), F.col("value"), F.col("canonical"))
-        hits = dictionary_hits(questions, names).groupBy("question_id").agg(
+        hits = dictionary_hits(questions, names, sizes).groupBy("question_id").agg(
             F.collect_list(hit).alias("_hits")
         )
         found = found.join(hits, "question_id", "left").withColumn(
@@ -49,20 +52,23 @@ def find_mentions(
         found = found.withColumn(
             "kept", F.when(X.has_chinese(text), X.keep_longest(F.concat("kept", rest))).otherwise(F.col("kept"))
         )
-    numbered = found.drop("_found").withColumn("numbered", X.number_mentions(F.col("kept")))
+    keyed = found.drop("_found").withColumn("keys", X.entity_keys(F.col("kept")))
+    numbered = keyed.withColumn("numbered", X.number_mentions(F.col("kept"), F.col("keys")))
     day = F.col(as_of).cast("date")
     entities = F.transform("numbered", lambda n: F.struct(
         n["entity_type"].alias("entity_type"), n["ordinal"].alias("ordinal"), n["value"].alias("value"),
         F.coalesce(n["canonical"], normalize_value(n["value"], n["entity_type"], day)).alias("normalized"),
     ))
-    return numbered.withColumn("skeleton", X.skeleton(text, F.col("kept"), F.col("numbered"))).withColumn(
-        "entities", entities
-    ).drop("kept", "numbered")
+    filled = X.skeleton(text, F.col("kept"), F.col("keys"), F.col("numbered"))
+    return numbered.withColumn("skeleton", filled).withColumn("entities", entities).drop(
+        "kept", "keys", "numbered"
+    )
 
 
 def mentions_long(extracted: DataFrame) -> DataFrame:
     """One row per question and entity: question_id, entity_type, ordinal, value, normalized."""
-    return extracted.select("question_id", F.inline("entities"))
+    rows = extracted.select("question_id", F.inline_outer("entities"))
+    return rows.where(F.col("entity_type").isNotNull())
 
 
 def entity_map(extracted: DataFrame) -> DataFrame:

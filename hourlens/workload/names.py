@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hourlens.functions import extract as X
 from hourlens.operators import names as N
+from hourlens.operators.partitioning import spread
 from hourlens.plans.extraction import fill_text, find_mentions, mentions_long
 from hourlens.sources.tpch import aliases, dictionary, question_parts, questions, table
 from hourlens.workload import register
@@ -45,8 +46,8 @@ SELECT DISTINCT q.question_id, d.entity_type, d.entity
 FROM questions q JOIN dictionary d
   ON regexp_matches(lower(q.text), '(^|[^a-z0-9_])' || lower(d.entity) || '($|[^a-z0-9_])')""")
 def dictionary_match(spark, base):
-    names = N.known_names(dictionary(spark, base))
-    return N.dictionary_hits(questions(spark, base), names).select(
+    known = dictionary(spark, base)
+    return N.dictionary_hits(spread(questions(spark, base)), N.known_names(known), N.name_sizes(known)).select(
         "question_id", "entity_type", F.col("canonical").alias("entity")).distinct()
 
 
@@ -262,12 +263,13 @@ SELECT DISTINCT question_id, entity_type, value FROM mentions
 WHERE entity_type IN ('employee', 'project', 'department', 'project_id', 'email')""")
 def merge_mentions(spark, base):
     """Pattern mentions and dictionary names of a question as one set."""
-    log = questions(spark, base)
+    log = spread(questions(spark, base))
     by_pattern = [
         log.select("question_id", F.lit(kind).alias("entity_type"),
                    F.explode(X.mentions_of_form(F.col("text"), kind)).alias("value"))
         for kind in ("project_id", "email")
     ]
-    names = N.known_names(dictionary(spark, base), aliases(spark, base))
-    by_name = N.dictionary_hits(log, names).select("question_id", "entity_type", "value")
+    known, spelled = dictionary(spark, base), aliases(spark, base)
+    names = N.known_names(known, spelled)
+    by_name = N.dictionary_hits(log, names, N.name_sizes(known, spelled)).select("question_id", "entity_type", "value")
     return by_name.unionByName(by_pattern[0]).unionByName(by_pattern[1]).dropDuplicates()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hourlens.functions import extract as X
 from hourlens.functions.normalize import normalize_date, normalize_number
 from hourlens.functions.periods import normalize_period, period_range
+from hourlens.operators.partitioning import compute_once, spread
 from hourlens.operators.windows import dedupe_first, number_by_length
 from hourlens.sources.tpch import QUESTION_SHAPES, question_parts, questions, table
 from hourlens.workload import register
@@ -56,7 +57,8 @@ WHERE len(hits) > 0""")
 
 def _found(spark, base, *forms: str) -> DataFrame:
     hits = X.mentions_of_form(F.col("text"), *forms)
-    return questions(spark, base).select("question_id", hits.alias("hits")).where(F.size("hits") > 0).select(
+    found = compute_once(spread(questions(spark, base)), "hits", hits)
+    return found.where(F.size("hits") > 0).select(
         "question_id", F.array_join(F.array_sort("hits"), "|").alias("found"))
 
 
@@ -82,7 +84,8 @@ def ext_quarter_words(spark, base):
     found = F.col("found")
     return (
         questions(spark, base)
-        .select("question_id", F.col("ts").cast("date").alias("day"), F.explode(hits).alias("found"))
+        .select("question_id", F.col("ts").cast("date").alias("day"), F.explode_outer(hits).alias("found"))
+        .where(F.col("found").isNotNull())
         .select("question_id", "found", normalize_period(found, "day").alias("normalized"))
     )
 
@@ -129,8 +132,8 @@ def ext_email(spark, base):
     """Addresses in whole documents; a plain substring test skips the regex where no @ occurs."""
     emails = F.array_sort(F.array_distinct(X.matches(F.col("text"), X.EMAIL)))
     return (
-        table(spark, base, "documents").where(F.contains("text", F.lit("@")))
-        .select("doc_id", emails.alias("emails")).where(F.size("emails") > 0)
+        compute_once(table(spark, base, "documents").where(F.contains("text", F.lit("@"))), "emails", emails)
+        .where(F.size("emails") > 0)
         .select("doc_id", F.array_join("emails", "|").alias("emails"))
     )
 
