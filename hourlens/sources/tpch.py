@@ -6,13 +6,17 @@ column selections of a caller still reach the Parquet scan.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourlens.sources.star import Star
 
 
+@functools.lru_cache(maxsize=256)
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """A test table; the read (and its schema lookup) is made once per session."""
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
@@ -141,3 +145,69 @@ def aliases(spark: SparkSession, base: str) -> DataFrame:
                           F.col("r_name"), F.concat(F.lit("Dept "), _text("n_nationkey"))))
         .unionByName(rows("project", project, "p_name", "seq", F.concat(F.lit("Project "), _text("seq"))))
     )
+
+
+# The skeletons of the derived question log, one per shape.
+SKELETONS = (
+    "How many hours did {employee_0} work on the {project_0} project in {time_period_0}?",
+    "What projects did {employee_0} work on in {time_period_0}?",
+    "Who worked on the {project_0} project in {time_period_0}?",
+    "How many hours did {employee_0} work in {time_period_0}?",
+    "How many hours were spent on the {project_0} project in {time_period_0}?",
+    "Compare the hours worked by {employee_0} and {employee_1} in {time_period_0}",
+    "Compare the hours spent on {project_0} and {project_1} in {time_period_0}",
+    "Which projects had the most hours in {time_period_0}?",
+    "Which employees worked the most hours in {time_period_0}?",
+    "List all hours for {employee_0} by project in {time_period_0}",
+    "How many hours did employees in {department_0} work in {time_period_0}?",
+    "Send {percentage_0} of the {date_0} report on {project_id_0} to {email_0} for {number_0} people",
+    "What is the weather like today?",
+)
+# How a question is opened, by order status.
+OPENINGS = {"F": "", "O": "please: ", "P": "tell me about this - "}
+
+
+def skeleton_log(spark: SparkSession, base: str) -> DataFrame:
+    """Skeletons as they come out of the extraction of a question log (one row per order)."""
+    texts = F.array(*(F.lit(s) for s in SKELETONS))
+    opening = F.create_map(*(F.lit(x) for pair in OPENINGS.items() for x in pair))
+    body = F.element_at(texts, (F.pmod("o_orderkey", F.lit(len(SKELETONS))) + 1).cast("int"))
+    return table(spark, base, "orders").select(
+        F.col("o_orderkey").alias("question_id"), F.col("o_custkey").alias("session_id"),
+        F.col("o_orderdate").alias("ts"),
+        F.concat(F.coalesce(F.try_element_at(opening, F.col("o_orderstatus")), F.lit("")), body).alias("skeleton"),
+    )
+
+
+def feedback(spark: SparkSession, base: str) -> DataFrame:
+    """Events as an outcome log of templates."""
+    failed = F.col("event_type") == "error"
+    return table(spark, base, "events").select(
+        F.col("user_id").alias("template_id"), "event_id", "ts", (~failed).alias("success"),
+        (F.col("value") * 25).alias("execution_ms"),
+        F.when(failed, F.concat(F.lit("failed: "), "props")).alias("error"),
+    )
+
+
+def requests(spark: SparkSession, base: str) -> DataFrame:
+    """Events as a request log with response times."""
+    return table(spark, base, "events").select(
+        F.col("event_id").alias("request_id"), "ts",
+        F.col("event_type").isin("view", "click", "purchase").alias("hit"), F.col("value").alias("ms"),
+    )
+
+
+def used_templates(spark: SparkSession, base: str) -> DataFrame:
+    """The built-in templates with use counts, success rates and last use taken from events."""
+    from hourlens.sources.templates import library
+
+    ours = library(spark)
+    size = ours.count()
+    stats = feedback(spark, base).groupBy(
+        (F.pmod("template_id", F.lit(size)) + 1).alias("template_id")
+    ).agg(F.count("*").alias("uses"), F.avg(F.col("success").cast("double")).alias("rate"), F.max("ts").alias("used"))
+    return ours.drop("usage_count", "success_rate", "last_used").join(stats, "template_id", "left").select(
+        "template_id", "template_query", "sql_template", "slots", "source", "intent", "tables_used",
+        F.coalesce("uses", F.lit(0)).alias("usage_count"), F.coalesce("rate", F.lit(1.0)).alias("success_rate"),
+        F.col("used").alias("last_used"), "created_at", "needs_review",
+    )
