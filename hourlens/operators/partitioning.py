@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +30,27 @@ def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     takes a copy of the expression with it. A generator stops that.
     """
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def checkpoint_folder(spark) -> str:
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
+
+    Only where that is unset, as in tests, a temporary folder is made and used.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.conf.get("spark.hourlens.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hourlens-")
+        spark.conf.set("spark.hourlens.checkpoint.dir", folder)
+    return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a result that several branches read, and read it back.
+
+    The table survives lost executors, is computed once, and its size is known
+    to the planner.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/hourlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

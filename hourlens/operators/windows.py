@@ -29,7 +29,8 @@ def number_by_length(mentions: DataFrame) -> DataFrame:
 
 
 def running_sums(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, sums: Mapping[str, Column]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, sums: Mapping[str, Column],
+    keep_chunk: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums per key, in ``order``, without one task per key.
 
@@ -58,5 +59,5 @@ def running_sums(
     )
     joined = local.join(offsets, [*keys, "_chunk"])
     return joined.select(
-        *df.columns, *((F.col(f"_s_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums)
+        *df.columns, *(["_chunk"] if keep_chunk else []), *((F.col(f"_s_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums)
     )
