@@ -135,11 +135,10 @@ def running_mean_ms(requests: DataFrame, chunk: Column | None = None) -> DataFra
     return sums.withColumn("running_mean_ms", F.col("total_ms") / F.col("n"))
 
 
-def ema_success_rate(log: DataFrame, alpha: float = 0.1, start: float = 1.0, chunk: Column | None = None) -> DataFrame:
-    """Final exponential moving average per template, r <- (1 - alpha) r + alpha x, oldest event first.
+def ema_slices(log: DataFrame, alpha: float = 0.1, chunk: Column | None = None) -> DataFrame:
+    """(template_id, _chunk, uses, a, b): the moving average over a slice as a map r -> a r + b.
 
-    Inside a slice the weight of an event is (1 - alpha) to the number of later
-    events; slices are then folded in time order.
+    Inside a slice the weight of an event is (1 - alpha) to the number of later events.
     """
     sliced = log.withColumn("_chunk", hour_of() if chunk is None else chunk)
     later = F.row_number().over(
@@ -147,7 +146,12 @@ def ema_success_rate(log: DataFrame, alpha: float = 0.1, start: float = 1.0, chu
     weight = alpha * F.pow(F.lit(1 - alpha), later)
     parts = sliced.withColumn("_b", weight * F.col("success").cast("double")).groupBy("template_id", "_chunk").agg(
         F.count("*").alias("uses"), F.sum("_b").alias("b"))
-    return _fold_slices(parts.withColumn("a", F.pow(F.lit(1 - alpha), F.col("uses"))), start)
+    return parts.withColumn("a", F.pow(F.lit(1 - alpha), F.col("uses")))
+
+
+def ema_success_rate(log: DataFrame, alpha: float = 0.1, start: float = 1.0, chunk: Column | None = None) -> DataFrame:
+    """Final exponential moving average per template, r <- (1 - alpha) r + alpha x, oldest event first."""
+    return _fold_slices(ema_slices(log, alpha, chunk), start)
 
 
 def _fold_slices(parts: DataFrame, start: float) -> DataFrame:

@@ -24,7 +24,8 @@ from hourlens.operators.predicates import (
 )
 from hourlens.sources.star import Star
 
-TOTAL = F.sum("hours").alias("total_hours")
+def total() -> Column:
+    return F.sum("hours").alias("total_hours")
 
 
 def _of_employees(star: Star, fact: DataFrame, where: Column) -> DataFrame:
@@ -61,7 +62,7 @@ def employee_project_hours(star: Star, employee: str, project: str, lo: dt.date,
     """Hours of an employee on a project in a period (NULL when nothing matches)."""
     fact = star.work_hour.where(overlaps(lo, hi))
     fact = _of_employees(star, fact, employee_contains(employee))
-    return _of_projects(star, fact, project_contains(project)).agg(TOTAL)
+    return _of_projects(star, fact, project_contains(project)).agg(total())
 
 
 def projects_of_employee(star: Star, employee: str, lo: dt.date, hi: dt.date) -> DataFrame:
@@ -82,12 +83,12 @@ def people_on_project(star: Star, project: str, lo: dt.date, hi: dt.date) -> Dat
 
 def employee_hours(star: Star, employee: str, lo: dt.date, hi: dt.date) -> DataFrame:
     fact = star.work_hour.where(overlaps(lo, hi))
-    return _of_employees(star, fact, employee_contains(employee)).agg(TOTAL)
+    return _of_employees(star, fact, employee_contains(employee)).agg(total())
 
 
 def project_hours(star: Star, project: str, lo: dt.date, hi: dt.date) -> DataFrame:
     fact = star.work_hour.where(overlaps(lo, hi))
-    return _of_projects(star, fact, project_contains(project)).agg(TOTAL)
+    return _of_projects(star, fact, project_contains(project)).agg(total())
 
 
 def compare_employees(star: Star, first: str, second: str, lo: dt.date, hi: dt.date) -> DataFrame:
@@ -114,7 +115,7 @@ def top_projects(star: Star, lo: dt.date, hi: dt.date, n: int = 5) -> DataFrame:
     return (
         _with_project(star, fact)
         .groupBy("project_uuid", "project_reference_id", F.col("project_name").alias("name"))
-        .agg(TOTAL)
+        .agg(total())
         .orderBy(F.desc("total_hours"), F.asc_nulls_last("project_uuid"))
         .limit(n)
         .select("project_reference_id", "name", "total_hours")
@@ -148,7 +149,7 @@ def employee_project_hours_exact(star: Star, employee: str, project: str, lo: dt
     fact = star.work_hour.where(contained(lo, hi))
     fact = _of_employees(star, fact, F.col("name") == employee)
     matching = F.contains(F.lower("name"), F.lower(F.lit(project)))
-    return _of_projects(star, fact, matching).agg(TOTAL)
+    return _of_projects(star, fact, matching).agg(total())
 
 
 def department_hours_by_employee(star: Star, department: str, lo: dt.date, hi: dt.date) -> DataFrame:
@@ -157,18 +158,18 @@ def department_hours_by_employee(star: Star, department: str, lo: dt.date, hi: d
     return (
         _of_employees(star, fact, F.col("department") == department)
         .groupBy(F.col("employee_name").alias("name"))
-        .agg(TOTAL)
+        .agg(total())
         .orderBy(F.desc("total_hours"), "name")
     )
 
 
 def department_hours(star: Star, department: str, lo: dt.date, hi: dt.date) -> DataFrame:
     fact = star.work_hour.where(overlaps(lo, hi))
-    return _of_employees(star, fact, F.col("department") == department).agg(TOTAL)
+    return _of_employees(star, fact, F.col("department") == department).agg(total())
 
 
 def work_type_hours(star: Star, work_type: str, lo: dt.date, hi: dt.date) -> DataFrame:
-    return star.work_hour.where(overlaps(lo, hi) & (F.col("work_type") == work_type)).agg(TOTAL)
+    return star.work_hour.where(overlaps(lo, hi) & (F.col("work_type") == work_type)).agg(total())
 
 
 def compare_departments(star: Star, departments: Sequence[str], lo: dt.date, hi: dt.date) -> DataFrame:
@@ -188,7 +189,7 @@ def compare_departments(star: Star, departments: Sequence[str], lo: dt.date, hi:
 
 def employee_work_type_hours(star: Star, employee: str, work_type: str, lo: dt.date, hi: dt.date) -> DataFrame:
     fact = star.work_hour.where(overlaps(lo, hi) & (F.col("work_type") == work_type))
-    return _of_employees(star, fact, employee_contains(employee)).agg(TOTAL)
+    return _of_employees(star, fact, employee_contains(employee)).agg(total())
 
 
 def top_employees_in_department(star: Star, department: str, lo: dt.date, hi: dt.date, n: int = 1) -> DataFrame:
@@ -253,14 +254,14 @@ def employee_project_breakdown(star: Star, lo: dt.date, hi: dt.date) -> DataFram
     fact = _of_projects(star, _of_employees(star, fact, F.lit(True)), F.lit(True))
     return fact.groupBy(
         F.col("employee_name").alias("employee"), F.col("project_name").alias("project")
-    ).agg(TOTAL)
+    ).agg(total())
 
 
 def flat_total(rollup: DataFrame, employee: str, project: str, period: str) -> DataFrame:
     """Hours on the flat table for an exact employee, project and period label."""
     return rollup.where(
         (F.col("employee") == employee) & (F.col("project") == project) & (F.col("period") == period)
-    ).agg(TOTAL)
+    ).agg(total())
 
 
 def flat_projects(rollup: DataFrame, employee: str, period: str) -> DataFrame:

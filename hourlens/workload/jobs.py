@@ -317,12 +317,12 @@ hours AS (SELECT h.*, e.name AS employee, e.alias, p.name AS project, p.project_
           FROM work_hour h JOIN employee e ON e.uuid = employee_id JOIN project p ON p.uuid = project_id),
 answers AS (
   SELECT q.question_id, sum(h.hours) AS total_hours FROM params q JOIN hours h
-    ON h.employee = q.employee AND h.project = q.project AND h.start_date <= q.end_date AND h.end_date >= q.start_date
+    ON contains(lower(h.employee), lower(q.employee)) AND contains(lower(h.project), lower(q.project)) AND h.start_date <= q.end_date AND h.end_date >= q.start_date
   WHERE template_id = 1 GROUP BY 1
   UNION ALL SELECT q.question_id, sum(h.hours) FROM params q JOIN hours h
-    ON h.employee = q.employee AND h.start_date <= q.end_date AND h.end_date >= q.start_date WHERE template_id = 4 GROUP BY 1
+    ON contains(lower(h.employee), lower(q.employee)) AND h.start_date <= q.end_date AND h.end_date >= q.start_date WHERE template_id = 4 GROUP BY 1
   UNION ALL SELECT q.question_id, sum(h.hours) FROM params q JOIN hours h
-    ON h.project = q.project AND h.start_date <= q.end_date AND h.end_date >= q.start_date WHERE template_id = 5 GROUP BY 1)
+    ON contains(lower(h.project), lower(q.project)) AND h.start_date <= q.end_date AND h.end_date >= q.start_date WHERE template_id = 5 GROUP BY 1)
 SELECT question_id, template_id, total_hours FROM params LEFT JOIN answers USING (question_id)""")
 def job_answer(spark, base):
     """From question text to answers, one plan per template shape (totals by person, project, both)."""

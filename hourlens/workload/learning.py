@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hourlens.functions.similarity import THRESHOLDS, template_quality
 from hourlens.operators import learning as L
 from hourlens.sources.tpch import feedback, requests, table, used_templates
+from hourlens.streaming.jobs import windowed_metrics
 from hourlens.workload import register
 from hourlens.workload.templates import AS_OF, TFIDF_SQL
 
@@ -179,3 +180,14 @@ def retain_top_templates(spark, base):
     quality = template_quality(F.col("success_rate"), F.col("usage_count"), F.col("last_used"), types, F.lit(AS_OF))
     return L.retain_top(used_templates(spark, base), quality, 5).select(
         "template_id", F.round("quality", 9).alias("quality"))
+
+
+@register("stream_metrics", with_feedback("""
+SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, count(*) AS requests, count(*) FILTER (hit) AS hits,
+       count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*), 9) AS hit_rate, round(avg(ms), 6) AS mean_ms
+FROM requests GROUP BY 1"""))
+def stream_metrics(spark, base):
+    """Batch twin of the windowed stream metrics."""
+    return windowed_metrics(requests(spark, base)).select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "requests", "hits", "misses",
+        F.round("hit_rate", 9).alias("hit_rate"), F.round("mean_ms", 6).alias("mean_ms"))

@@ -131,7 +131,7 @@ def distinct_projection(spark, base):
 def literal_label(spark, base):
     return (
         star(spark, base).work_hour.where(overlaps(LO, HI))
-        .agg(R.TOTAL).select(F.lit("Q1 1997").alias("period"), "total_hours")
+        .agg(R.total()).select(F.lit("Q1 1997").alias("period"), "total_hours")
     )
 
 
@@ -166,7 +166,7 @@ def left_join_project(spark, base):
         .agg(F.sum("hours").alias("hours"), F.count("*").alias("n"))
     )
     return R._with_project(known, fact).groupBy(F.col("project_name").alias("name")).agg(
-        F.sum("n").alias("n_rows"), R.TOTAL)
+        F.sum("n").alias("n_rows"), R.total())
 
 
 # --- aggregates ----------------------------------------------------------------------
@@ -174,7 +174,7 @@ def left_join_project(spark, base):
 
 @register("sum_hours_total", with_star(f"SELECT sum(h.hours) AS total_hours FROM work_hour h WHERE {OVER}"))
 def sum_hours_total(spark, base):
-    return star(spark, base).work_hour.where(overlaps(LO, HI)).agg(R.TOTAL)
+    return star(spark, base).work_hour.where(overlaps(LO, HI)).agg(R.total())
 
 
 @register("sum_hours_by_key", with_star(
@@ -396,7 +396,7 @@ SELECT employee_id, sum(hours) AS total_hours FROM work_hour h WHERE {OVER_YEAR}
 GROUP BY employee_id ORDER BY total_hours DESC, employee_id LIMIT 5"""))
 def top_n(spark, base):
     return (
-        star(spark, base).work_hour.where(overlaps(YLO, YHI)).groupBy("employee_id").agg(R.TOTAL)
+        star(spark, base).work_hour.where(overlaps(YLO, YHI)).groupBy("employee_id").agg(R.total())
         .orderBy(F.desc("total_hours"), "employee_id").limit(5)
     )
 
@@ -406,6 +406,6 @@ SELECT employee_id, sum(hours) AS total_hours FROM work_hour h WHERE {OVER_YEAR}
 GROUP BY employee_id ORDER BY total_hours DESC, employee_id"""))
 def order_desc(spark, base):
     return (
-        star(spark, base).work_hour.where(overlaps(YLO, YHI)).groupBy("employee_id").agg(R.TOTAL)
+        star(spark, base).work_hour.where(overlaps(YLO, YHI)).groupBy("employee_id").agg(R.total())
         .orderBy(F.desc("total_hours"), "employee_id")
     )
