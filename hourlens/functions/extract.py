@@ -151,13 +151,11 @@ def pattern_mentions(text: Column) -> Column:
 
 def chinese_mentions(text: Column) -> Column:
     """array<mention> of the Chinese and mixed patterns (matches of at least 2 characters)."""
-    found = [
-        F.transform(
-            F.filter(spans(text, f"({pattern})"), lambda s: F.length(F.trim(s["value"])) >= 2),
-            lambda s, kind=kind: mention(s["start"], s["end"], F.lit(kind), s["value"]),
-        )
-        for kind, pattern in CHINESE_GRAMMAR
-    ]
+    def of(kind: str, pattern: str) -> Column:
+        long_enough = F.filter(spans(text, f"({pattern})"), lambda s: F.length(F.trim(s["value"])) >= 2)
+        return F.transform(long_enough, lambda s: mention(s["start"], s["end"], F.lit(kind), s["value"]))
+
+    found = [of(kind, pattern) for kind, pattern in CHINESE_GRAMMAR]
     none = F.array().cast(f"array<{MENTION}>")
     return F.when(has_chinese(text), F.concat(*found)).otherwise(none)
 

@@ -11,7 +11,8 @@ def load_dictionary(spark: SparkSession, *paths: str) -> DataFrame:
     text = spark.read.text(list(paths), wholetext=True)
     nested = text.select(F.from_json("value", "MAP<STRING, ARRAY<STRING>>").alias("m"))
     by_type = nested.select(F.explode("m").alias("entity_type", "names"))
-    return by_type.select("entity_type", F.trim(F.explode("names")).alias("entity")).distinct()
+    names = by_type.select("entity_type", F.explode("names").alias("name"))
+    return names.select("entity_type", F.trim("name").alias("entity")).distinct()
 
 
 def load_aliases(spark: SparkSession, path: str) -> DataFrame:
