@@ -99,9 +99,11 @@ def spans(text: Column, pattern: str, groups: int = 1) -> Column:
 
     def step(acc: Column, piece: Column) -> Column:
         hit = F.startswith(piece, F.lit(_OPEN))
-        parts = F.split(F.substring(piece, F.lit(2), F.length(piece)), _NEXT, -1)
-        value = F.array_join(parts, "")
-        group = F.array_position(F.transform(parts, lambda part: part != ""), True)
+        value, group = F.substring(piece, F.lit(2), F.length(piece)), F.lit(1)
+        if groups > 1:
+            parts = F.split(value, _NEXT, -1)
+            value = F.replace(value, F.lit(_NEXT), F.lit(""))
+            group = F.array_position(F.transform(parts, lambda part: part != ""), True)
         lo = acc["at"]
         hi = lo + F.when(hit, F.length(piece) - groups).otherwise(F.length(piece))
         item = F.struct(lo.alias("start"), hi.alias("end"), group.cast("int").alias("group"), value.alias("value"))

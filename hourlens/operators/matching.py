@@ -20,6 +20,7 @@ from hourlens.functions.similarity import (
     text_similarity,
     words,
 )
+from hourlens.operators.partitioning import spread
 
 
 def word_pairs(skeletons: DataFrame, templates: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 def tokens(df: DataFrame, key: str, text: str, stop_words=STOP_WORDS) -> DataFrame:
     """(key, term, tf): word counts of each text."""
     found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    terms = df.select(key, F.explode_outer(found).alias("term")).where(
+    terms = spread(df).select(key, F.explode_outer(found).alias("term")).where(
         F.col("term").isNotNull() & ~F.col("term").isin(*stop_words))
     return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
 

@@ -221,10 +221,19 @@ def rows_containing(values: DataFrame, value: str, dim: DataFrame, key: str, col
     """
     wanted = values.select(value).where(F.length(value) > 0).distinct()
     needles = wanted.select(F.col(value), F.lower(value).alias("_piece"))
-    pieces = F.array_distinct(F.flatten(F.array(*(
-        F.coalesce(substrings(F.lower(F.col(c)), F.lit(1)), F.array().cast("array<string>")) for c in columns
-    ))))
-    index = dim.select(F.col(key), F.explode_outer(pieces).alias("_piece"))
+    # The distinct lengths of the values: at most as many as the longest value has characters.
+    lengths = needles.agg(F.collect_set(F.length("_piece")).alias("n")).scalar()
+
+    def cut(text: Column) -> Column:
+        return F.flatten(F.transform(
+            F.filter("_lengths", lambda n: n <= F.length(text)),
+            lambda n: F.transform(
+                F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))))
+
+    texts = F.filter(F.array(*(F.lower(F.col(c)) for c in columns)), lambda t: t.isNotNull())
+    pieces = F.array_distinct(F.flatten(F.transform(texts, cut)))
+    measured = dim.select(key, *columns, lengths.alias("_lengths"))
+    index = measured.select(key, F.explode_outer(pieces).alias("_piece"))
     return index.join(needles, "_piece").select(value, key).distinct()
 
 

@@ -291,7 +291,7 @@ def answer_question_log(spark, base):
     params = question_parts(spark, base).select(
         "question_id", F.col("e").alias("employee"), F.col("p").alias("project"),
         start.alias("start_date"), F.last_day(F.add_months(start, 2)).alias("end_date"))
-    return A.answer_totals(params, star(spark, base))
+    return A.answer_totals(materialize(params), star(spark, base))
 
 
 @register("period_range_join", f"""
