@@ -9,18 +9,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame) -> DataFrame:
+def _input_bytes(df: DataFrame) -> int:
+    """Size of the tables a plan reads, from the planner's statistics (no job, no file list)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def spread(df: DataFrame, task_bytes: int = 128 << 20) -> DataFrame:
     """Spread a small input over the cores before CPU-heavy text work.
 
-    A table of a few small files is read by a few tasks; it is rebalanced. An
-    input that already has a task per core is left as it is, so a large scan
-    is never shuffled for this.
+    A table too small to give every core a task is rebalanced. A larger one
+    is left as it is, so a big scan is never shuffled for this.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(cores) if files < cores else df
+    return df.repartition(cores) if _input_bytes(df) < cores * task_bytes else df
 
 
 def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:

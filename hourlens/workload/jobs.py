@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourlens.functions import sqltext as Q
-from hourlens.functions.extract import placeholder
 from hourlens.functions.similarity import THRESHOLDS, shared_types, template_quality
 from hourlens.operators import learning as L
 from hourlens.operators import matching as M
@@ -16,14 +15,14 @@ from hourlens.plans import maintenance as MT
 from hourlens.plans.extraction import mentions_long
 from hourlens.sources.templates import library
 from hourlens.sources.tpch import (
-    aliases, dictionary, feedback, question_parts, questions, requests, skeleton_log, star, table, used_templates,
+    feedback, question_parts, questions, skeleton_log, star, table, used_templates,
 )
 from hourlens.workload import register
 from hourlens.workload.learning import FEEDBACK_SQL
 from hourlens.workload.names import MENTIONS_SQL, SKELETONS_SQL, extracted
 from hourlens.workload.reports import STAR_SQL
 from hourlens.workload.templates import AS_OF, TEMPLATES_SQL, TFIDF_SQL
-from hourlens.workload.texts import PARTS_SQL, QUESTIONS_SQL
+from hourlens.workload.texts import PARTS_SQL
 
 # --- SQL texts ------------------------------------------------------------------------
 
