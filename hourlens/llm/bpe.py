@@ -16,6 +16,7 @@ from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+import regex  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Characters on whose class or case the library and Python might differ: separators 28 to 31, which only
@@ -62,12 +63,26 @@ def word_pieces(text: str) -> list[str] | None:
     return text.lower().split() if plain(text) else None
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else the next free one."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(free)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+#: Splitting rules of the two kinds of tokenizer, fixed values.
+SPACED = regex.compile(_CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+UNSPACED = regex.compile(_CONTRACTIONS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
 @lru_cache(maxsize=4)
-def piece_encoder(path: str) -> Callable[[str], list]:
-    """Tokens of one piece by the library's rule and model, without the cost of a full encoding's offsets."""
-    tokenizer = load(path)
-    split, model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
-    return lambda piece: [token for part, _ in split(piece) for token in model(part)]
+def piece_encoder(path: str, rule: regex.Pattern) -> Callable[[str], list]:
+    """Tokens of a piece of plain text by the library's model, without the cost of a full encoding with offsets."""
+    tokenize = load(path).model.tokenize
+    return lambda piece: [
+        token for part in rule.findall(piece) for token in tokenize("".join([_LETTERS[b] for b in part.encode()]))]
 
 
 class Cache(dict):
