@@ -58,9 +58,22 @@ def space_pieces(text: str) -> list[str] | None:
     return text.split(" ") if plain(text) and not _INNER_SPACE.search(text) else None
 
 
+#: A full stop or comma beside another sign, with which it would make one part.
+_JOINED_SIGNS = re.compile(r"[.,][^\w\s]|[^\w\s][.,]")
+
+
 def word_pieces(text: str) -> list[str] | None:
-    """Lower-case pieces between white space, or None for texts to encode as a whole."""
-    return text.lower().split() if plain(text) else None
+    """Lower-case pieces between white space, or None for texts to encode as a whole.
+
+    Single full stops and commas are parts of their own by the rule and are
+    cut off, so that fewer different pieces are met.
+    """
+    if not plain(text):
+        return None
+    text = text.lower()
+    if not _JOINED_SIGNS.search(text):
+        text = text.replace(".", " . ").replace(",", " , ")
+    return text.split()
 
 
 def _byte_letters() -> list[str]:
@@ -81,8 +94,20 @@ UNSPACED = regex.compile(_CONTRACTIONS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 def piece_encoder(path: str, rule: regex.Pattern) -> Callable[[str], list]:
     """Tokens of a piece of plain text by the library's model, without the cost of a full encoding with offsets."""
     tokenize = load(path).model.tokenize
-    return lambda piece: [
-        token for part in rule.findall(piece) for token in tokenize("".join([_LETTERS[b] for b in part.encode()]))]
+
+    def encode(piece: str) -> list:
+        if piece.isascii() and piece.isalpha():  # one part, written as itself
+            return tokenize(piece)
+        return [token for part in rule.findall(piece)
+                for token in tokenize("".join([_LETTERS[b] for b in part.encode()]))]
+
+    return encode
+
+
+def after_space(path: str) -> Callable[[str], list]:
+    """As above for a piece in front of which a space was cut."""
+    tokenize, encode, space = load(path).model.tokenize, piece_encoder(path, SPACED), _LETTERS[32]
+    return lambda piece: tokenize(space + piece) if piece.isascii() and piece.isalpha() else encode(" " + piece)
 
 
 class Cache(dict):

@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from hourlens.llm.mixing import mix, quality_weight, size_of
+from hourlens.llm.shared import written
 from hourlens.llm.token_counts import token_counts
+from hourlens.llm.token_files import token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,3 +30,15 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 @query
 def op2_token_counts(spark: SparkSession, base: str) -> DataFrame:
     return token_counts(table(spark, base, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op4_token_files(spark: SparkSession, base: str) -> DataFrame:
+    return token_files(table(spark, base, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op9_mixing(spark: SparkSession, base: str) -> DataFrame:
+    docs = table(spark, base, "documents").select("doc_id", "source", size_of(F.col("text")).alias("size"))
+    rows = written(quality_weight(docs, table(spark, base, "labels")), "sizes")
+    return mix(rows).select("doc_id", "size", "source_size", "target", "taken", "copies")

@@ -43,8 +43,8 @@ def frequent_pieces(docs: DataFrame, sample_texts: int, size: int) -> list[str]:
 
 def compact(pieces: list[str], path: str) -> tuple[str, bytes]:
     """The frequent tier in compact form: pieces in one text, a byte for each length."""
-    encode = bpe.piece_encoder(path, bpe.SPACED)
-    lengths = [len(encode(" " + p)) for p in pieces]
+    encode = bpe.after_space(path)
+    lengths = [len(encode(p)) for p in pieces]
     kept = [(p, n) for p, n in zip(pieces, lengths) if n < 256]
     return "\0".join(p for p, _ in kept), bytes(n for _, n in kept)
 
@@ -57,8 +57,8 @@ def _expand(packed: tuple[str, bytes]) -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def _cache(path: str, size: int) -> bpe.Cache:
-    encode = bpe.piece_encoder(path, bpe.SPACED)
-    return bpe.Cache(lambda new: [len(encode(" " + p)) for p in new], size)
+    encode = bpe.after_space(path)
+    return bpe.Cache(lambda new: [len(encode(p)) for p in new], size)
 
 
 def count_texts(texts: list[str | None], frequent: dict[str, int], path: str, cache_size: int) -> np.ndarray:
