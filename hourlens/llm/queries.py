@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourlens.llm.language import identify
 from hourlens.llm.mixing import mix, quality_weight, size_of
 from hourlens.llm.shared import written
 from hourlens.llm.token_counts import token_counts
@@ -42,3 +43,8 @@ def op9_mixing(spark: SparkSession, base: str) -> DataFrame:
     docs = table(spark, base, "documents").select("doc_id", "source", size_of(F.col("text")).alias("size"))
     rows = written(quality_weight(docs, table(spark, base, "labels")), "sizes")
     return mix(rows).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def op8_language(spark: SparkSession, base: str) -> DataFrame:
+    return identify(table(spark, base, "documents"))
