@@ -13,6 +13,7 @@ from hourlens.llm.mixing import mix, quality_weight, size_of
 from hourlens.llm.shared import written
 from hourlens.llm.token_counts import token_counts
 from hourlens.llm.token_files import token_files
+from hourlens.llm.toxicity import classify
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,3 +49,8 @@ def op9_mixing(spark: SparkSession, base: str) -> DataFrame:
 @query
 def op8_language(spark: SparkSession, base: str) -> DataFrame:
     return identify(table(spark, base, "documents"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, base: str) -> DataFrame:
+    return classify(table(spark, base, "documents"), table(spark, base, "labels"))
