@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourlens.llm.language import identify
+from hourlens.llm.minhash import near_duplicates
 from hourlens.llm.mixing import mix, quality_weight, size_of
 from hourlens.llm.shared import written
 from hourlens.llm.token_counts import token_counts
@@ -54,3 +55,8 @@ def op8_language(spark: SparkSession, base: str) -> DataFrame:
 @query
 def op1_toxicity(spark: SparkSession, base: str) -> DataFrame:
     return classify(table(spark, base, "documents"), table(spark, base, "labels"))
+
+
+@query
+def op10_near_duplicates(spark: SparkSession, base: str) -> DataFrame:
+    return near_duplicates(table(spark, base, "documents"))
