@@ -43,11 +43,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def drop(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that no later plan reads."""
     spark = df.sparkSession
+    here = spark._jvm.org.apache.hadoop.fs.Path(folder(spark)).toUri().getPath()
     for file in df.inputFiles()[:1]:
         path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if not path.getName().split("-")[-1].isalnum() or not path.toString().split(":", 1)[-1].startswith(
-                folder(spark).split(":", 1)[-1]):
-            raise ValueError(f"not a table of this module: {path}")
+        if path.getParent().toUri().getPath() != here:
+            raise ValueError(f"not a table in the shared folder: {path}")
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
