@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hourlens.llm.language import identify
 from hourlens.llm.minhash import near_duplicates
 from hourlens.llm.mixing import mix, quality_weight, size_of
+from hourlens.llm.neighbours import nearest
 from hourlens.llm.shared import written
 from hourlens.llm.token_counts import token_counts
 from hourlens.llm.token_files import token_files
@@ -60,3 +61,8 @@ def op1_toxicity(spark: SparkSession, base: str) -> DataFrame:
 @query
 def op10_near_duplicates(spark: SparkSession, base: str) -> DataFrame:
     return near_duplicates(table(spark, base, "documents"))
+
+
+@query
+def op3_neighbours(spark: SparkSession, base: str) -> DataFrame:
+    return nearest(table(spark, base, "embeddings"))
