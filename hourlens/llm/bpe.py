@@ -119,7 +119,7 @@ class Cache(dict):
 
     def add(self, pieces: set[str]) -> None:
         """Afterwards all of these pieces are known."""
-        new = pieces - self.keys()
+        new = {p for p in pieces if p not in self}
         if len(self) + len(new) > self.size:
             self.clear()
             new = pieces

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourlens.llm.shared import held_out, small
+from hourlens.llm.shared import held_out, small, written
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -129,7 +129,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languages
 
 def _sample(rows: DataFrame, settings: Settings) -> tuple[list, list[str]]:
     """n-gram counts and languages of at most ``settings.sample`` rows, drawn evenly by language and doc_id's hash."""
-    met = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    met = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     each = max(1, settings.sample // max(1, met.count()))
     place = F.xxhash64(F.lit(settings.seed), "doc_id")
     likely = F.pmod(place, F.lit(1 << 30)) < F.lit(1.5 * each * (1 << 30)) / F.col("n")

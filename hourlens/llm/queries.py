@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourlens.llm.decontaminate import matches
 from hourlens.llm.language import identify
 from hourlens.llm.minhash import near_duplicates
 from hourlens.llm.mixing import mix, quality_weight, size_of
@@ -66,3 +67,9 @@ def op10_near_duplicates(spark: SparkSession, base: str) -> DataFrame:
 @query
 def op3_neighbours(spark: SparkSession, base: str) -> DataFrame:
     return nearest(table(spark, base, "embeddings"))
+
+
+@query
+def op7_decontamination(spark: SparkSession, base: str) -> DataFrame:
+    found = matches(table(spark, base, "documents"), table(spark, base, "benchmark"))
+    return found.select("doc_id", "item_id", "found", "share", "changed")

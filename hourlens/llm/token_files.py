@@ -184,7 +184,7 @@ def shard_starts(segments: DataFrame) -> DataFrame:
 
 
 def _read_segments(batches):
-    for batch in batches:
+    for batch in small(batches, 1):
         for row in batch.to_pylist():
             data = decode(row["payload"]).astype("<u4").tobytes()
             ends = np.cumsum(np.array(row["lengths"], np.int64))
