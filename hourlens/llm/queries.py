@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hourlens.llm.decontaminate import matches
 from hourlens.llm.language import identify
+from hourlens.llm.lines import repeated_lines
 from hourlens.llm.minhash import near_duplicates
 from hourlens.llm.mixing import mix, quality_weight, size_of
 from hourlens.llm.neighbours import nearest
@@ -73,3 +74,9 @@ def op3_neighbours(spark: SparkSession, base: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, base: str) -> DataFrame:
     found = matches(table(spark, base, "documents"), table(spark, base, "benchmark"))
     return found.select("doc_id", "item_id", "found", "share", "changed")
+
+
+@query
+def op6_lines(spark: SparkSession, base: str) -> DataFrame:
+    found = repeated_lines(table(spark, base, "documents"))
+    return found.select("doc_id", "n_lines", F.size("dropped").alias("n_dropped"), "dropped")
