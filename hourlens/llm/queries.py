@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourlens.llm.chat import repair
 from hourlens.llm.decontaminate import matches
 from hourlens.llm.language import identify
 from hourlens.llm.lines import repeated_lines
@@ -80,3 +81,8 @@ def op7_decontamination(spark: SparkSession, base: str) -> DataFrame:
 def op6_lines(spark: SparkSession, base: str) -> DataFrame:
     found = repeated_lines(table(spark, base, "documents"))
     return found.select("doc_id", "n_lines", F.size("dropped").alias("n_dropped"), "dropped")
+
+
+@query
+def op5_chat(spark: SparkSession, base: str) -> DataFrame:
+    return repair(table(spark, base, "conversations"))
