@@ -1,13 +1,54 @@
-"""Corpus pipeline: stages in order over the documents table."""
+"""Corpus pipeline: toxic documents go, then copies, then benchmark passages; the rest is mixed and tokenized."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from hourlens.llm import decontaminate, minhash, mixing, token_files, toxicity
+from hourlens.llm.shared import written
+
+#: Stages on word shingles link at 80 percent; as sure to find such pairs as the operator is at 85.
+NEAR = minhash.Settings(percent=80, bands=32, agree=130)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.harmless(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.without_copies(docs, NEAR)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_files.token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_copies),
+    ("decontamination", drop_benchmark),
+    ("mixing", mix_sources),
+    ("token_files", write_tokens),
+]
+
+#: SQL cannot say the classifier or the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
-    raise NotImplementedError
+    """Apply the stages to ``documents``; each one's rows are written and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"stage-{name}")
+    return docs

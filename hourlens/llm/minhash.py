@@ -55,7 +55,10 @@ def signature(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, n_shingles, print (128-bit hash of the set) and signature of each row; both null for empty sets."""
+    """doc_id, text_key (hash of the text), n_shingles, print (128-bit hash of the set) and signature of each row.
+
+    Print and signature are null for empty sets.
+    """
 
     def run(batches):
         a, b = functions(settings)
@@ -67,11 +70,11 @@ def sign(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 signs.append(signature(found, a, b).astype("<u4").tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(signs, pa.binary())],
-                ["doc_id", "n_shingles", "print", "signature"])
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(prints, pa.binary()),
+                 pa.array(signs, pa.binary())], ["doc_id", "text_key", "n_shingles", "print", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, print binary, signature binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(
+        run, "doc_id long, text_key long, n_shingles long, print binary, signature binary")
 
 
 def buckets(classes: DataFrame, settings: Settings) -> DataFrame:
@@ -207,15 +210,15 @@ def links(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text; other columns are ignored).
+    """doc_id, text_key, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Texts with equal sets form a class and are compared once; links between
     classes are confirmed on full sets (of 64-bit hashes). ``component_id`` is
     the smallest doc_id reachable, ``kept`` whether that is the row's own.
     Null, empty and blank texts have no shingles and are linked with nothing.
     Rows without a doc_id are kept, with no component, and linked with nothing;
-    rows with one doc_id and one text are kept or not together; an empty
-    table gives no rows.
+    rows with one doc_id and one text are kept or not together (text_key is a
+    hash of the text); an empty table gives no rows.
     """
     signed = written(sign(docs, settings), "signed")
     usable = signed.where(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
@@ -229,5 +232,22 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     named = written(classes.join(found, F.col("id") == F.col("node"), "left").select(
         "print", F.coalesce("component", "id").alias("component")), "named")
     return signed.join(named, "print", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias(
+        "doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias(
             "component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+def without_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs``, with all columns, that are kept; of rows with one doc_id and one text one stays.
+
+    Texts of the rows that stay are not shuffled unless their doc_id is repeated.
+    """
+    named = written(near_duplicates(docs, settings).select("doc_id", "text_key", "kept"), "decided")
+    gone = written(named.where(~F.col("kept")).select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "gone")
+    often = written(named.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "often")
+    stay = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")),
+                     "left_anti")
+    same = F.col("doc_id").cast("long") == F.col("_id")
+    return stay.join(often, same, "left_anti").union(
+        stay.join(often, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hourlens.llm.shared import written
 
 #: Rows of one source that are sorted together, about; larger sources are cut into more slices of the key's range.
-SLICE = 50_000
+SLICE = 8_000
 
 
 def size_of(text: Column) -> Column:
@@ -103,11 +103,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
         "taken", F.col("copies") * F.col("size")).drop("_source", "_epochs", "_last")
 
 
-def quality_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Add ``quality`` to ``docs``: 2 for rows labelled good, 1/2 for bad, 1 for those without a label.
+def quality_of(text: Column) -> Column:
+    """Quality weight of a text, 0.1 to 1: less for each character that is neither letter nor white space.
 
-    Of several labels for one doc_id the best counts; labels without a doc_id count for none.
+    Null and empty texts weigh 1.
     """
-    best = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_label"))
-    return docs.join(best, "doc_id", "left").withColumn(
-        "quality", F.when(F.col("_label") == 1, 2.0).when(F.col("_label") == 0, 0.5).otherwise(1.0)).drop("_label")
+    signs = F.regexp_count(text, F.lit("[^\\p{L}\\s]")) / F.length(text)
+    return F.coalesce(F.greatest(F.lit(0.1), 1 - 3 * signs), F.lit(1.0))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, source, and any others) as often as the mix takes them."""
+    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"),
+                       quality_of(F.col("text")).alias("quality"), F.struct(*docs.columns).alias("row"))
+    taken = mix(rows, weights, most, seed).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

@@ -13,7 +13,7 @@ from hourlens.llm.decontaminate import matches
 from hourlens.llm.language import identify
 from hourlens.llm.lines import repeated_lines
 from hourlens.llm.minhash import near_duplicates
-from hourlens.llm.mixing import mix, quality_weight, size_of
+from hourlens.llm.mixing import mix, quality_of, size_of
 from hourlens.llm.neighbours import nearest
 from hourlens.llm.shared import written
 from hourlens.llm.token_counts import token_counts
@@ -46,9 +46,10 @@ def op4_token_files(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def op9_mixing(spark: SparkSession, base: str) -> DataFrame:
-    docs = table(spark, base, "documents").select("doc_id", "source", size_of(F.col("text")).alias("size"))
-    rows = written(quality_weight(docs, table(spark, base, "labels")), "sizes")
-    return mix(rows).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    text = F.col("text")
+    rows = table(spark, base, "documents").select(
+        "doc_id", "source", size_of(text).alias("size"), quality_of(text).alias("quality"))
+    return mix(written(rows, "sizes")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 @query
@@ -63,7 +64,8 @@ def op1_toxicity(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def op10_near_duplicates(spark: SparkSession, base: str) -> DataFrame:
-    return near_duplicates(table(spark, base, "documents"))
+    found = near_duplicates(table(spark, base, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query
