@@ -108,7 +108,7 @@ def quality_of(text: Column) -> Column:
 
     Null and empty texts weigh 1.
     """
-    signs = F.regexp_count(text, F.lit("[^\\p{L}\\s]")) / F.length(text)
+    signs = F.try_divide(F.regexp_count(text, F.lit("[^\\p{L}\\s]")), F.length(text))
     return F.coalesce(F.greatest(F.lit(0.1), 1 - 3 * signs), F.lit(1.0))
 
 
