@@ -14,6 +14,8 @@ DATE_FORMS = (
     (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
     (r"^[A-Za-z]{4,} \d{1,2} \d{4}$", "MMMM d yyyy"),
     (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"),
+    (r"^[A-Za-z]{4,} \d{1,2} \d{2}$", "MMMM d yy"),
+    (r"^[A-Za-z]{3} \d{1,2} \d{2}$", "MMM d yy"),
     (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", "d MMMM yyyy"),
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
 )

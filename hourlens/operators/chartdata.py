@@ -22,16 +22,17 @@ def type_result_dates(df: DataFrame) -> DataFrame:
 
 
 def other_bucket(df: DataFrame, keep: int = 6, most: int = 7, other: str = "Other") -> DataFrame:
-    """First column as category, second as value: above ``most`` rows, the ``keep`` largest and their rest.
+    """First column as category, second as value: above ``most`` categories, the ``keep`` largest and their rest.
 
-    The largest rows are a distributed top-k; they meet the data by equality on
-    the category, and the rest is summed map-side.
+    Values are summed by category first; NULL is a category like others. The
+    largest are a distributed top-k that meets the sums by equality.
     """
     category, value = df.columns[:2]
-    top = df.orderBy(F.desc(value), category).limit(keep).select(F.col(category).alias("_top"))
+    df = df.groupBy(category).agg(F.sum(value).alias(value))
+    top = df.orderBy(F.desc(value), category).limit(keep).select(F.col(category).alias("_top"), F.lit(True).alias("_in"))
     many = df.agg(F.count("*").alias("n")).scalar() > most
     tagged = df.join(top, F.col(category).eqNullSafe(F.col("_top")), "left")
-    in_rest = many & F.col("_top").isNull()
+    in_rest = many & F.col("_in").isNull()
     return tagged.select(
         in_rest.alias("_rest"), F.when(in_rest, F.lit(other)).otherwise(F.col(category)).alias(category), value,
     ).groupBy("_rest", category).agg(F.sum(value).alias(value)).drop("_rest")

@@ -190,6 +190,6 @@ def adaptive_success_rate(uses: DataFrame, start: float = 1.0, chunk: Column | N
     return _fold_slices(parts, start)
 
 
-def retain_top(templates: DataFrame, quality: Column, n: int = 1000) -> DataFrame:
+def retain_top(templates: DataFrame, quality: Column, n: int) -> DataFrame:
     """At most n templates, best quality first, ties by id."""
     return templates.withColumn("quality", quality).orderBy(F.desc("quality"), "template_id").limit(n)

@@ -100,19 +100,20 @@ def best_by_keyword(skeletons: DataFrame, templates: DataFrame, threshold: float
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-def tokens(df: DataFrame, key: str, text: str, stop_words=STOP_WORDS) -> DataFrame:
+def tokens(df: DataFrame, key: str, text: str, stop_words=STOP_WORDS, partitions: int | None = None) -> DataFrame:
     """(key, term, tf): word counts of each text."""
     found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    terms = spread(df).select(key, F.explode_outer(found).alias("term")).where(
+    terms = spread(df, partitions).select(key, F.explode_outer(found).alias("term")).where(
         F.col("term").isNotNull() & ~F.col("term").isin(*stop_words))
     return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf_fit(df: DataFrame, key: str, text: str, max_terms: int = 1000, stop_words=STOP_WORDS) -> DataFrame:
-    """Vocabulary (term, total, df, idf): the ``max_terms`` most frequent terms, smoothed idf."""
-    counts = tokens(df, key, text, stop_words).groupBy("term").agg(
+def tfidf_fit(df: DataFrame, key: str, text: str, max_terms: int | None = None, stop_words=STOP_WORDS,
+              partitions: int | None = None) -> DataFrame:
+    """Vocabulary (term, total, df, idf) with smoothed idf: all terms, or the ``max_terms`` most frequent."""
+    counts = tokens(df, key, text, stop_words, partitions).groupBy("term").agg(
         F.sum("tf").alias("total"), F.count("*").alias("df"))
-    top = counts.orderBy(F.desc("total"), "term").limit(max_terms)
+    top = counts if max_terms is None else counts.orderBy(F.desc("total"), "term").limit(max_terms)
     size = df.agg(F.count("*").alias("n")).scalar()
     return top.select(
         "term", "total", "df", (F.log((1 + size) / (1 + F.col("df"))) + 1).alias("idf"))

@@ -9,22 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _input_bytes(df: DataFrame) -> int:
-    """Size of the tables a plan reads, from the planner's statistics (no job, no file list)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal rows to a number of partitions before CPU-heavy text work, if the caller asks for one.
 
-
-def spread(df: DataFrame, task_bytes: int = 128 << 20) -> DataFrame:
-    """Spread a small input over the cores before CPU-heavy text work.
-
-    A table too small to give every core a task is rebalanced. A larger one
-    is left as it is, so a big scan is never shuffled for this.
+    For inputs whose files give too few tasks; others are scanned as they lie.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if _input_bytes(df) < cores * task_bytes else df
+    return df if partitions is None else df.repartition(partitions)
 
 
 def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -39,12 +29,15 @@ def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def checkpoint_folder(spark) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in tests, a temporary folder is made and used.
+    Only where that is unset and Spark runs in one process, as in tests, a
+    folder of this machine is made and used; on a cluster it must be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = spark.conf.get("spark.hourlens.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hourlens-")
-        spark.conf.set("spark.hourlens.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="hourlens-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 

@@ -11,7 +11,7 @@ from hourlens.operators.windows import running_sums
 # Words that refer to an entity named before, by type.
 REFERENCES = {
     "employee": r"\b(?:he|she|they|him|her|them|his|their)\b|\b(?:this|that|the same) (?:person|employee)\b"
-                "|他|她|这个人|那个人|同事",
+                "|(?<!其)他(?![们人国乡])|她(?!们)|这个人|那个人|同事",
     "project": r"\bit\b|\b(?:this|that|the same) project\b|这个项目|那个项目|该项目",
     "department": r"\b(?:this|that|the same|the) department\b|这个部门|那个部门|该部门",
 }

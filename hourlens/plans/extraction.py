@@ -25,14 +25,15 @@ def _mask(text, kept):
 
 def find_mentions(
     questions: DataFrame, dictionary: DataFrame | None, aliases: DataFrame | None = None,
-    as_of: str = "ts", chinese: bool = True,
+    as_of: str = "ts", chinese: bool = True, partitions: int | None = None,
 ) -> DataFrame:
     """Questions with ``kept`` (resolved spans), ``numbered`` entities and their ``skeleton``.
 
     Pattern mentions are found where the text lies. Only dictionary hits are
     grouped by question, and a question's hits are bounded by its length.
+    ``partitions`` deals the questions out first, for logs in few files.
     """
-    questions = spread(questions)
+    questions = spread(questions, partitions)
     text = F.col("text")
     none = F.array().cast(f"array<{X.MENTION}>")
     found = questions.withColumn("_found", X.pattern_mentions(text))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourlens.functions import sqltext as Q
@@ -53,18 +53,20 @@ def upsert(templates: DataFrame, used: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(fresh.select(*templates.columns))
 
 
+def first_rows(result: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """The first n rows of each key's result, in the order of all columns, with their ``rank`` from 1."""
+    order = Window.partitionBy(key).orderBy(*(c for c in result.columns if c != key))
+    return result.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
 def sample_rows(result: DataFrame, key: str, n: int = 5) -> DataFrame:
-    """(key, samples): the first n rows of each key's result, in the order of all columns, as JSON texts.
+    """(key, samples): the first n rows of each key's result as JSON texts.
 
-    The n smallest rows are kept while aggregating; no key's rows are collected.
+    A key gathers these n rows only.
     """
-    from pyspark.sql import Window
-
     columns = [c for c in result.columns if c != key]
-    order = Window.partitionBy(key).orderBy(*columns)
-    kept = result.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
-    rows = F.array_sort(F.collect_list(F.struct("_n", F.to_json(F.struct(*columns)).alias("row"))))
-    return kept.groupBy(key).agg(F.transform(rows, lambda r: r["row"]).alias("samples"))
+    rows = F.array_sort(F.collect_list(F.struct("rank", F.to_json(F.struct(*columns)).alias("row"))))
+    return first_rows(result, key, n).groupBy(key).agg(F.transform(rows, lambda r: r["row"]).alias("samples"))
 
 
 def drop_unresolved(entries: DataFrame, sql: str = "sql") -> DataFrame:
@@ -72,12 +74,16 @@ def drop_unresolved(entries: DataFrame, sql: str = "sql") -> DataFrame:
     return entries.where(~Q.unresolved_period(F.col(sql)))
 
 
-def maintain(templates: DataFrame, quality: Column, capacity: int = 1000) -> DataFrame:
-    """Migrated, valid, de-duplicated and capped template table (smallest id per skeleton)."""
+def maintain(templates: DataFrame, quality: Column, capacity: int | None = None) -> DataFrame:
+    """Migrated, valid and de-duplicated template table (smallest id per skeleton), with its quality.
+
+    With ``capacity`` the best so many stay, otherwise all.
+    """
     migrated = templates.withColumn("sql_template", Q.migrate_period_sql(F.col("sql_template")))
     names = F.transform("slots", lambda s: s["placeholder"])
     valid = migrated.where(
         (F.size(Q.lint_sql(F.col("sql_template"), names)) == 0)
         & ~Q.unresolved_period(F.regexp_replace("sql_template", Q.PLACEHOLDER, "")))
     ids = valid.groupBy("template_query").agg(F.min("template_id").alias("template_id")).select("template_id")
-    return retain_top(valid.join(ids, "template_id", "left_semi"), quality, capacity)
+    kept = valid.join(ids, "template_id", "left_semi")
+    return kept.withColumn("quality", quality) if capacity is None else retain_top(kept, quality, capacity)

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def load_dictionary(spark: SparkSession, *paths: str) -> DataFrame:
-    """``{type: [name, ...]}`` files as distinct (entity_type, entity) rows."""
-    text = spark.read.text(list(paths), wholetext=True)
+def load_dictionary(spark: SparkSession, *paths: str, lines: bool = False) -> DataFrame:
+    """``{type: [name, ...]}`` files as distinct (entity_type, entity) rows.
+
+    With ``lines`` every line of a file is such an object, and Spark splits large files.
+    """
+    text = spark.read.text(list(paths), wholetext=not lines)
     nested = text.select(F.from_json("value", "MAP<STRING, ARRAY<STRING>>").alias("m"))
     by_type = nested.select(F.explode("m").alias("entity_type", "names"))
     names = by_type.select("entity_type", F.explode("names").alias("name"))

@@ -28,19 +28,14 @@ def read_star_jdbc(spark: SparkSession, url: str, partitions: int = 32, **option
     The fact is read in ``partitions`` slices of ``employee_id``; the slice
     bounds come from one min/max query that runs inside the database.
     """
-    jdbc = spark.read.format("jdbc").options(url=url, **options)
-    span = jdbc.option(
-        "query", "SELECT MIN(employee_id) AS lo, MAX(employee_id) AS hi FROM work_hour"
-    ).load().first()
-    fact = jdbc.options(
-        dbtable="work_hour", partitionColumn="employee_id", numPartitions=partitions,
-        lowerBound=span.lo or 0, upperBound=(span.hi or 0) + 1,
-    ).load()
-    return Star(
-        jdbc.option("dbtable", "employee").load(),
-        jdbc.option("dbtable", "project").load(),
-        fact,
-    )
+    def load(**own: object) -> DataFrame:
+        # Options stay on a reader, so every table gets its own.
+        return spark.read.format("jdbc").options(url=url, **options).options(**own).load()
+
+    span = load(query="SELECT MIN(employee_id) AS lo, MAX(employee_id) AS hi FROM work_hour").first()
+    fact = load(dbtable="work_hour", partitionColumn="employee_id", numPartitions=partitions,
+                lowerBound=span.lo or 0, upperBound=(span.hi or 0) + 1)
+    return Star(load(dbtable="employee"), load(dbtable="project"), fact)
 
 
 def write_star(star: Star, base: str) -> None:

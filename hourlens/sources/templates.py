@@ -121,11 +121,14 @@ _ONE = (
 )
 
 
-def load_templates(spark: SparkSession, path: str) -> DataFrame:
-    """Templates from JSON: ``{"templates": [...]}`` or a bare list. Ids are hashes of the texts."""
+def load_templates(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Templates from JSON: ``{"templates": [...]}`` or a bare list. Ids are hashes of the texts.
+
+    With ``lines`` every line of a file is one template, and Spark splits large files.
+    """
     one = T.StructType.fromDDL(_ONE)
     both = T.StructType([T.StructField("templates", T.ArrayType(one)), *one.fields])
-    raw = spark.read.schema(both).option("multiLine", True).json(path)
+    raw = spark.read.schema(both).option("multiLine", not lines).json(path)
     single = F.struct("template_query", "sql_template", "usage_count", "success_rate", "metadata")
     rows = raw.select(F.inline(F.coalesce("templates", F.array(single)))).where("template_query IS NOT NULL")
     ids = F.xxhash64("template_query", "sql_template")

@@ -6,17 +6,14 @@ column selections of a caller still reach the Parquet scan.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourlens.sources.star import Star
+from hourlens.sources.templates import GENERAL, SPECIAL, library
 
 
-@functools.lru_cache(maxsize=256)
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """A test table; the read (and its schema lookup) is made once per session."""
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
@@ -147,19 +144,10 @@ def aliases(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-# The skeletons of the derived question log, one per shape.
+_LIBRARY = [question for question, _ in (*GENERAL, *SPECIAL)]
+#: The skeletons of the derived question log, one per shape: library questions and three that are none.
 SKELETONS = (
-    "How many hours did {employee_0} work on the {project_0} project in {time_period_0}?",
-    "What projects did {employee_0} work on in {time_period_0}?",
-    "Who worked on the {project_0} project in {time_period_0}?",
-    "How many hours did {employee_0} work in {time_period_0}?",
-    "How many hours were spent on the {project_0} project in {time_period_0}?",
-    "Compare the hours worked by {employee_0} and {employee_1} in {time_period_0}",
-    "Compare the hours spent on {project_0} and {project_1} in {time_period_0}",
-    "Which projects had the most hours in {time_period_0}?",
-    "Which employees worked the most hours in {time_period_0}?",
-    "List all hours for {employee_0} by project in {time_period_0}",
-    "How many hours did employees in {department_0} work in {time_period_0}?",
+    *_LIBRARY[:10], _LIBRARY[11],
     "Send {percentage_0} of the {date_0} report on {project_id_0} to {email_0} for {number_0} people",
     "What is the weather like today?",
 )
@@ -199,8 +187,6 @@ def requests(spark: SparkSession, base: str) -> DataFrame:
 
 def used_templates(spark: SparkSession, base: str) -> DataFrame:
     """The built-in templates with use counts, success rates and last use taken from events."""
-    from hourlens.sources.templates import library
-
     ours = library(spark)
     size = ours.count()
     stats = feedback(spark, base).groupBy(

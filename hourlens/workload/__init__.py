@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-GROUPS = ("reports", "texts", "names", "templates", "learning", "charts", "jobs")
+GROUPS = ("reports", "texts", "names", "templates", "learning", "charts", "jobs", "files")
 
 
 def register(key: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -29,6 +29,11 @@ def register(key: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def cores(spark: SparkSession) -> int:
+    """Partitions for the small logs of the workload, whose files give one task each."""
+    return spark.sparkContext.defaultParallelism
+
+
 def load() -> None:
     """Import every group once, which fills QUERIES and ORACLES."""
     for group in GROUPS:

@@ -172,12 +172,18 @@ def fill_sql(spark, base):
 @register("job_fill", f"""
 WITH {PARTS_SQL}, {TEMPLATES_SQL.strip()}, {SLOTS_SQL}, {_FILLED.strip()}
 SELECT question_id, any_value(template_id) AS template_id, any_value(sql) AS sql,
-  max(normalized) FILTER (placeholder = '{{employee_0}}') AS employee, max(normalized) FILTER (placeholder = '{{project_0}}') AS project,
-  max(normalized) FILTER (placeholder = '{{department_0}}') AS department, max(start_date) AS start_date, max(end_date) AS end_date
+  coalesce(string_agg(normalized, '|' ORDER BY placeholder) FILTER (entity_type = 'employee'), '') AS employees,
+  coalesce(string_agg(normalized, '|' ORDER BY placeholder) FILTER (entity_type = 'project'), '') AS projects,
+  coalesce(string_agg(normalized, '|' ORDER BY placeholder) FILTER (entity_type = 'department'), '') AS departments,
+  coalesce(string_agg(start_date || ' ' || end_date, '|' ORDER BY placeholder), '') AS periods
 FROM slots JOIN filled USING (question_id, template_id) GROUP BY question_id""")
 def job_fill(spark, base):
     slots, templates = _slots(spark, base)
-    return A.filled_sql(slots, templates).join(A.parameters(slots).drop("template_id"), "question_id")
+    periods = F.transform("periods", lambda p: F.concat_ws(" ", p["start_date"].cast("string"), p["end_date"].cast("string")))
+    lists = A.parameters(slots).select(
+        "question_id", *(F.array_join(name, "|").alias(name) for name in ("employees", "projects", "departments")),
+        F.array_join(periods, "|").alias("periods"))
+    return A.filled_sql(slots, templates).join(lists, "question_id")
 
 
 @register("sql_to_template", f"""
@@ -258,11 +264,15 @@ def job_maintain(spark, base):
     return MT.maintain(used_templates(spark, base), quality, 10).select("template_id", F.round("quality", 9).alias("quality"))
 
 
-@register("sample_rows")
+@register("sample_rows", f"""
+WITH {STAR_SQL}
+SELECT employee_id, rank, start_date, project_id, hours FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY employee_id ORDER BY start_date NULLS FIRST, project_id NULLS FIRST, hours NULLS FIRST) AS INTEGER)
+    AS rank FROM work_hour) WHERE rank <= 5""")
 def sample_rows(spark, base):
-    """First five fact rows of every employee, kept as JSON."""
+    """First five fact rows of every employee."""
     fact = star(spark, base).work_hour.select("employee_id", "start_date", "project_id", "hours")
-    return MT.sample_rows(fact, "employee_id").select("employee_id", F.array_join("samples", "\n").alias("samples"))
+    return MT.first_rows(fact, "employee_id")
 
 
 # --- answers ------------------------------------------------------------------------------

@@ -8,8 +8,8 @@ from hourlens.functions import extract as X
 from hourlens.operators import names as N
 from hourlens.operators.partitioning import spread
 from hourlens.plans.extraction import fill_text, find_mentions, mentions_long
-from hourlens.sources.tpch import aliases, dictionary, question_parts, questions, table
-from hourlens.workload import register
+from hourlens.sources.tpch import SKELETONS, aliases, dictionary, question_parts, questions, table
+from hourlens.workload import cores, register
 from hourlens.workload.texts import PARTS_SQL, QUESTIONS_SQL, with_questions
 
 DICTIONARY_SQL = """
@@ -47,7 +47,7 @@ FROM questions q JOIN dictionary d
   ON regexp_matches(lower(q.text), '(^|[^a-z0-9_])' || lower(d.entity) || '($|[^a-z0-9_])')""")
 def dictionary_match(spark, base):
     known = dictionary(spark, base)
-    return N.dictionary_hits(spread(questions(spark, base)), N.known_names(known), N.name_sizes(known)).select(
+    return N.dictionary_hits(spread(questions(spark, base), cores(spark)), N.known_names(known), N.name_sizes(known)).select(
         "question_id", "entity_type", F.col("canonical").alias("entity")).distinct()
 
 
@@ -206,20 +206,8 @@ _EXPECTED = {
 MENTIONS_SQL = "mentions AS (" + " UNION ALL ".join(
     f"SELECT question_id, '{t}' AS entity_type, {o} AS ordinal, {v} AS value, {n} AS normalized FROM parts WHERE shape = {s}"
     for s, rows in _EXPECTED.items() for t, o, v, n in rows) + ")"
-_SKELETONS = {
-    0: "How many hours did {employee_0} work on the {project_0} project in {time_period_0}?",
-    1: "What projects did {employee_0} work on in {time_period_0}?",
-    2: "Who worked on the {project_0} project in {time_period_0}?",
-    3: "How many hours did {employee_0} work in {time_period_0}?",
-    4: "How many hours were spent on the {project_0} project in {time_period_0}?",
-    5: "Compare the hours worked by {employee_0} and {employee_1} in {time_period_0}",
-    7: "Which projects had the most hours in {time_period_0}?",
-    8: "Which employees worked the most hours in {time_period_0}?",
-    9: "List all hours for {employee_0} by project in {time_period_0}",
-    10: "How many hours did employees in {department_0} work in {time_period_0}?",
-    11: "Send {percentage_0} of the {date_0} report on {project_id_0} to {email_0} for {number_0} people",
-    12: "How many hours did they work in {time_period_0}?",
-}
+_SKELETONS = dict(enumerate(SKELETONS[:12])) | {12: "How many hours did they work in {time_period_0}?"}
+del _SKELETONS[6]  # there the order of the ids decides
 SKELETONS_SQL = "skeletons AS (SELECT question_id, session_id, ts, shape, CASE shape " + " ".join(
     f"WHEN {n} THEN '{s}'" for n, s in _SKELETONS.items()) + (
     f" WHEN 6 THEN CASE WHEN {_SWAP} THEN 'Compare the hours spent on {{project_id_1}} and {{project_id_0}} in {{time_period_0}}'"
@@ -229,7 +217,7 @@ SKELETONS_SQL = "skeletons AS (SELECT question_id, session_id, ts, shape, CASE s
 
 def extracted(spark, base):
     return find_mentions(
-        questions(spark, base), dictionary(spark, base), aliases(spark, base), chinese=False)
+        questions(spark, base), dictionary(spark, base), aliases(spark, base), chinese=False, partitions=cores(spark))
 
 
 @register("job_extract", f"WITH {PARTS_SQL}, {MENTIONS_SQL} SELECT * FROM mentions")
@@ -263,7 +251,7 @@ SELECT DISTINCT question_id, entity_type, value FROM mentions
 WHERE entity_type IN ('employee', 'project', 'department', 'project_id', 'email')""")
 def merge_mentions(spark, base):
     """Pattern mentions and dictionary names of a question as one set."""
-    log = spread(questions(spark, base))
+    log = spread(questions(spark, base), cores(spark))
     by_pattern = [
         log.select("question_id", F.lit(kind).alias("entity_type"),
                    F.explode(X.mentions_of_form(F.col("text"), kind)).alias("value"))

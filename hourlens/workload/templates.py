@@ -10,7 +10,7 @@ from hourlens.functions import similarity as S
 from hourlens.operators import matching as M
 from hourlens.sources.templates import GENERAL, SPECIAL
 from hourlens.sources.tpch import OPENINGS, SKELETONS, skeleton_log, table, used_templates
-from hourlens.workload import register
+from hourlens.workload import cores, register
 
 AS_OF = dt.date(2024, 2, 1)
 
@@ -175,7 +175,7 @@ SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df,
 FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 1000""")
 def tfidf_fit(spark, base):
     """Vocabulary of the whole documents table; the 1000 most frequent terms are the feature."""
-    fitted = M.tfidf_fit(table(spark, base, "documents"), "doc_id", "text")
+    fitted = M.tfidf_fit(table(spark, base, "documents"), "doc_id", "text", 1000, partitions=cores(spark))
     return fitted.withColumn("idf", F.round("idf", 9))
 
 

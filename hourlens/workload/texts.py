@@ -11,7 +11,7 @@ from hourlens.functions.periods import normalize_period, period_range
 from hourlens.operators.partitioning import compute_once, spread
 from hourlens.operators.windows import dedupe_first, number_by_length
 from hourlens.sources.tpch import QUESTION_SHAPES, question_parts, questions, table
-from hourlens.workload import register
+from hourlens.workload import cores, register
 from hourlens.workload.reports import STAR_SQL
 
 
@@ -57,7 +57,7 @@ WHERE len(hits) > 0""")
 
 def _found(spark, base, *forms: str) -> DataFrame:
     hits = X.mentions_of_form(F.col("text"), *forms)
-    found = compute_once(spread(questions(spark, base)), "hits", hits)
+    found = compute_once(spread(questions(spark, base), cores(spark)), "hits", hits)
     return found.where(F.size("hits") > 0).select(
         "question_id", F.array_join(F.array_sort("hits"), "|").alias("found"))
 
