@@ -113,7 +113,7 @@ def slots(place: int, size: int, kinds: np.ndarray, where) -> list[str]:
     out = []
     for i in range(place, min(place + size, len(kinds))):
         if kinds[i]:
-            stop = at[i + 1] if kinds[i] == _NAME and i + 1 < len(at) else at[i] + 1
+            stop = at[i] + 1 if kinds[i] != _NAME else at[i + 1] if i + 1 < len(at) else len(tokens)
             out.append(f"{kinds[i]}:" + " ".join(_AROUND.sub("", t).lower() or t for t in tokens[at[i]:stop]))
     return out
 
