@@ -259,33 +259,42 @@ def _starts_chinese(name: Column) -> Column:
     return F.rlike(name, F.lit(f"^[{X.CJK}]"))
 
 
-def name_sizes(dictionary: DataFrame, aliases: DataFrame | None = None) -> tuple[int, int]:
-    """Most words in a Latin name and most characters in a Chinese one (one small job)."""
+_LEAD, _TRAIL = r"^[^\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+$"
+
+
+def name_sizes(dictionary: DataFrame, aliases: DataFrame | None = None) -> tuple[int, int, int]:
+    """Most words in a Latin name, most characters in a Chinese one, most signs around a name (one small job)."""
     name = F.trim("name")
     named = dictionary.select(F.col("entity").alias("name"))
     if aliases is not None:
         named = named.union(aliases.select(F.explode(F.array("canonical", "alias"))))
+    signs = F.greatest(*(F.length(F.regexp_extract(name, pattern, 0)) for pattern in (_LEAD, _TRAIL)))
     row = named.agg(
         F.max(F.when(~_starts_chinese(name), F.size(X.matches(name, WORD)))).alias("words"),
-        F.max(F.when(_starts_chinese(name), F.length(name))).alias("characters"),
+        F.max(F.when(_starts_chinese(name), F.length(name))).alias("characters"), F.max(signs).alias("signs"),
     ).first()
-    return row.words or 0, row.characters or 0
+    return row.words or 0, row.characters or 0, row.signs or 0
+
+
+_PIECE = "struct<start:int,before:int,around:string,piece:string>"
+
 
+def _piece(text: Column, start: Column, size: Column, signs: int) -> Column:
+    """A part of a text in lower case, with up to ``signs`` characters on both sides of it as they are written."""
+    before = F.least(start, F.lit(signs))
+    around = F.substring(text, start - before + 1, before + size + signs)
+    return F.struct(start.alias("start"), before.alias("before"), around.alias("around"),
+                    F.lower(F.substring(around, before + 1, size)).alias("piece"))
 
-def _runs(text: Column, tokens: Column, most_words: int) -> Column:
-    """array<struct<start, end, piece>>: every run of up to ``most_words`` words, lower case."""
-    def run(first: Column, last: Column) -> Column:
-        size = last["end"] - first["start"]
-        piece = F.lower(F.substring(text, first["start"] + 1, size))
-        return F.struct(first["start"].alias("start"), last["end"].alias("end"), piece.alias("piece"))
 
-    return F.flatten(F.transform(
-        tokens,
-        lambda t, i: F.transform(F.slice(tokens, i + 1, F.lit(most_words)), lambda last: run(t, last)),
-    ))
+def _runs(text: Column, tokens: Column, most_words: int, signs: int) -> Column:
+    """Every run of up to ``most_words`` words."""
+    return F.flatten(F.transform(tokens, lambda t, i: F.transform(
+        F.slice(tokens, i + 1, F.lit(most_words)),
+        lambda last: _piece(text, t["start"], last["end"] - t["start"], signs))))
 
 
-def _chinese_pieces(text: Column, longest: int) -> Column:
+def _chinese_pieces(text: Column, longest: int, signs: int) -> Column:
     size = F.length(text)
     starts = F.filter(
         F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))),
@@ -293,42 +302,37 @@ def _chinese_pieces(text: Column, longest: int) -> Column:
     )
     pieces = F.flatten(F.transform(starts, lambda p: F.transform(
         F.filter(F.sequence(F.lit(1), F.lit(longest)), lambda n: p + n <= size),
-        lambda n: F.struct(
-            p.alias("start"), (p + n).alias("end"),
-            F.lower(F.substring(text, p + 1, n)).alias("piece"),
-        ),
-    )))
-    return F.when(X.has_chinese(text), pieces).otherwise(
-        F.array().cast("array<struct<start:int,end:int,piece:string>>"))
+        lambda n: _piece(text, p, n, signs))))
+    return F.when(X.has_chinese(text), pieces).otherwise(F.array().cast(f"array<{_PIECE}>"))
 
 
 def dictionary_hits(
-    texts: DataFrame, names: DataFrame, sizes: tuple[int, int], key: str = "question_id", text: str = "text"
+    texts: DataFrame, names: DataFrame, sizes: tuple[int, int, int], key: str = "question_id", text: str = "text"
 ) -> DataFrame:
     """Every known name in every text: (key, start, end, entity_type, value, canonical).
 
     Latin names match whole words, ignoring case; Chinese names match anywhere.
     The runs of words of a text are joined by equality with the names, which
     Spark broadcasts while they are small and hash-shuffles when they are not.
+    A run carries itself and the few signs around it, never its text.
     """
-    words, characters = sizes
+    words, characters, signs = sizes
     body = F.col(text)
     tokens = texts.select(key, text, X.spans(body, f"({WORD})").alias("_tokens"))
-    pieces = _runs(body, F.col("_tokens"), max(words, 1))
+    pieces = _runs(body, F.col("_tokens"), max(words, 1), signs)
     if characters:
-        pieces = F.concat(pieces, _chinese_pieces(body, characters))
-    candidates = tokens.select(key, text, F.explode_outer(pieces).alias("_p"))
+        pieces = F.concat(pieces, _chinese_pieces(body, characters, signs))
+    candidates = tokens.select(key, F.explode(pieces).alias("_p")).select(key, "_p.*")
     # A name may begin or end with punctuation that is not part of its words.
-    edges = r"^[^\p{L}\p{N}_]+"
-    trimmed = F.regexp_replace(F.regexp_replace(F.lower("name"), edges, ""), r"[^\p{L}\p{N}_]+$", "")
+    trimmed = F.regexp_replace(F.regexp_replace(F.lower("name"), _LEAD, ""), _TRAIL, "")
     index = names.select(
         "entity_type", "canonical", F.lower("name").alias("_name"), trimmed.alias("piece"),
-        F.length(F.regexp_extract(F.lower("name"), edges, 0)).alias("_lead"),
+        F.length(F.regexp_extract(F.lower("name"), _LEAD, 0)).alias("_lead"),
     ).where(F.length("piece") > 0)
-    start = F.col("_p.start") - F.col("_lead")
-    value = F.substring(F.col(text), start + 1, F.length("_name"))
+    start = F.col("start") - F.col("_lead")
+    value = F.substring(F.col("around"), F.col("before") - F.col("_lead") + 1, F.length("_name"))
     return (
-        candidates.withColumn("piece", F.col("_p.piece")).join(index, "piece")
+        candidates.join(index, "piece")
         .where((start >= 0) & (F.lower(value) == F.col("_name")))
         .select(key, start.alias("start"), (start + F.length("_name")).alias("end"),
                 "entity_type", value.alias("value"), "canonical")

@@ -107,3 +107,15 @@ def test_files(spark, aliases, tmp_path):
     assert json.loads(nested_aliases(loaded).first().aliases) == nested["employee"]
     save_aliases(aliases, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == aliases.count()
+
+
+def test_runs_do_not_carry_their_text(spark):
+    """A text of 20,000 words with two names, one with signs around it; and the size of what is joined."""
+    names = spark.createDataFrame([("project", "(Big) Plan!"), ("employee", "Alex Stone")], schemas.DICTIONARY)
+    long = " ".join(["word"] * 10_000) + " alex STONE (big) plan! " + " ".join(["more"] * 10_000) + " (Big) Plan"
+    log = spark.createDataFrame([(1, long)], "question_id BIGINT, text STRING")
+    known, sizes = N.known_names(names), N.name_sizes(names)
+    assert sizes == (2, 0, 1)
+    got = rows(N.dictionary_hits(log, known, sizes), "entity_type", "value", "start", "end")
+    at = long.index("alex")
+    assert got == [("employee", "alex STONE", at, at + 10), ("project", "(big) plan!", at + 11, at + 22)]
