@@ -65,7 +65,8 @@ def keyword_scores(skeletons: DataFrame, templates: DataFrame, floor: float, pru
     """
     if floor <= 0.2:
         raise ValueError("a floor of 0.2 or less accepts pairs with nothing in common")
-    pairs = word_pairs(skeletons, templates).withColumn("_l", 0.4 * F.col("word") + 0.2 * F.col("content"))
+    every = word_pairs(skeletons, templates)
+    pairs = every.withColumn("_l", 0.4 * F.col("word") + 0.2 * F.col("content"))
     per_skeleton = Window.partitionBy("skeleton")
     if prune:
         pairs = pairs.withColumn("_best", F.max("_l").over(per_skeleton)).where(
@@ -80,6 +81,7 @@ def keyword_scores(skeletons: DataFrame, templates: DataFrame, floor: float, pru
     alike = (
         open_.where(size > 0).select("skeleton", F.explode(lengths).alias("_n"))
         .join(templates.select("template_id", "template_query", F.length("template_query").alias("_n")), "_n")
+        .join(every.select("skeleton", "template_id"), ["skeleton", "template_id"], "left_anti")
         .select("skeleton", "template_id", "template_query",
                 F.lit(0.0).alias("word"), F.lit(0.0).alias("content"))
     )
