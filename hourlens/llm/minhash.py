@@ -239,15 +239,17 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 def without_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs``, with all columns, that are kept; of rows with one doc_id and one text one stays.
 
-    Texts of the rows that stay are not shuffled unless their doc_id is repeated.
+    Texts are shuffled once, by doc_id, at every size: what is dropped has no bound.
     """
     named = written(near_duplicates(docs, settings).select("doc_id", "text_key", "kept"), "decided")
     gone = written(named.where(~F.col("kept")).select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "gone")
     often = written(named.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "often")
-    stay = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")),
+    stay = docs.join(gone.hint("merge"), (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")),
                      "left_anti")
+    if often.isEmpty():
+        return stay
     same = F.col("doc_id").cast("long") == F.col("_id")
     return stay.join(often, same, "left_anti").union(
         stay.join(often, same, "left_semi").dropDuplicates(["doc_id", "text"]))
