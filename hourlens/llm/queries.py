@@ -25,8 +25,10 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(fn: Query) -> Query:
+def query(fn: Query, sql: str | None = None) -> Query:
     QUERIES[fn.__name__] = fn
+    if sql is not None:
+        ORACLES[fn.__name__] = sql
     return fn
 
 
@@ -62,12 +64,29 @@ def op1_toxicity(spark: SparkSession, base: str) -> DataFrame:
     return classify(table(spark, base, "documents"), table(spark, base, "labels"))
 
 
-@query
+NEAR_SQL = """
+WITH RECURSIVE
+words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.other),
+least_of AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least_of USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
+
+
 def op10_near_duplicates(spark: SparkSession, base: str) -> DataFrame:
     found = near_duplicates(table(spark, base, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+query(op10_near_duplicates, NEAR_SQL)
+
+
 @query
 def op3_neighbours(spark: SparkSession, base: str) -> DataFrame:
     return nearest(table(spark, base, "embeddings"))
