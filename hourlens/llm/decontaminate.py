@@ -1,8 +1,10 @@
 """Benchmark decontamination by template windows: questions with other numbers, names and units are found too.
 
 Texts become templates: numbers, units behind numbers and names (capitalised
-words inside sentences, runs of them as one) are placeholders with a type,
-other words stand for themselves in lower case without signs around them.
+words, runs of them as one) are placeholders with a type, other words stand
+for themselves in lower case without signs around them. The first word of a
+sentence may be a name or not, and a copy may have lost its capitals: texts
+are read in several ways, and a window counts when any of its readings is found.
 Windows of neighbouring words of documents and benchmark items are joined by
 their hash. Where windows line up, what fills the placeholders must map
 consistently: one value of the item to one value of the document.
@@ -73,20 +75,37 @@ class _Words(dict):
         return value
 
 
-def template(text: str | None, known: dict, first_is_name: bool = False):
-    """Hashes of a text's template, the type of each place (0: a word), and the tokens each place begins with."""
+#: How names are read: at which sentence starts a capitalised word is a name, by the sentence's number modulo the length;
+#: PLAIN: no word is a name.
+WORDS, NAMES, PLAIN = (0,), (1,), None
+
+
+def _tokens(text: str | None, known: dict):
+    """A text's tokens, what is known of their words, their flags, and the number of sentences begun before each."""
     tokens = _GLUED.sub(" ", text).split() if text else []
     info = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     flags = (info & np.uint64(31)).astype(np.int64)
-    start = np.concatenate([[not first_is_name], (flags[:-1] & _END) > 0]) if len(flags) else np.zeros(0, bool)
+    ends = np.zeros(len(flags), np.int64)
+    ends[1:] = (flags[:-1] & _END) > 0
+    return tokens, info, flags, ends
+
+
+def _read(parsed, reading):
+    tokens, info, flags, ends = parsed
+    start = ends > 0
+    start[:1] = True
     number = (flags & _NUM) > 0
-    name = ((flags & _CAPITAL) > 0) & ~start & ~number
+    name = ((flags & _CAPITAL) > 0) & ~number
+    if reading is PLAIN:
+        name[:] = False
+    else:
+        name &= ~start | (np.array(reading)[np.cumsum(start) % len(reading)] > 0)
     unit = np.zeros(len(flags), bool)
     unit[1:] = ((flags[1:] & _UNIT) > 0) & number[:-1]
     kinds = np.select([number, name & ~unit, unit], [_NUM, _NAME, _UNIT], 0)
     kept = info > 0
     again = np.zeros(len(kept), bool)
-    again[1:] = (kinds[1:] == _NAME) & (kinds[:-1] == _NAME) & ~((flags[:-1] & _END) > 0)
+    again[1:] = (kinds[1:] == _NAME) & (kinds[:-1] == _NAME) & ~(ends[1:] > 0)
     kept &= ~again
     value = info >> np.uint64(5)
     for kind, h in _HASHES.items():
@@ -95,9 +114,13 @@ def template(text: str | None, known: dict, first_is_name: bool = False):
     return value[at], kinds[at], [tokens, at]
 
 
-def template_windows(text: str | None, known: dict, s: Settings, first_is_name: bool = False):
-    """Hash and place of every window with enough plain words; and what is needed to read its values."""
-    values, kinds, where = template(text, known, first_is_name)
+def template(text: str | None, known: dict, reading=WORDS):
+    """Hashes of a text's template, the type of each place (0: a word), and the tokens each place begins with."""
+    return _read(_tokens(text, known), reading)
+
+
+def _windows(read, s: Settings):
+    values, kinds, where = read
     hashes = windows(values, s.words).view(np.int64)
     if not len(hashes):
         return hashes, np.zeros(0, np.int64), kinds, where
@@ -107,6 +130,26 @@ def template_windows(text: str | None, known: dict, s: Settings, first_is_name:
     return hashes[good], good, kinds, where
 
 
+def readings(text: str | None, known: dict, s: Settings):
+    """For every reading that differs: it, and hash and place of each window with enough plain words, and what reads its values."""
+    parsed = _tokens(text, known)
+    _, info, flags, ends = parsed
+    capital = ((flags & _CAPITAL) > 0) & ((flags & _NUM) == 0)
+    start = ends > 0
+    start[:1] = True
+    starts = np.flatnonzero(start & capital)
+    if not capital.any():
+        some = [NAMES]
+    elif not len(starts):
+        some = [NAMES, PLAIN]
+    else:
+        # Starts that can share a window need all combinations, others only both readings.
+        size = next((n for n in (4, 2) if (starts[n // 2:] - starts[:-(n // 2)] < 2 * s.words).any()), 1)
+        used = sum(1 << int(i) for i in set((np.cumsum(start)[starts] % size).tolist()))
+        some = [tuple(k >> i & 1 for i in range(size)) for k in range(1 << size) if not k & ~used] + [PLAIN]
+    return [(r, *_windows(_read(parsed, r), s)) for r in some]
+
+
 def slots(place: int, size: int, kinds: np.ndarray, where) -> list[str]:
     """Values of the placeholders in a window, each with its type in front."""
     tokens, at = where
@@ -119,24 +162,34 @@ def slots(place: int, size: int, kinds: np.ndarray, where) -> list[str]:
 
 
 def _items(benchmark: DataFrame, s: Settings) -> DataFrame:
-    """(item_id, hash, place, total, values) of the items' windows, with a first word both as word and as name."""
+    """(item_id, hash, place, counted, total, item_values) of the items' windows in all readings.
+
+    ``counted`` is the window's first token, in a run of capitalised words that
+    of the run: it is one in all readings. The windows that count are those
+    with enough plain words where all capitalised words are names, or
+    where there are none, those of any reading.
+    """
 
     def run(batches):
         known = _Words()
         for batch in small(batches):
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                both = [template_windows(text, known, s, flag) for flag in (False, True)]
-                total = len(set().union(*(places.tolist() for _, places, _, _ in both)))
-                rows += {(item, int(h), int(p), total, tuple(slots(p, s.words, kinds, where)))
-                         for hashes, places, kinds, where in both for h, p in zip(hashes, places)}
+                runs = template(text, known, NAMES)[2][1]
+                found = [(r, int(h), int(p), int(runs[np.searchsorted(runs, where[1][p], "right") - 1]),
+                          tuple(slots(p, s.words, kinds, where)))
+                         for r, hashes, places, kinds, where in readings(text, known, s) for h, p in zip(hashes, places)]
+                names = _windows(template(text, known, NAMES), s)[1]
+                counted = {int(runs[p]) for p in names} or {c for _, _, _, c, _ in found}
+                rows += {(item, h, p, c, len(counted), values) for _, h, p, c, values in found if c in counted}
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate(
-                    (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())))],
-                ["item_id", "hash", "place", "total", "item_values"])
+                    (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())))],
+                ["item_id", "hash", "place", "counted", "total", "item_values"])
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return items.mapInArrow(run, "item_id long, hash long, place int, total int, item_values array<string>")
+    return items.mapInArrow(
+        run, "item_id long, hash long, place int, counted int, total int, item_values array<string>")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -166,10 +219,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
         for batch in small(batches, 256):
             rows = []
             for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                hashes, places, kinds, where = template_windows(text, known, s)
-                bit = hashes & np.int64(mask)
-                hit = np.flatnonzero((filter_[bit >> np.int64(3)] >> (bit & np.int64(7)).astype(np.uint8)) & np.uint8(1))
-                rows += [(doc, key, int(hashes[i]), int(places[i]), slots(places[i], s.words, kinds, where)) for i in hit]
+                own = set()
+                for _, hashes, places, kinds, where in readings(text, known, s):
+                    bit = hashes & np.int64(mask)
+                    hit = np.flatnonzero((filter_[bit >> np.int64(3)] >> (bit & np.int64(7)).astype(np.uint8)) & np.uint8(1))
+                    own |= {(doc, key, int(hashes[i]), int(places[i]), tuple(slots(places[i], s.words, kinds, where)))
+                            for i in hit}
+                rows += own
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate(
                     (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())))],
@@ -181,7 +237,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     # Windows of one shift lie over the item as one; a value of the item may have one value there.
     pair = F.zip_with("item_values", "doc_values", lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     laid = both.groupBy("doc_id", "text_key", "item_id", "total", "shift").agg(
-        F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
+        F.collect_set("counted").alias("places"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
     one = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["x"])))
     changed = F.exists("pairs", lambda p: p["x"] != p["y"])
     return laid.where(one).groupBy("doc_id", "text_key", "item_id", "total").agg(

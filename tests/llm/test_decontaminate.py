@@ -80,3 +80,19 @@ def test_clean_drops_rows_by_text(spark, benchmark):
     table, other = benchmark
     docs = spark.createDataFrame([(1, other), (1, "another text"), (None, other), (None, "no id")], "doc_id long, text string")
     assert sorted(r.text for r in clean(docs, table, Settings()).collect()) == ["another text", "no id"]
+
+
+FARM = "A farm has 14 cows and 9 goats. Tom sells 3 cows. Anna buys 2 goats. How many animals are on the farm?"
+
+
+def test_finds_names_at_sentence_starts_and_lost_capitals(spark):
+    rng = random.Random(17)
+    benchmark = spark.createDataFrame([(0, ITEM), (1, FARM)], "item_id long, text string")
+    renamed = FARM.replace("Tom", "Kim").replace("Anna", "Zoe").replace("14", "25")
+    odd = FARM.replace("3 cows. Anna", "3 hens. Anna").replace("goats", "sheep")
+    texts = {1: ITEM.lower(), 2: ITEM.upper(), 3: renamed, 4: FARM.lower(), 5: FARM.upper(), 6: odd,
+             7: " ".join(FARM.split()[:14])}
+    docs = [(i, f"{prose(rng, 50)}. {text} {prose(rng, 60)}") for i, text in texts.items()]
+    got = found(spark.createDataFrame(docs, "doc_id long, text string"), benchmark)
+    assert set(got) == {(1, 0), (2, 0), (3, 1), (4, 1), (5, 1)}
+    assert got[3, 1].changed
