@@ -7,7 +7,9 @@ sentence may be a name or not, and a copy may have lost its capitals: texts
 are read in several ways, and a window counts when any of its readings is found.
 Windows of neighbouring words of documents and benchmark items are joined by
 their hash. Where windows line up, what fills the placeholders must map
-consistently: one value of the item to one value of the document.
+consistently: one value of the item to one value of the document. Items of
+fewer words than a window are one shorter window; items that are mostly names
+and numbers are looked up as they stand, by windows of all their tokens.
 """
 
 from __future__ import annotations
@@ -119,19 +121,35 @@ def template(text: str | None, known: dict, reading=WORDS):
     return _read(_tokens(text, known), reading)
 
 
-def _windows(read, s: Settings):
+def _windows(read, s: Settings, size: int | None = None):
+    """Hash and place of every window with enough plain words, and what reads its values; ``size`` is all words at most."""
     values, kinds, where = read
-    hashes = windows(values, s.words).view(np.int64)
-    if not len(hashes):
-        return hashes, np.zeros(0, np.int64), kinds, where
-    size = min(s.words, len(values))
+    size = min(s.words, len(values)) if size is None else size
+    if not size or len(values) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), kinds, where
+    hashes = windows(values, size).view(np.int64)
     plain = np.convolve(kinds == 0, np.ones(size, np.int64), "valid")
     good = np.flatnonzero(plain >= min(s.plain, size))
     return hashes[good], good, kinds, where
 
 
-def readings(text: str | None, known: dict, s: Settings):
-    """For every reading that differs: it, and hash and place of each window with enough plain words, and what reads its values."""
+class _Tokens(dict):
+    """Hash of each token as it stands, in lower case without punctuation around it; starts anew when it is large."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        self[token] = value = xxhash.xxh3_64_intdigest((token.strip("()[]{}.,;:!?\"'").lower() or token), 1)
+        return value
+
+
+def literal(text: str | None, known: _Tokens) -> np.ndarray:
+    tokens = _GLUED.sub(" ", text).split() if text else []
+    return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def readings(text: str | None, known: dict, s: Settings) -> list:
+    """The template of a text in every reading that differs."""
     parsed = _tokens(text, known)
     _, info, flags, ends = parsed
     capital = ((flags & _CAPITAL) > 0) & ((flags & _NUM) == 0)
@@ -147,7 +165,7 @@ def readings(text: str | None, known: dict, s: Settings):
         size = next((n for n in (4, 2) if (starts[n // 2:] - starts[:-(n // 2)] < 2 * s.words).any()), 1)
         used = sum(1 << int(i) for i in set((np.cumsum(start)[starts] % size).tolist()))
         some = [tuple(k >> i & 1 for i in range(size)) for k in range(1 << size) if not k & ~used] + [PLAIN]
-    return [(r, *_windows(_read(parsed, r), s)) for r in some]
+    return [_read(parsed, r) for r in some]
 
 
 def slots(place: int, size: int, kinds: np.ndarray, where) -> list[str]:
@@ -162,34 +180,42 @@ def slots(place: int, size: int, kinds: np.ndarray, where) -> list[str]:
 
 
 def _items(benchmark: DataFrame, s: Settings) -> DataFrame:
-    """(item_id, hash, place, counted, total, item_values) of the items' windows in all readings.
+    """(item_id, hash, size, literal, place, counted, total, item_values) of the items' windows in all readings.
 
     ``counted`` is the window's first token, in a run of capitalised words that
     of the run: it is one in all readings. The windows that count are those
     with enough plain words where all capitalised words are names, or
-    where there are none, those of any reading.
+    where there are none, those of any reading. Where these have none either,
+    all windows of the tokens as they stand count (``literal``), unless no
+    token has a letter or digit.
     """
 
     def run(batches):
-        known = _Words()
+        known, tokens = _Words(), _Tokens()
         for batch in small(batches):
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                runs = template(text, known, NAMES)[2][1]
-                found = [(r, int(h), int(p), int(runs[np.searchsorted(runs, where[1][p], "right") - 1]),
-                          tuple(slots(p, s.words, kinds, where)))
-                         for r, hashes, places, kinds, where in readings(text, known, s) for h, p in zip(hashes, places)]
-                names = _windows(template(text, known, NAMES), s)[1]
-                counted = {int(runs[p]) for p in names} or {c for _, _, _, c, _ in found}
-                rows += {(item, h, p, c, len(counted), values) for _, h, p, c, values in found if c in counted}
+                names = template(text, known, NAMES)
+                runs, found = names[2][1], []
+                for read in readings(text, known, s):
+                    size = min(s.words, len(read[0]))
+                    hashes, places, kinds, where = _windows(read, s)
+                    found += [(int(h), size, int(p), int(runs[max(np.searchsorted(runs, where[1][p], "right") - 1, 0)]),
+                               tuple(slots(p, size, kinds, where))) for h, p in zip(hashes, places)]
+                counted = {int(runs[p]) for p in _windows(names, s)[1]} or {c for _, _, _, c, _ in found}
+                rows += {(item, h, n, False, p, c, len(counted), values) for h, n, p, c, values in found if c in counted}
+                if not counted and any(map(str.isalnum, text or "")):
+                    values = literal(text, tokens)
+                    hashes = windows(values, s.words).view(np.int64).tolist()
+                    rows += [(item, h, min(s.words, len(values)), True, p, p, len(hashes), ()) for p, h in enumerate(hashes)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate(
-                    (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())))],
-                ["item_id", "hash", "place", "counted", "total", "item_values"])
+                    (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())))],
+                ["item_id", "hash", "size", "literal", "place", "counted", "total", "item_values"])
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     return items.mapInArrow(
-        run, "item_id long, hash long, place int, counted int, total int, item_values array<string>")
+        run, "item_id long, hash long, size int, literal boolean, place int, counted int, total int, item_values array<string>")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -201,9 +227,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     text, for rows of different texts with one doc_id. All windows of all
     texts are looked at: a bitmap of fixed size, made of the items' hashes,
     keeps those that may match, and the join is by the whole hash. Null and
-    empty texts and items match nothing; one item on several rows is looked up
-    as one row each; rows repeated give one result; a text shorter than a
-    window is one window.
+    empty texts and items match nothing, nor do items without a letter or digit; one
+    item on several rows is looked up as one row each; rows repeated give one
+    result; an item shorter than a window is one window, of which every text
+    is searched.
     """
     s = settings
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -212,19 +239,31 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     bits = np.zeros(1 << s.filter_bits, bool)
     for row in items.select(F.col("hash").bitwiseAND(F.lit(mask)).alias("bit")).distinct().toLocalIterator():
         bits[row.bit] = True
+    sizes = {flag: sorted(r["size"] for r in items.where(F.col("literal") == flag).select("size").distinct().collect())
+             for flag in (False, True)}
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
 
     def run(batches):
-        known, filter_ = _Words(), shared.value
+        known, tokens, filter_ = _Words(), _Tokens(), shared.value
+
+        def hits(hashes):
+            bit = hashes & np.int64(mask)
+            return np.flatnonzero((filter_[bit >> np.int64(3)] >> (bit & np.int64(7)).astype(np.uint8)) & np.uint8(1))
+
         for batch in small(batches, 256):
             rows = []
             for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 own = set()
-                for _, hashes, places, kinds, where in readings(text, known, s):
-                    bit = hashes & np.int64(mask)
-                    hit = np.flatnonzero((filter_[bit >> np.int64(3)] >> (bit & np.int64(7)).astype(np.uint8)) & np.uint8(1))
-                    own |= {(doc, key, int(hashes[i]), int(places[i]), tuple(slots(places[i], s.words, kinds, where)))
-                            for i in hit}
+                for read in readings(text, known, s) if sizes[False] else []:
+                    for size in sizes[False]:
+                        hashes, places, kinds, where = _windows(read, s, size)
+                        own |= {(doc, key, int(hashes[i]), int(places[i]), tuple(slots(places[i], size, kinds, where)))
+                                for i in hits(hashes)}
+                values = literal(text, tokens) if sizes[True] else []
+                for size in sizes[True]:
+                    if len(values) >= size:
+                        hashes = windows(values, size).view(np.int64)
+                        own |= {(doc, key, int(hashes[i]), int(i), ()) for i in hits(hashes)}
                 rows += own
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate(

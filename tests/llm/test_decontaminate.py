@@ -96,3 +96,15 @@ def test_finds_names_at_sentence_starts_and_lost_capitals(spark):
     got = found(spark.createDataFrame(docs, "doc_id long, text string"), benchmark)
     assert set(got) == {(1, 0), (2, 0), (3, 1), (4, 1), (5, 1)}
     assert got[3, 1].changed
+
+
+def test_finds_items_without_plain_windows(spark):
+    rng = random.Random(19)
+    items = {0: "Compute 12 * 7 + 35 / 5 - 4 =", 1: "Anna Bell, Kim Lee 12 14 Zoe 3 Max 5", 2: "Define entropy", 3: "12 + 7 = ?",
+             4: "Solve Kim", 5: "?!"}
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    docs = [(i, f"{prose(rng, 40)}. {text} {prose(rng, 40)}") for i, text in items.items()]
+    docs += [(10, f"{prose(rng, 40)} {items[0].replace('12', '13').replace('35', '36')} x"), (11, prose(rng, 90) + " ? ?!")]
+    got = found(spark.createDataFrame(docs, "doc_id long, text string"), benchmark)
+    assert set(got) == {(i, i) for i in range(5)}
+    assert all(r.share == 1 and not r.changed for r in got.values())
