@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourlens.llm.components import components
-from hourlens.llm.shared import shingles, small, written
+from hourlens.llm.shared import drop, shingles, small, written
 
 
 @dataclass(frozen=True)
@@ -138,8 +138,10 @@ def _full_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, settings: Se
                 batch.column(0), pa.array([xxhash.xxh3_128_digest(f.tobytes()) for f in found], pa.binary()),
                 pa.array([f.astype("<u8").tobytes() for f in found], pa.binary())], ["id", "print", "found"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    sets = texts.mapInArrow(run, "id long, print binary, found binary")
+    wanted = classes.join(ids, "id", "left_semi").select("id", F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("k")))
+    sets = texts.select("id", "text").mapInArrow(run, "id long, print binary, found binary")
     return sets.join(classes.select("id", "print"), ["id", "print"], "left_semi").dropDuplicates(["id"]).drop("print")
 
 
@@ -213,43 +215,57 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     """doc_id, text_key, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Texts with equal sets form a class and are compared once; links between
-    classes are confirmed on full sets (of 64-bit hashes). ``component_id`` is
-    the smallest doc_id reachable, ``kept`` whether that is the row's own.
-    Null, empty and blank texts have no shingles and are linked with nothing.
-    Rows without a doc_id are kept, with no component, and linked with nothing;
-    rows with one doc_id and one text are kept or not together (text_key is a
-    hash of the text); an empty table gives no rows.
+    classes are confirmed on full sets (of 64-bit hashes), and all texts of one
+    doc_id are linked. ``component_id`` is the smallest doc_id reachable,
+    ``kept`` whether that is the row's own. Null, empty and blank texts have no
+    shingles and are linked with nothing by them. Rows without a doc_id are
+    compared as well: copies of rows with one are not kept, and where no row
+    of a component has one, ``component_id`` is null and the text with the
+    smallest text_key is kept. Rows with one doc_id (or none) and one text are
+    kept or not together (text_key is a hash of the text); an empty table
+    gives no rows.
     """
     signed = written(sign(docs, settings), "signed")
-    usable = signed.where(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
-    classes = written(
-        usable.groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("m")).select(
-            "print", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"),
-            F.col("m.signature").alias("signature")), "classes")
-    # A doc_id may stand on several texts: classes with one id are one node, so their parts stay connected.
-    unique = written(classes.dropDuplicates(["id"]), "nodes")
-    found = written(components(links(docs, unique, settings)), "components")
-    named = written(classes.join(found, F.col("id") == F.col("node"), "left").select(
-        "print", F.coalesce("component", "id").alias("component")), "named")
-    return signed.join(named, "print", "left").select(
-        "doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias(
-            "component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+    usable = signed.where(F.col("print").isNotNull())
+    grouped = written(usable.groupBy("print").agg(
+        F.min(F.struct("doc_id", "text_key", "n_shingles", "signature")).alias("m"), F.min("doc_id").alias("least"),
+        F.min(F.when(F.col("doc_id").isNull(), F.col("text_key"))).alias("least_key")), "classes")
+    classes = written(grouped.select(
+        F.monotonically_increasing_id().alias("id"), "print", "least", "least_key", "m.doc_id", "m.text_key",
+        F.col("m.n_shingles").alias("n"), F.col("m.signature").alias("signature")), "classes")
+    drop(grouped)
+    # A doc_id may stand on several texts: their classes are tied to one of them.
+    several = written(usable.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min("print").alias("x"), F.max("print").alias("y")).where("x <> y").select("doc_id", "x"), "several")
+    at = classes.select("print", "id")
+    ties = usable.join(several, "doc_id").select("print", "x").distinct().join(
+        at.select(F.col("print").alias("x"), F.col("id").alias("a")), "x").join(
+        at.withColumnRenamed("id", "b"), "print").where("a <> b").select("a", "b")
+    found = written(components(links(docs, classes, settings).union(ties)), "components")
+    parts = written(classes.join(found, F.col("id") == F.col("node"), "left").select(
+        "print", "least", "least_key", F.coalesce("component", "id").alias("part")), "parts")
+    least = parts.groupBy("part").agg(F.min("least").alias("component"), F.min("least_key").alias("first_key"))
+    named = written(parts.select("print", "part").join(least, "part").select("print", "component", "first_key"), "named")
+    kept = F.when(F.col("first").isNull(), F.lit(True)).when(
+        F.col("component").isNotNull(), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(False))).otherwise(
+        F.col("text_key") == F.col("first_key"))
+    return signed.join(named.withColumn("first", F.lit(1)), "print", "left").select(
+        "doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def without_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs``, with all columns, that are kept; of rows with one doc_id and one text one stays.
+    """The rows of ``docs``, with all columns, that are kept; of rows with one doc_id (or none) and one text one stays.
 
-    Texts are shuffled once, by doc_id, at every size: what is dropped has no bound.
+    Texts are shuffled once, by doc_id and hash, at every size: what is dropped has no bound.
     """
-    named = written(near_duplicates(docs, settings).select("doc_id", "text_key", "kept"), "decided")
+    named = written(near_duplicates(docs, settings).select("doc_id", "text_key", "n_shingles", "kept"), "decided")
     gone = written(named.where(~F.col("kept")).select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "gone")
-    often = written(named.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "often")
-    stay = docs.join(gone.hint("merge"), (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")),
-                     "left_anti")
+    often = written(named.where("kept AND (doc_id IS NOT NULL OR n_shingles > 0)").groupBy("doc_id", "text_key").agg(
+        F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "often")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    stay = docs.join(gone.hint("merge"), same, "left_anti")
     if often.isEmpty():
         return stay
-    same = F.col("doc_id").cast("long") == F.col("_id")
     return stay.join(often, same, "left_anti").union(
         stay.join(often, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -131,3 +131,17 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_ids_on_several_texts_and_rows_without_id(spark):
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng, 150) for _ in range(4))
+    near = {x: " ".join(x.split()[:-1] + ["changed"]) for x in (a, b, c, d)}
+    rows = [(5, a), (5, b), (9, near[a]), (11, near[b]), (20, c), (None, c), (None, near[c]), (None, d), (None, d), (None, near[d]),
+            (None, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect() if r.doc_id is not None}
+    assert got == {(5, 5, True), (9, 5, False), (11, 5, False), (20, 20, True)}
+    kept = [(r.doc_id, r.text) for r in minhash.without_copies(docs).collect()]
+    assert sorted(t for i, t in kept if i is not None) == sorted([a, b, c]) and kept.count((None, "")) == 2
+    assert len(kept) == 6 and [t for i, t in kept if i is None and t][0] in (d, near[d])
