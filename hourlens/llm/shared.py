@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,23 @@ def small(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
             yield batch.slice(i, rows)
 
 
+def sized(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that the texts of a column hold at most ``limit`` bytes in each, or are a single row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, first = np.cumsum(sizes), 0
+        while first < batch.num_rows:
+            before = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
+def utf8(column: pa.Array) -> list[bytes]:
+    """The texts of a column as bytes, null as empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
 def held_out(doc_id: Column) -> Column:
     """True for rows no model may learn from: crc32 of the id's text leaves remainder 1 by 3 (null id: false)."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
