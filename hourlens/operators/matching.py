@@ -6,7 +6,7 @@ only pairs that can still win reach the text comparison.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourlens.functions.similarity import (
@@ -15,12 +15,16 @@ from hourlens.functions.similarity import (
     THRESHOLDS,
     combined_score,
     content_words,
+    intent,
     jaccard,
     keyword_score,
+    template_quality,
     text_similarity,
     words,
 )
-from hourlens.operators.partitioning import spread
+from hourlens.operators import ranked
+from hourlens.operators.partitioning import materialize, spread
+from hourlens.operators.setjoin import similar_sets, weighted_candidates
 
 
 def word_pairs(skeletons: DataFrame, templates: DataFrame) -> DataFrame:
@@ -88,15 +92,86 @@ def keyword_scores(skeletons: DataFrame, templates: DataFrame, floor: float, pru
     return shared.unionByName(_with_text_scores(alike)).where(F.col("score") >= floor)
 
 
+#: Weight of shared words from which a pair is looked for first, and the least one that is looked up by words.
+SEED, LEAST_WORDS = 0.3, 0.1
+
+
+def _weighted(s: DataFrame) -> DataFrame:
+    """(key, words) of skeletons with their word sets: what each word can add to 0.4 word + 0.2 content."""
+    weights = F.transform("s_words", lambda w: F.struct(w.alias("word"), (
+        0.4 / F.size("s_words") + F.when(F.array_contains("s_content", w), 0.2 / F.size("s_content")).otherwise(0.0)).alias("weight")))
+    return s.select("*", weights.alias("words")).withColumnRenamed("skeleton", "key")
+
+
+def _pair_scores(pairs: DataFrame, s: DataFrame, t: DataFrame) -> DataFrame:
+    """Word and content similarity, length ratio and texts of candidate pairs (a, b)."""
+    both = pairs.join(s.withColumnRenamed("skeleton", "a"), "a").join(t.withColumnRenamed("template_id", "b"), "b")
+    short, long = (f("a_size", "b_size") for f in (F.least, F.greatest))
+    return both.withColumns({"a_size": F.length("a"), "b_size": F.length("template_query")}).select(
+        F.col("a").alias("skeleton"), F.col("b").alias("template_id"), "template_query",
+        jaccard(F.col("s_words"), F.col("t_words")).alias("word"),
+        jaccard(F.col("s_content"), F.col("t_content")).alias("content"), (short / long).alias("ratio"))
+
+
+def bounded_pairs(skeletons: DataFrame, templates: DataFrame, floor: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs, open): pairs that can be a skeleton's best with ``floor`` or more, and skeletons that words do not bound.
+
+    First the pairs that share half of a skeleton's words by weight are found;
+    the score of the one with the most in common is what a better one must
+    reach. A score is at most 0.4 above what the words give, so a skeleton
+    whose bound is above 0.4 needs only templates that share words of the
+    rest; the frequent ones are not looked up (:func:`weighted_candidates`).
+    What the words and the ratio of the lengths cannot lift to the bound is
+    dropped before texts are compared.
+    """
+    text, body = F.col("skeleton"), F.col("template_query")
+    s = materialize(skeletons.select("skeleton").distinct().select(
+        "skeleton", words(text).alias("s_words"), content_words(text, False).alias("s_content")))
+    t = materialize(templates.select("template_id", "template_query", words(body).alias("t_words"),
+                                     content_words(body, True).alias("t_content")))
+    known = t.select(F.col("template_id").alias("key"), F.col("t_words").alias("words"))
+    weighted = _weighted(s).select("key", "words")
+    seeds = _pair_scores(weighted_candidates(weighted, known, F.lit(SEED)), s, t)
+    first = seeds.groupBy("skeleton").agg(F.max_by(F.struct("template_id", "template_query", "word", "content"),
+                                                   0.4 * F.col("word") + 0.2 * F.col("content")).alias("m"))
+    reached = _with_text_scores(first.select("skeleton", "m.*")).select(F.col("skeleton").alias("key"), "score")
+    need = F.greatest(F.lit(floor), F.coalesce("score", F.lit(0.0)))
+    bound = materialize(weighted.select("key").join(reached, "key", "left").select("key", need.alias("bound")))
+    closed = bound.where(F.col("bound") - 0.4 >= LEAST_WORDS)
+    found = weighted_candidates(weighted.join(closed, "key"), known, F.col("bound") - 0.4)
+    pairs = _pair_scores(found, s, t).join(closed.withColumnRenamed("key", "skeleton"), "skeleton").where(
+        0.4 * F.col("word") + 0.2 * F.col("content") + 0.2 * (1 + F.col("ratio")) >= F.col("bound") - 1e-9)
+    return pairs.drop("ratio", "bound"), bound.where(F.col("bound") - 0.4 < LEAST_WORDS).select(F.col("key").alias("skeleton"))
+
+
 def best_by_keyword(skeletons: DataFrame, templates: DataFrame, threshold: float = THRESHOLDS["keyword"]) -> DataFrame:
-    """Best template per skeleton by keyword score, if it reaches 0.7 of the threshold; ties by id."""
+    """Best template per skeleton by keyword score, if it reaches 0.7 of the threshold; ties by id.
+
+    Skeletons that have a good template are settled by words alone; the others
+    (where the floor is 0.4 or less and nothing much alike is found) meet every
+    template with a shared word or a like length.
+    """
     floor = threshold * KEYWORD_RELAXATION
-    scored = keyword_scores(skeletons, templates, floor)
+    pairs, open_ = bounded_pairs(skeletons, templates, floor)
+    scored = _with_text_scores(pairs).where(F.col("score") >= floor)
+    if floor - 0.4 < LEAST_WORDS:
+        scored = scored.unionByName(keyword_scores(open_, templates, floor))
     best = F.max(F.struct("score", (-F.col("template_id")).alias("neg_id"))).alias("b")
     return scored.groupBy("skeleton").agg(best).select(
         "skeleton", (-F.col("b.neg_id")).alias("template_id"), F.col("b.score").alias("score"))
 
 
+def word_sets_alike(skeletons: DataFrame, templates: DataFrame, least: float, content: bool = False) -> DataFrame:
+    """(skeleton, template_id, similarity) of all pairs whose words (or content words) have this Jaccard similarity or more."""
+    text, body = F.col("skeleton"), F.col("template_query")
+    left = content_words(text, False) if content else words(text)
+    right = content_words(body, True) if content else words(body)
+    return similar_sets(
+        skeletons.select("skeleton").distinct().select(text.alias("key"), left.alias("words")),
+        templates.select(F.col("template_id").alias("key"), right.alias("words")), least,
+    ).select(F.col("a").alias("skeleton"), F.col("b").alias("template_id"), "similarity")
+
+
 # --- tf-idf ----------------------------------------------------------------------
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -140,6 +215,38 @@ def tfidf_scores(skeletons: DataFrame, templates: DataFrame, stop_words=STOP_WOR
         F.sum(F.col("weight") * F.col("t_weight")).alias("similarity"))
 
 
+def _tfidf_sides(skeletons: DataFrame, templates: DataFrame, stop_words) -> tuple[DataFrame, DataFrame]:
+    """(a, term, a_weight) of skeletons and (b, term, b_weight) of templates, fitted on the templates."""
+    vocabulary = materialize(tfidf_fit(templates, "template_id", "template_query", stop_words=stop_words))
+    asked = skeletons.select("skeleton").distinct().withColumn("text", F.col("skeleton"))
+    left = tfidf_vectors(asked, "skeleton", "text", vocabulary, stop_words)
+    right = tfidf_vectors(templates, "template_id", "template_query", vocabulary, stop_words)
+    return left.toDF("a", "term", "a_weight"), right.toDF("b", "term", "b_weight")
+
+
+def tfidf_alike(skeletons: DataFrame, templates: DataFrame, least: float = THRESHOLDS["tfidf"], stop_words=STOP_WORDS) -> DataFrame:
+    """(skeleton, template_id, similarity) of all pairs with this similarity or more; frequent terms are not joined in full."""
+    found = ranked.alike(*_tfidf_sides(skeletons, templates, stop_words), least)
+    return found.select(F.col("a").alias("skeleton"), F.col("b").alias("template_id"), "similarity")
+
+
+def tfidf_best(skeletons: DataFrame, templates: DataFrame, as_of, n: int = 3, stop_words=STOP_WORDS) -> DataFrame:
+    """The n best templates of each skeleton by combined score, as :func:`top_candidates` of all pairs would give."""
+    quality = templates.agg(F.max(_quality(as_of)).alias("q")).scalar()
+
+    def score(pairs: DataFrame) -> DataFrame:
+        named = pairs.withColumnsRenamed({"a": "skeleton", "b": "template_id"})
+        return combined(named, templates, as_of).select(
+            F.col("skeleton").alias("a"), F.col("template_id").alias("b"), "similarity",
+            F.round("combined", 9).alias("score"))  # equal scores stay equal, whatever order their terms are summed in
+
+    # A combined score is at most the similarity raised for equal intent and for the best quality.
+    most = combined_score(F.lit(1.0), F.lit(True), F.greatest(quality, F.lit(0.0)))
+    found = ranked.best(*_tfidf_sides(skeletons, templates, stop_words), score, most, n)
+    return found.select(F.col("a").alias("skeleton"), F.col("b").alias("template_id"), "similarity",
+                        F.col("score").alias("combined"), "rank")
+
+
 # --- dense vectors ------------------------------------------------------------------
 
 
@@ -182,17 +289,15 @@ def embedding_best(
 # --- ranking ---------------------------------------------------------------------------
 
 
+def _quality(as_of) -> Column:
+    return template_quality(
+        F.col("success_rate"), F.col("usage_count"), F.col("last_used"),
+        F.size(F.array_distinct(F.transform("slots", lambda s: s["type"]))), F.lit(as_of))
+
+
 def combined(scores: DataFrame, templates: DataFrame, as_of) -> DataFrame:
     """Add ``combined``: similarity raised for equal intent and for template quality."""
-    from hourlens.functions.similarity import intent, template_quality
-
-    rated = templates.select(
-        "template_id", F.col("intent").alias("t_intent"),
-        template_quality(
-            F.col("success_rate"), F.col("usage_count"), F.col("last_used"),
-            F.size(F.array_distinct(F.transform("slots", lambda s: s["type"]))), F.lit(as_of),
-        ).alias("quality"),
-    )
+    rated = templates.select("template_id", F.col("intent").alias("t_intent"), _quality(as_of).alias("quality"))
     same = intent(F.col("skeleton")) == F.col("t_intent")
     return scores.join(rated, "template_id").withColumn(
         "combined", combined_score(F.col("similarity"), same, F.col("quality"))).drop("t_intent", "quality")

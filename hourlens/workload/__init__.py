@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-GROUPS = ("reports", "texts", "names", "templates", "learning", "charts", "jobs", "files")
+GROUPS = ("reports", "texts", "names", "templates", "sentences", "learning", "charts", "jobs", "files")
 
 
 def register(key: str, sql: str | None = None) -> Callable[[Query], Query]:
