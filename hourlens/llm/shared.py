@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -19,17 +18,10 @@ _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder all machines share, from ``spark.checkpoint.dir``.
-
-    Where that is unset and Spark runs in one process, as in tests, a folder
-    of this machine is used; on a cluster it must be set.
-    """
+    """The folder all machines share, from ``spark.checkpoint.dir``; where that is unset, an error says so."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return found.rstrip("/")
 
 
@@ -52,6 +44,14 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spare(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def small(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into slices, so that what Python holds of long texts stays small."""
     for batch in batches:
