@@ -58,12 +58,12 @@ def space_pieces(text: str) -> list[str] | None:
     return text.split(" ") if plain(text) and not _INNER_SPACE.search(text) else None
 
 
-#: A full stop or comma beside another sign, with which it would make one part.
-_JOINED_SIGNS = re.compile(r"[.,][^\w\s]|[^\w\s][.,]")
+#: A full stop or comma beside another sign, with which it would make one part. The rule takes "_" for a sign.
+_JOINED_SIGNS = re.compile(r"[.,](?:(?=_|[^\w\s])|(?<=_.)|(?<=[^\w\s].))")
 
 
-def word_pieces(text: str) -> list[str] | None:
-    """Lower-case pieces between white space, or None for texts to encode as a whole.
+def spaced(text: str) -> str | None:
+    """The text in lower case with pieces between white space, or None for texts to encode as a whole.
 
     Single full stops and commas are parts of their own by the rule and are
     cut off, so that fewer different pieces are met.
@@ -71,9 +71,7 @@ def word_pieces(text: str) -> list[str] | None:
     if not plain(text):
         return None
     text = text.lower()
-    if not _JOINED_SIGNS.search(text):
-        text = text.replace(".", " . ").replace(",", " , ")
-    return text.split()
+    return text if _JOINED_SIGNS.search(text) else text.replace(".", " . ").replace(",", " , ")
 
 
 def _byte_letters() -> list[str]:
@@ -84,6 +82,7 @@ def _byte_letters() -> list[str]:
 
 
 _LETTERS = _byte_letters()
+_WRITTEN = dict(enumerate(_LETTERS))
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Splitting rules of the two kinds of tokenizer, fixed values.
 SPACED = regex.compile(_CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -96,8 +95,8 @@ def piece_encoder(path: str, rule: regex.Pattern) -> Callable[[str], list]:
     tokenize = load(path).model.tokenize
 
     def encode(piece: str) -> list:
-        if piece.isascii() and piece.isalpha():  # one part, written as itself
-            return tokenize(piece)
+        if piece.isalpha():  # one part, in ASCII written as itself
+            return tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_WRITTEN))
         return [token for part in rule.findall(piece)
                 for token in tokenize("".join([_LETTERS[b] for b in part.encode()]))]
 

@@ -14,17 +14,19 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourlens.llm import bpe
-from hourlens.llm.shared import small, written
+from hourlens.llm.shared import sized, small, written
 
 MAGIC = b"PFR1"
 BLOCK = 512
@@ -32,6 +34,8 @@ BLOCK = 512
 HELD = 0.9
 #: Ids after which a segment is closed. A document is never divided, so a segment has at most that and a document.
 SEGMENT = 1 << 18
+#: Bytes of text that are encoded together.
+CHUNK = 4 << 20
 _HEAD = struct.Struct("<4sQI")
 _BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("n", "<u2")])
 
@@ -123,20 +127,44 @@ def decode(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 def _cache(path: str, size: int) -> bpe.Cache:
     encode_piece = bpe.piece_encoder(path, bpe.UNSPACED)
     return bpe.Cache(
-        lambda new: [np.array([t.id for t in encode_piece(p)], "<u4").tobytes() for p in new], size)
+        lambda new: [array("I", [t.id for t in encode_piece(p)]).tobytes() for p in new], size)
 
 
-def encode_texts(texts: list[str | None], path: str, end_id: int, cache_size: int) -> list[bytes]:
-    """Ids of each text with the end id, as little-endian bytes; pieces come from this worker's cache."""
+def _pieces(texts: list[str]) -> pa.ListArray:
+    """Pieces between white space of each text."""
+    return pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+
+
+def _gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of consecutive runs: starts[i], starts[i] + 1, ... for each i."""
+    before = np.cumsum(lengths) - lengths
+    return np.arange(lengths.sum()) + np.repeat(starts - before, lengths)
+
+
+def encode_texts(texts: list[str | None], path: str, end_id: int, cache_size: int) -> list[np.ndarray]:
+    """Ids of each text with the end id.
+
+    The pieces of all texts are numbered by Arrow; each distinct one is looked
+    up once in this worker's cache, and ids are gathered by number.
+    """
     tokenizer, cache, (_, pattern) = bpe.load(path), _cache(path, cache_size), bpe.special(path)
-    pieces = [[] if not t else None if pattern is not None and pattern.search(t) else bpe.word_pieces(t)
-              for t in texts]
-    cache.add(set().union(*filter(None, pieces)))
-    end, look = np.array([end_id], "<u4").tobytes(), cache.__getitem__
+    ready = ["" if not t else None if pattern is not None and pattern.search(t) else bpe.spaced(t) for t in texts]
     whole = iter(tokenizer.encode_batch(
-        [t for t, p in zip(texts, pieces) if p is None], add_special_tokens=False))
-    return [(b"".join(map(look, p)) if p is not None else np.array(next(whole).ids, "<u4").tobytes()) + end
-            for p in pieces]
+        [t for t, r in zip(texts, ready) if r is None], add_special_tokens=False))
+    pieces = _pieces([r or "" for r in ready])
+    numbered = pieces.flatten().dictionary_encode()
+    distinct = numbered.dictionary.to_pylist()
+    cache.add(set(distinct))
+    known = [cache[p] for p in distinct]
+    ids = np.frombuffer(b"".join(known), "u4")
+    sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    numbers = numbered.indices.to_numpy(zero_copy_only=False)
+    lengths = sizes[numbers]
+    gathered = ids[_gathered((np.cumsum(sizes) - sizes)[numbers], lengths)]
+    places = np.concatenate([[0], np.cumsum(lengths)])[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
+    end = np.array([end_id], "<u4")
+    return [np.concatenate([np.array(next(whole).ids, "<u4") if r is None else gathered[a:b], end])
+            for r, a, b in zip(ready, places[:-1], places[1:])]
 
 
 def _write_segments(batches, path: str, end_id: int, cache_size: int):
@@ -146,14 +174,14 @@ def _write_segments(batches, path: str, end_id: int, cache_size: int):
     def close():
         return pa.RecordBatch.from_pylist([{
             "shard": shard, "segment": segment, "first_in_shard": before, "n_ids": held, "doc_ids": doc_ids,
-            "lengths": lengths, "payload": encode(np.frombuffer(b"".join(ids), "<u4"))}], _SCHEMA)
+            "lengths": lengths, "payload": encode(np.concatenate(ids))}], _SCHEMA)
 
-    for batch in small(batches, 256):
+    for batch in sized(batches, 1, CHUNK):
         for doc_id, own in zip(batch.column(0).to_pylist(),
                                encode_texts(batch.column(1).to_pylist(), path, end_id, cache_size)):
             ids.append(own)
             doc_ids.append(doc_id)
-            lengths.append(len(own) // 4)
+            lengths.append(len(own))
             held += lengths[-1]
             if held >= SEGMENT:
                 yield close()
@@ -167,11 +195,11 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, cache_size: int = 500_
     """Segments of all texts of ``docs`` (doc_id, text; other columns are ignored) in ascending doc_id order.
 
     Rows are dealt by ranges of doc_id, so shard, segment and place follow its
-    order; null ids come first, rows of one id stay together. Null texts are
-    empty: they have the end id alone. The table is written to the shared
+    order; null ids come first, rows of one id stay together in the order of
+    their texts (null first). Null texts are empty: they have the end id alone. The table is written to the shared
     folder and read back.
     """
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(
         lambda batches: _write_segments(batches, path, end_id, cache_size), SEGMENTS), "tokens")
 

@@ -33,6 +33,18 @@ def test_ids_equal_the_library():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
 
 
+def test_neighbouring_signs_are_split_like_the_library():
+    """All pairs of ASCII signs side by side, beside letters, digits and spaces."""
+    signs = [c for c in map(chr, range(33, 127)) if not c.isalnum()]
+    texts = [f"{left}{x}{y}{right}" for x in signs for y in signs for left in ("", "a", "1 ", " ") for right in ("", "b", "2", " .")]
+    texts += ["a_, b", "so _this_, and that_. end", "a._b", ",_", "_,_._", "'s_.", "x_y,z"]
+    library = Tokenizer.from_file(WORDS)
+    want = [[*e.ids, 2] for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [g.tolist() for g in token_files.encode_texts(texts, WORDS, 2, 10**6)] == want
+    counts = [len(e.ids) for e in Tokenizer.from_file(BYTES).encode_batch(texts, add_special_tokens=False)]
+    assert token_counts.count_texts(texts, {}, BYTES, 10**6).tolist() == counts
+
+
 @pytest.mark.parametrize("start", range(0, 0x30000, 0x8000))
 def test_every_character_is_split_like_the_library(start):
     texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)} {chr(c)}A \n{chr(c)}x's" for c in range(start, start + 0x8000, 7)
@@ -85,7 +97,14 @@ def test_files(odd, none):
     assert token_files.token_files(none, WORDS).collect() == []
 
 
+def test_texts_of_one_doc_id_have_an_order(spark):
+    rows = [(1, "b b"), (1, "a"), (1, None), (1, "c c c"), (0, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.token_files(docs, WORDS).collect())
+    assert found == [(0, 0, 2), (2, 1, 1), (3, 1, 2), (5, 1, 3), (8, 1, 4)]
+
+
 def test_whole_texts_are_left_to_the_library_where_classes_are_in_doubt():
-    assert bpe.word_pieces("plain Text, here.") == ["plain", "text", ",", "here", "."]
-    assert bpe.word_pieces("a ͸") is None
+    assert bpe.spaced("plain Text, here.").split() == ["plain", "text", ",", "here", "."]
+    assert bpe.spaced("a ͸") is None
     assert bpe.space_pieces("a \n b") is not None and bpe.space_pieces("a\n \nb") is None
