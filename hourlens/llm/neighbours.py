@@ -90,7 +90,8 @@ def search(ids: np.ndarray, vectors: np.ndarray, words: np.ndarray, scale: np.nd
             likely = np.flatnonzero(other & (estimate + bound >= least))
         else:
             likely = np.flatnonzero(other)
-        exact = vectors[likely] @ queries[i]
+        # Row by row: a matrix product's last bit depends on where a row stands, and equal vectors must tie.
+        exact = (vectors[likely] * queries[i]).sum(axis=1)
         best = np.lexsort((ids[likely], -exact))[:s.k]
         found.append((np.full(len(best), query_ids[i]), ids[likely][best], exact[best]))
     return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]

@@ -40,6 +40,24 @@ def test_recall_and_scores(spark, dims, settings):
             assert s == pytest.approx(float(vectors[i].astype(float) @ vectors[q].astype(float)), rel=1e-12)
 
 
+@pytest.mark.parametrize("block", [16, 37, 8192])
+def test_equal_vectors_are_in_order_of_their_ids(spark, block):
+    """Copies of one vector lie in many blocks and at all places of a block; their scores are equal to the last bit."""
+    rng = np.random.default_rng(block)
+    vectors = rng.normal(size=(300, 48))
+    copied = rng.choice(300, 120, replace=False)
+    vectors[copied] = vectors[copied[rng.integers(0, 4, 120)]]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)]
+    docs = spark.createDataFrame(rows, SCHEMA.replace("float", "double")).repartition(5)
+    found = {}
+    for r in nearest(docs, 20, Settings(block=block, queries=5, width=6.0)).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q, own in found.items():
+        exact = (vectors * vectors[q]).sum(axis=1)
+        order = [i for i in np.lexsort((np.arange(300), -exact)) if i != q][:20]
+        assert [i for _, i, _ in sorted(own)] == order
+
+
 def test_bounds_hold():
     """Of the estimates nearly all are within the bound."""
     rng = np.random.default_rng(0)
