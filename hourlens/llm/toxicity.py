@@ -11,7 +11,7 @@ left out, and thresholds for decisions are calibrated by language.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,7 @@ _WORD = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class Settings:
-    """Sizes of the model; most labelled texts fitted, of which at most half are toxic; and of training."""
+    """Sizes of the model; most labelled texts and bytes fitted, of which at most half are toxic; and of training."""
 
     buckets: int = 1 << 16
     grams: tuple[int, ...] = (4, 5)
@@ -35,6 +35,7 @@ class Settings:
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 8
     sample: int = 5000
+    sample_bytes: int = 64 << 20
     epochs: int = 8
     batch: int = 32
     rate: float = 0.01
@@ -181,9 +182,10 @@ def calibrate(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tu
 
 def language_thresholds(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray, languages: list[str],
                         settings: Settings) -> dict[str, float]:
-    """For each language the lowest score, not under 1/2, above which the wanted share of texts is toxic.
+    """For each language the lowest score, not under 1/2, from which on the wanted share of texts is toxic.
 
-    A language without both labels keeps the general threshold, and so does one where no score reaches that share.
+    A language's threshold is never above the general one: what is predicted toxic is toxic in every language, and a
+    language where only higher scores reach that share, or none, or that lacks one of the labels, keeps the general one.
     """
     out = {}
     for name in sorted(set(languages)):
@@ -199,14 +201,53 @@ def language_thresholds(scores: np.ndarray, labels: np.ndarray, weights: np.ndar
     return out
 
 
-def fit(texts: list[str | None], labels: np.ndarray, languages: list[str], weights: np.ndarray,
+class Corpus:
+    """Texts as numbers of their words, with every distinct word's subwords once.
+
+    ``corpus[i]`` is what :class:`Net` reads of text i. Only word numbers are
+    kept of a text, four bytes a word.
+    """
+
+    def __init__(self, settings: Settings):
+        self.settings, self.known, self.texts = settings, {}, []
+        self.ids = self.starts = self.stops = None
+
+    def add(self, text: str | None) -> None:
+        known = self.known
+        self.texts.append(np.array([known.setdefault(w, len(known)) for w in split(text)], np.int32))
+
+    def close(self) -> None:
+        """No more texts: look up the subwords, a part of the words at a time, and forget the words."""
+        words, ids, counts = list(self.known), [], []
+        for i in range(0, len(words), 20_000):
+            part, starts = subwords(words[i:i + 20_000], self.settings)
+            ids.append(part.astype(np.int32))
+            counts.append(np.diff(np.append(starts, len(part))))
+        self.known = None
+        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        self.stops = np.cumsum(np.concatenate(counts)) if counts else np.zeros(0, np.int64)
+        self.starts = self.stops - (np.concatenate(counts) if counts else 0)
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words, order = np.unique(self.texts[i], return_inverse=True)
+        lengths = self.stops[words] - self.starts[words]
+        begins = np.cumsum(lengths) - lengths
+        places = np.arange(lengths.sum()) + np.repeat(self.starts[words] - begins, lengths)
+        return self.ids[places], begins, order
+
+
+def fit(texts: Iterable[str | None] | Corpus, labels: np.ndarray, languages: list[str], weights: np.ndarray,
         settings: Settings) -> Model:
     """``weights``: how many rows of the corpus a text stands for, for calibration."""
-    rng, net = np.random.default_rng(settings.seed), Net(settings)
-    data = []
-    for text in texts:
-        words, order = np.unique(np.array(split(text), dtype=object), return_inverse=True)
-        data.append((*subwords(list(words), settings), order))
+    rng, net, data = np.random.default_rng(settings.seed), Net(settings), texts
+    if not isinstance(texts, Corpus):
+        data = Corpus(settings)
+        for text in texts:
+            data.add(text)
+        data.close()
     order = rng.permutation(len(data))
     aside = order[::5] if len(data) >= 50 else order
     train = np.setdiff1d(order, aside) if len(data) >= 50 else order
@@ -265,11 +306,13 @@ class Scorer:
         return out
 
 
-def _sample(docs: DataFrame, known: DataFrame, settings: Settings) -> tuple[list, np.ndarray, list[str], np.ndarray]:
-    """Texts, labels, languages and weights of at most ``settings.sample`` rows, half of each label at most.
+def _sample(docs: DataFrame, known: DataFrame, settings: Settings) -> tuple[Corpus, np.ndarray, list[str], np.ndarray]:
+    """Words, labels, languages and weights of at most ``settings.sample`` rows, half of each label at most.
 
     The ids are drawn from the labels (doc_id, toxic), so no text is shuffled
     for it; their number, and so the size of what is broadcast, is bounded.
+    Rows are taken whole while those of their label hold at most half of
+    ``settings.sample_bytes``, the first one always. They are read one by one.
     """
     each = max(1, settings.sample // 2)
     met = written(known.groupBy("toxic").agg(F.count("*").alias("n")), "labels")
@@ -279,26 +322,32 @@ def _sample(docs: DataFrame, known: DataFrame, settings: Settings) -> tuple[list
     ids = written(known.join(met, "toxic").where(likely).withColumn("place", place).withColumn(
         "i", F.row_number().over(first)).where(F.col("i") <= each).drop("i"), "sample")
     # An id may stand on many rows.
-    taken = docs.join(F.broadcast(ids), "doc_id").withColumn(
-        "i", F.row_number().over(first.orderBy("place", "doc_id", "text"))).where(F.col("i") <= each).select(
-        "toxic", "n", "lang", "text", "place").collect()
-    taken.sort(key=lambda r: (r.place, r.toxic, r.text or ""))
-    toxic = np.array([r.toxic for r in taken], float)
-    share = {t: max(1, sum(r.toxic == t for r in taken)) for t in (0, 1)}
-    return ([r.text for r in taken], toxic, [r.lang or "" for r in taken],
-            np.array([r.n / share[r.toxic] for r in taken], float))
+    in_order = first.orderBy("place", "doc_id", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    taken = docs.join(F.broadcast(ids), "doc_id").withColumns({
+        "i": F.row_number().over(in_order), "bytes": F.sum(size).over(in_order.rowsBetween(Window.unboundedPreceding, 0)),
+    }).where((F.col("i") <= each) & ((F.col("bytes") <= settings.sample_bytes // 2) | (F.col("i") == 1))).select(
+        "toxic", "n", "lang", "text", "place").orderBy("place", "toxic", F.coalesce("text", F.lit("")))
+    corpus, rows = Corpus(settings), []
+    for r in taken.toLocalIterator():
+        corpus.add(r.text)
+        rows.append((r.toxic, r.n, r.lang or ""))
+    corpus.close()
+    toxic = np.array([t for t, _, _ in rows], float)
+    share = {t: max(1, int((toxic == t).sum())) for t in (0, 1)}
+    return corpus, toxic, [lang for _, _, lang in rows], np.array([n / share[t] for t, n, _ in rows], float)
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
     """Fit on at most ``settings.sample`` rows that have a label and are not held out; None if there are none.
 
-    Of several labels for one doc_id the largest counts. The driver gets the
-    texts of the sample.
+    Of several labels for one doc_id the largest counts. The driver reads the
+    texts of the sample one by one and keeps numbers of their words.
     """
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1))
-    texts, toxic, languages, weights = _sample(docs.select("doc_id", "text", "lang"), known, settings)
-    return fit(texts, toxic, languages, weights, settings) if len(toxic) else None
+    corpus, toxic, languages, weights = _sample(docs.select("doc_id", "text", "lang"), known, settings)
+    return fit(corpus, toxic, languages, weights, settings) if len(toxic) else None
 
 
 def scorer(spark, model: Model | None) -> Column:
