@@ -250,8 +250,8 @@ def known_names(dictionary: DataFrame, aliases: DataFrame | None = None) -> Data
     spelled = variations_long(aliases).select("entity_type", F.col("variation").alias("name"))
     return (
         normalize_names(names.unionByName(spelled), aliases, "name")
-        .groupBy("entity_type", F.lower("name").alias("name"))
-        .agg(F.max("normalized").alias("canonical"))
+        .groupBy("entity_type", F.lower("name").alias("_key"))
+        .agg(F.min("name").alias("name"), F.max("normalized").alias("canonical")).drop("_key")
     )
 
 
@@ -262,81 +262,93 @@ def _starts_chinese(name: Column) -> Column:
 _LEAD, _TRAIL = r"^[^\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+$"
 
 
-def name_sizes(dictionary: DataFrame, aliases: DataFrame | None = None) -> tuple[int, int, int]:
-    """Most words in a Latin name, most characters in a Chinese one, most signs around a name (one small job)."""
-    name = F.trim("name")
-    named = dictionary.select(F.col("entity").alias("name"))
-    if aliases is not None:
-        named = named.union(aliases.select(F.explode(F.array("canonical", "alias"))))
-    signs = F.greatest(*(F.length(F.regexp_extract(name, pattern, 0)) for pattern in (_LEAD, _TRAIL)))
-    row = named.agg(
-        F.max(F.when(~_starts_chinese(name), F.size(X.matches(name, WORD)))).alias("words"),
-        F.max(F.when(_starts_chinese(name), F.length(name))).alias("characters"), F.max(signs).alias("signs"),
-    ).first()
-    return row.words or 0, row.characters or 0, row.signs or 0
+#: Words (characters of a Chinese name) by which a name is looked up at most, and signs that are carried around them.
+HEAD, SIGNS = 8, 4
 
+_HEAD = "struct<start:int,before:int,around:string,ends:array<int>,first:string,chinese:boolean>"
 
-_PIECE = "struct<start:int,before:int,around:string,piece:string>"
 
+def _head(text: Column, start: Column, ends: Column, first: Column, chinese: bool) -> Column:
+    """A place where a name may begin: up to HEAD words from there with a few signs, and where each of them ends."""
+    before = F.least(start, F.lit(SIGNS))
+    around = F.substring(text, start - before + 1, before + F.element_at(ends, -1) + SIGNS)
+    return F.struct(start.alias("start"), before.alias("before"), around.alias("around"), ends.alias("ends"),
+                    F.lower(first).alias("first"), F.lit(chinese).alias("chinese"))
 
-def _piece(text: Column, start: Column, size: Column, signs: int) -> Column:
-    """A part of a text in lower case, with up to ``signs`` characters on both sides of it as they are written."""
-    before = F.least(start, F.lit(signs))
-    around = F.substring(text, start - before + 1, before + size + signs)
-    return F.struct(start.alias("start"), before.alias("before"), around.alias("around"),
-                    F.lower(F.substring(around, before + 1, size)).alias("piece"))
 
+def _word_heads(text: Column, tokens: Column) -> Column:
+    return F.transform(tokens, lambda t, i: _head(
+        text, t["start"], F.transform(F.slice(tokens, i + 1, F.lit(HEAD)), lambda last: last["end"] - t["start"]), t["value"], False))
 
-def _runs(text: Column, tokens: Column, most_words: int, signs: int) -> Column:
-    """Every run of up to ``most_words`` words."""
-    return F.flatten(F.transform(tokens, lambda t, i: F.transform(
-        F.slice(tokens, i + 1, F.lit(most_words)),
-        lambda last: _piece(text, t["start"], last["end"] - t["start"], signs))))
 
-
-def _chinese_pieces(text: Column, longest: int, signs: int) -> Column:
+def _chinese_heads(text: Column) -> Column:
     size = F.length(text)
     starts = F.filter(
         F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))),
         lambda p: _starts_chinese(F.substring(text, p + 1, F.lit(1))),
     )
-    pieces = F.flatten(F.transform(starts, lambda p: F.transform(
-        F.filter(F.sequence(F.lit(1), F.lit(longest)), lambda n: p + n <= size),
-        lambda n: _piece(text, p, n, signs))))
-    return F.when(X.has_chinese(text), pieces).otherwise(F.array().cast(f"array<{_PIECE}>"))
+    heads = F.transform(starts, lambda p: _head(
+        text, p, F.sequence(F.lit(1), F.least(F.lit(HEAD), size - p)), F.substring(text, p + 1, F.lit(1)), True))
+    return F.when(X.has_chinese(text), heads).otherwise(F.array().cast(f"array<{_HEAD}>"))
 
 
-def dictionary_hits(
-    texts: DataFrame, names: DataFrame, sizes: tuple[int, int, int], key: str = "question_id", text: str = "text"
-) -> DataFrame:
+def name_index(names: DataFrame) -> DataFrame:
+    """Names as they are looked up: their first word, how many words (at most HEAD) are looked up, and these as one piece.
+
+    ``whole`` tells whether the piece and the signs carried around it are all
+    of the name; the others are compared with the text itself.
+    """
+    bare = F.regexp_replace(F.regexp_replace("name", _LEAD, ""), _TRAIL, "")
+    signs = [F.length(F.regexp_extract("name", pattern, 0)) for pattern in (_LEAD, _TRAIL)]
+    rows = names.select("entity_type", "canonical", "name", bare.alias("bare"), *(
+        n.alias(c) for n, c in zip(signs, ("lead", "trail"))), _starts_chinese(bare).alias("chinese")).where(F.length("bare") > 0)
+    size = F.when(F.col("chinese"), F.length("bare")).otherwise(F.size(X.matches(F.col("bare"), WORD)))
+    rows = rows.withColumn("size", size)
+    words = F.regexp_extract("bare", rf"^{WORD}(?:[^\p{{L}}\p{{N}}_]+{WORD}){{0,{HEAD - 1}}}", 0)
+    piece = F.when(F.col("chinese"), F.substring("bare", 1, HEAD)).otherwise(words)
+    first = F.when(F.col("chinese"), F.substring("bare", 1, 1)).otherwise(F.regexp_extract("bare", WORD, 0))
+    return rows.select(
+        "entity_type", "canonical", "chinese", "lead", F.lower("name").alias("_name"), F.lower("bare").alias("_bare"),
+        F.lower(first).alias("first"), F.least("size", F.lit(HEAD)).alias("words"), F.lower(piece).alias("piece"),
+        ((F.col("size") <= HEAD) & (F.greatest("lead", "trail") <= SIGNS)).alias("whole"))
+
+
+def dictionary_hits(texts: DataFrame, names: DataFrame, key: str = "question_id", text: str = "text") -> DataFrame:
     """Every known name in every text: (key, start, end, entity_type, value, canonical).
 
     Latin names match whole words, ignoring case; Chinese names match anywhere.
-    The runs of words of a text are joined by equality with the names, which
-    Spark broadcasts while they are small and hash-shuffles when they are not.
-    A run carries itself and the few signs around it, never its text.
+    Names are looked up like in a trie cut at two levels: each word of a text
+    is joined with the first words of names, and only where one begins are as
+    many words as names with that beginning have, HEAD at most, joined with
+    the names themselves. A row carries HEAD words, never its text, however
+    long a name is; names with more words are compared with the text, which is
+    read once more for the places that begin like them.
     """
-    words, characters, signs = sizes
     body = F.col(text)
     tokens = texts.select(key, text, X.spans(body, f"({WORD})").alias("_tokens"))
-    pieces = _runs(body, F.col("_tokens"), max(words, 1), signs)
-    if characters:
-        pieces = F.concat(pieces, _chinese_pieces(body, characters, signs))
-    candidates = tokens.select(key, F.explode(pieces).alias("_p")).select(key, "_p.*")
-    # A name may begin or end with punctuation that is not part of its words.
-    trimmed = F.regexp_replace(F.regexp_replace(F.lower("name"), _LEAD, ""), _TRAIL, "")
-    index = names.select(
-        "entity_type", "canonical", F.lower("name").alias("_name"), trimmed.alias("piece"),
-        F.length(F.regexp_extract(F.lower("name"), _LEAD, 0)).alias("_lead"),
-    ).where(F.length("piece") > 0)
-    start = F.col("start") - F.col("_lead")
-    value = F.substring(F.col("around"), F.col("before") - F.col("_lead") + 1, F.length("_name"))
-    return (
-        candidates.join(index, "piece")
-        .where((start >= 0) & (F.lower(value) == F.col("_name")))
-        .select(key, start.alias("start"), (start + F.length("_name")).alias("end"),
-                "entity_type", value.alias("value"), "canonical")
-    )
+    heads = tokens.select(key, F.explode(F.concat(
+        _word_heads(body, F.col("_tokens")), _chinese_heads(body))).alias("_h")).select(key, "_h.*")
+    index = name_index(names)
+    begun = index.groupBy("first", "chinese").agg(F.collect_set("words").alias("sizes"))
+    met = heads.join(begun, ["first", "chinese"]).select(
+        key, "start", "before", "around", "ends", "chinese",
+        F.explode(F.filter("sizes", lambda n: n <= F.size("ends"))).alias("words"))
+    pieces = met.withColumn("piece", F.lower(F.substring(
+        F.col("around"), F.col("before") + 1, F.element_at("ends", F.col("words"))))).join(index, ["piece", "words", "chinese"])
+    start = F.col("start") - F.col("lead")
+    out = [key, start.alias("start"), (start + F.length("_name")).alias("end"), "entity_type"]
+    value = F.substring(F.col("around"), F.col("before") - F.col("lead") + 1, F.length("_name"))
+    found = pieces.where(F.col("whole") & (start >= 0) & (F.lower(value) == F.col("_name"))).select(
+        *out, value.alias("value"), "canonical")
+    if index.where(~F.col("whole")).isEmpty():
+        return found
+    begins = pieces.where(~F.col("whole") & (start >= 0)).select(
+        F.col(key).alias("_key"), "start", "lead", "_name", "_bare", "entity_type", "canonical", "chinese")
+    value = F.substring(body, start + 1, F.length("_name"))
+    behind = F.substring(body, F.col("start") + F.length("_bare") + 1, F.lit(1))
+    rest = begins.join(texts.select(key, text), F.col("_key") == F.col(key)).where(
+        (F.lower(value) == F.col("_name")) & (F.col("chinese") | ~F.rlike(behind, F.lit(WORD))))
+    return found.unionByName(rest.select(*out, value.alias("value"), "canonical"))
 
 
 def partial_chinese_matches(texts: DataFrame, names: DataFrame, key: str = "question_id", text: str = "text") -> DataFrame:

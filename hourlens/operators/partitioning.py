@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -27,17 +26,10 @@ def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def checkpoint_folder(spark) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset and Spark runs in one process, as in tests, a
-    folder of this machine is made and used; on a cluster it must be set.
-    """
+    """The shared folder for intermediate tables, ``spark.checkpoint.dir``; where that is unset, an error says so."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="hourlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hourlens.functions import extract as X
 from hourlens.functions.normalize import normalize_value
-from hourlens.operators.names import dictionary_hits, known_names, name_sizes
+from hourlens.operators.names import dictionary_hits, known_names
 from hourlens.operators.partitioning import spread
 
 
@@ -39,9 +39,8 @@ def find_mentions(
     found = questions.withColumn("_found", X.pattern_mentions(text))
     if dictionary is not None:
         names = known_names(dictionary, aliases)
-        sizes = name_sizes(dictionary, aliases)
         hit = X.mention(F.col("start"), F.col("end"), F.col("entity_type"), F.col("value"), F.col("canonical"))
-        hits = dictionary_hits(questions, names, sizes).groupBy("question_id").agg(
+        hits = dictionary_hits(questions, names).groupBy("question_id").agg(
             F.collect_list(hit).alias("_hits")
         )
         found = found.join(hits, "question_id", "left").withColumn(
@@ -66,6 +65,23 @@ def find_mentions(
     )
 
 
+def merge_mentions(
+    questions: DataFrame, dictionary: DataFrame | None, aliases: DataFrame | None = None, as_of: str = "ts",
+    partitions: int | None = None,
+) -> DataFrame:
+    """(question_id, entity_type, value), each once: what patterns, names and Chinese and mixed patterns find.
+
+    All types of mentions. Where patterns and names overlap the first and then
+    the longer one stays, as in :func:`find_mentions`; each Chinese or mixed
+    pattern adds what it finds in the whole text, whatever else lies there.
+    """
+    found = mentions_long(find_mentions(questions, dictionary, aliases, as_of, False, partitions))
+    more = questions.where(X.has_chinese(F.col("text"))).select(
+        "question_id", F.explode(X.chinese_mentions(F.col("text"))).alias("m"))
+    return found.select("question_id", "entity_type", "value").union(
+        more.select("question_id", "m.type", "m.value")).distinct()
+
+
 def mentions_long(extracted: DataFrame) -> DataFrame:
     """One row per question and entity: question_id, entity_type, ordinal, value, normalized."""
     rows = extracted.select("question_id", F.inline_outer("entities"))

@@ -14,6 +14,7 @@ from hourlens.functions import extract as X
 from hourlens.operators import chartdata as D
 from hourlens.operators import names as N
 from hourlens.operators.partitioning import checkpoint_folder
+from hourlens.plans import extraction as E
 from hourlens.plans import reports as R
 from hourlens.sources import dictionaries, templates
 from hourlens.sources.tpch import aliases, dictionary, feedback, question_parts, questions, star, table, used_templates
@@ -115,12 +116,16 @@ def _chinese(spark, base):
     return question_parts(spark, base).select("question_id", who.alias("who"), text.alias("text"))
 
 
-def _by_type(*kinds: str) -> str:
+def _patterns_sql(*kinds: str) -> str:
     patterns = {k: p for k, p in X.CHINESE_GRAMMAR if k in kinds}
     found = " UNION ALL ".join(
         f"SELECT question_id, '{kind}' AS entity_type, unnest(regexp_extract_all(text, '{pattern}')) AS value FROM chinese"
         for kind, pattern in patterns.items())
-    return f"WITH {PARTS_SQL}, {_CHINESE_SQL} SELECT DISTINCT * FROM ({found}) WHERE length(trim(value)) >= 2"
+    return f"SELECT DISTINCT * FROM ({found}) WHERE length(trim(value)) >= 2"
+
+
+def _by_type(*kinds: str) -> str:
+    return f"WITH {PARTS_SQL}, {_CHINESE_SQL} {_patterns_sql(*kinds)}"
 
 
 def _mentions(spark, base, *kinds: str):
@@ -140,6 +145,25 @@ def ext_mixed(spark, base):
     return _mentions(spark, base, "time_period", "employee")
 
 
+@register("merge_mentions", f"""
+WITH {PARTS_SQL}, {MENTIONS_SQL}, {_CHINESE_SQL}
+SELECT 'en' AS log, question_id, entity_type, value FROM (SELECT DISTINCT question_id, entity_type, value FROM mentions)
+UNION ALL SELECT 'zh', question_id, entity_type, value FROM (
+  {_patterns_sql("time_period", "department", "employee", "work_type", "project")}
+  UNION SELECT question_id, 'time_period', 'Q' || quarter(day) FROM parts WHERE question_id % 5 = 1)""")
+def merge_mentions(spark, base):
+    """All mentions of a question as one set: the English log, and a Chinese one with mixed mentions.
+
+    Beside characters only a quarter between spaces is a mention of the Latin patterns.
+    """
+    known, spelled = dictionary(spark, base), aliases(spark, base)
+    chinese = _chinese(spark, base).join(questions(spark, base).select("question_id", "ts"), "question_id")
+    logs = {"en": questions(spark, base), "zh": chinese}
+    en, zh = (E.merge_mentions(log, known, spelled, partitions=cores(spark)).select(F.lit(name).alias("log"), "*")
+              for name, log in logs.items())
+    return en.union(zh)
+
+
 @register("dictionary_match_partial", f"""
 WITH {PARTS_SQL}, {_CHINESE_SQL},
 known AS (SELECT 'project' AS entity_type, translate(CAST(n_nationkey AS VARCHAR), '0123456789', '{_DIGITS}') || '项目' AS entity FROM nation

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hourlens.functions import extract as X
 from hourlens.operators import names as N
 from hourlens.operators.partitioning import spread
 from hourlens.plans.extraction import fill_text, find_mentions, mentions_long
@@ -47,7 +46,7 @@ FROM questions q JOIN dictionary d
   ON regexp_matches(lower(q.text), '(^|[^a-z0-9_])' || lower(d.entity) || '($|[^a-z0-9_])')""")
 def dictionary_match(spark, base):
     known = dictionary(spark, base)
-    return N.dictionary_hits(spread(questions(spark, base), cores(spark)), N.known_names(known), N.name_sizes(known)).select(
+    return N.dictionary_hits(spread(questions(spark, base), cores(spark)), N.known_names(known)).select(
         "question_id", "entity_type", F.col("canonical").alias("entity")).distinct()
 
 
@@ -243,21 +242,3 @@ WITH {PARTS_SQL}, {MENTIONS_SQL}
 SELECT question_id, entity_type, count(*) AS n FROM mentions GROUP BY question_id, entity_type""")
 def entity_counts_by_type(spark, base):
     return mentions_long(extracted(spark, base)).groupBy("question_id", "entity_type").agg(F.count("*").alias("n"))
-
-
-@register("merge_mentions", f"""
-WITH {PARTS_SQL}, {MENTIONS_SQL}
-SELECT DISTINCT question_id, entity_type, value FROM mentions
-WHERE entity_type IN ('employee', 'project', 'department', 'project_id', 'email')""")
-def merge_mentions(spark, base):
-    """Pattern mentions and dictionary names of a question as one set."""
-    log = spread(questions(spark, base), cores(spark))
-    by_pattern = [
-        log.select("question_id", F.lit(kind).alias("entity_type"),
-                   F.explode(X.mentions_of_form(F.col("text"), kind)).alias("value"))
-        for kind in ("project_id", "email")
-    ]
-    known, spelled = dictionary(spark, base), aliases(spark, base)
-    names = N.known_names(known, spelled)
-    by_name = N.dictionary_hits(log, names, N.name_sizes(known, spelled)).select("question_id", "entity_type", "value")
-    return by_name.unionByName(by_pattern[0]).unionByName(by_pattern[1]).dropDuplicates()

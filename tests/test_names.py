@@ -79,13 +79,13 @@ def test_search(aliases):
 def test_dictionary_hits_at_edges(spark, dictionary):
     log = ask(spark, "Sales, (HR) and sales-people; Marketings; C++ and Mobile  App")
     more = dictionary.union(spark.createDataFrame([("tool", "C++"), ("tool", "C")], schemas.DICTIONARY))
-    hits = N.dictionary_hits(log, N.known_names(more), N.name_sizes(more))
+    hits = N.dictionary_hits(log, N.known_names(more))
     assert rows(hits, "start", "value") == [(0, "Sales"), (16, "sales"), (42, "C++"), (8, "HR")]
 
 
 def test_empty_dictionary(spark, dictionary):
     none = dictionary.where("false")
-    assert N.dictionary_hits(ask(spark, "Sales"), N.known_names(none), N.name_sizes(none)).count() == 0
+    assert N.dictionary_hits(ask(spark, "Sales"), N.known_names(none)).count() == 0
 
 
 def test_partial_chinese(spark):
@@ -114,8 +114,60 @@ def test_runs_do_not_carry_their_text(spark):
     names = spark.createDataFrame([("project", "(Big) Plan!"), ("employee", "Alex Stone")], schemas.DICTIONARY)
     long = " ".join(["word"] * 10_000) + " alex STONE (big) plan! " + " ".join(["more"] * 10_000) + " (Big) Plan"
     log = spark.createDataFrame([(1, long)], "question_id BIGINT, text STRING")
-    known, sizes = N.known_names(names), N.name_sizes(names)
-    assert sizes == (2, 0, 1)
-    got = rows(N.dictionary_hits(log, known, sizes), "entity_type", "value", "start", "end")
+    known = N.known_names(names)
+    got = rows(N.dictionary_hits(log, known), "entity_type", "value", "start", "end")
     at = long.index("alex")
     assert got == [("employee", "alex STONE", at, at + 10), ("project", "(big) plan!", at + 11, at + 22)]
+
+
+def brute_hits(texts, names):
+    """Every name at every place of every text: words whole, ignoring case; Chinese names anywhere."""
+    import re
+
+    out = []
+    for i, text in texts:
+        low = text.lower()
+        for kind, name in names:
+            bare = re.sub(r"^\W+|\W+$", "", name)
+            lead = name.index(bare)
+            chinese = "一" <= bare[0] <= "龥"
+            for at in range(len(text)):
+                end = at + len(name)
+                inner = (at + lead, at + lead + len(bare))
+                whole = chinese or (not re.match(r"\w", text[inner[0] - 1:inner[0]]) and not re.match(r"\w", text[inner[1]:inner[1] + 1]))
+                if low[at:end] == name.lower() and whole:
+                    out.append((i, at, end, kind, text[at:end]))
+    return sorted(out)
+
+
+def test_dictionary_hits_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    vocabulary = ["plan", "Big", "alex", "stone", "x1", "The", "of", "财务", "中心", "三大厦"]
+    glue = [" ", " ", " ", "-", ", ", "  ", ""]
+    phrase = lambda n: "".join(rng.choice(vocabulary) + rng.choice(glue) for _ in range(n)).strip(" ,-")
+    names = sorted({("t", phrase(n)) for n in (1, 1, 2, 2, 3, 4, 7, 8, 9, 9, 12, 20) for _ in range(4)} | {
+        ("u", "(((((Big plan"), ("u", "alex stone!!!!!!"), ("u", "财务中心三大厦财务中心三大厦")})
+    texts = [(i, phrase(rng.randint(0, 30))) for i in range(60)]
+    texts += [(100 + i, f"{phrase(3)} {name.upper()} {phrase(2)}") for i, (_, name) in enumerate(names)]
+    texts += [(200, ""), (201, "(((((big PLAN alex STONE!!!!!!"), (202, "alex stone!!!!!")]
+    log = spark.createDataFrame(texts, "question_id BIGINT, text STRING")
+    known = spark.createDataFrame(names, schemas.DICTIONARY)
+    found = N.dictionary_hits(log, N.known_names(known)).select("question_id", "start", "end", "entity_type", "value")
+    got = sorted(map(tuple, found.collect()))
+    assert got == [h for h in brute_hits(texts, names)] and len(got) > 100
+
+
+def test_one_long_name_changes_nothing(spark):
+    """A name of 10,000 words is found, and no row gets longer for it."""
+    long = " ".join(f"w{i}" for i in range(10_000))
+    names = [("project", long), ("project", "w0 w1"), ("employee", "w9998")]
+    texts = [(1, f"see {long.upper()} now"), (2, " ".join(f"w{i}" for i in range(9_999))), (3, f"{long}x")]
+    log = spark.createDataFrame(texts, "question_id BIGINT, text STRING")
+    known = N.known_names(spark.createDataFrame(names, schemas.DICTIONARY))
+    found = N.dictionary_hits(log, known)
+    assert rows(found.where("length(value) > 9"), "question_id", "start", "end") == [(1, 4, 4 + len(long))]
+    assert rows(found.where("length(value) <= 9"), "question_id", "value") == [
+        (1, "W0 W1"), (1, "W9998"), (2, "w0 w1"), (2, "w9998"), (3, "w0 w1"), (3, "w9998")]
+    assert max(len(r.piece) for r in N.name_index(known).collect()) < 30
