@@ -318,29 +318,46 @@ def period_range_join(spark, base):
 
 @register("job_answer", f"""
 WITH {PARTS_SQL}, {SLOTS_SQL},
-params AS (
-  SELECT question_id, any_value(template_id) AS template_id, max(normalized) FILTER (entity_type = 'employee') AS employee,
-         max(normalized) FILTER (entity_type = 'project') AS project, max(start_date) AS start_date, max(end_date) AS end_date
-  FROM slots WHERE template_id IN (1, 4, 5) GROUP BY question_id),
-hours AS (SELECT h.*, e.name AS employee, e.alias, p.name AS project, p.project_reference_id AS ref
-          FROM work_hour h JOIN employee e ON e.uuid = employee_id JOIN project p ON p.uuid = project_id),
-answers AS (
-  SELECT q.question_id, sum(h.hours) AS total_hours FROM params q JOIN hours h
-    ON contains(lower(h.employee), lower(q.employee)) AND contains(lower(h.project), lower(q.project)) AND h.start_date <= q.end_date AND h.end_date >= q.start_date
-  WHERE template_id = 1 GROUP BY 1
-  UNION ALL SELECT q.question_id, sum(h.hours) FROM params q JOIN hours h
-    ON contains(lower(h.employee), lower(q.employee)) AND h.start_date <= q.end_date AND h.end_date >= q.start_date WHERE template_id = 4 GROUP BY 1
-  UNION ALL SELECT q.question_id, sum(h.hours) FROM params q JOIN hours h
-    ON contains(lower(h.project), lower(q.project)) AND h.start_date <= q.end_date AND h.end_date >= q.start_date WHERE template_id = 5 GROUP BY 1)
-SELECT question_id, template_id, total_hours FROM params LEFT JOIN answers USING (question_id)""")
+ranges AS (SELECT question_id, any_value(template_id) AS template_id, max(start_date) AS lo, max(end_date) AS hi FROM slots GROUP BY question_id),
+asked AS (SELECT r.*, coalesce(entity_type, '') AS kind, normalized AS v FROM ranges r
+          LEFT JOIN slots s ON s.question_id = r.question_id AND s.entity_type IN ('employee', 'project', 'department')),
+who AS (SELECT DISTINCT v, uuid, name FROM (SELECT DISTINCT v FROM asked WHERE kind = 'employee') a JOIN employee e
+        ON contains(lower(e.name), lower(v)) OR contains(lower(e.alias), lower(v))),
+what AS (SELECT DISTINCT v, uuid, name FROM (SELECT DISTINCT v FROM asked WHERE kind = 'project') a JOIN project p
+         ON contains(lower(p.name), lower(v)) OR contains(lower(p.project_reference_id), lower(v))),
+both_of AS (SELECT a.question_id, a.template_id, a.lo, a.hi, a.v AS e, b.v AS p FROM asked a JOIN asked b
+            ON a.question_id = b.question_id AND a.kind = 'employee' AND b.kind = 'project' AND a.template_id = 1),
+totals AS (
+  SELECT question_id, sum(hours) AS total_hours FROM both_of JOIN who ON who.v = e JOIN what ON what.v = p
+  JOIN work_hour h ON h.employee_id = who.uuid AND h.project_id = what.uuid AND h.start_date <= hi AND h.end_date >= lo GROUP BY 1
+  UNION ALL SELECT question_id, sum(hours) FROM asked JOIN who USING (v)
+  JOIN work_hour h ON h.employee_id = who.uuid AND h.start_date <= hi AND h.end_date >= lo WHERE template_id = 4 GROUP BY 1
+  UNION ALL SELECT question_id, sum(hours) FROM asked JOIN what USING (v)
+  JOIN work_hour h ON h.project_id = what.uuid AND h.start_date <= hi AND h.end_date >= lo WHERE template_id = 5 GROUP BY 1),
+by_person AS (
+  SELECT question_id, template_id, h.employee_id, h.project_id, hours FROM asked JOIN who USING (v)
+  JOIN work_hour h ON h.employee_id = who.uuid AND h.start_date <= hi AND h.end_date >= lo WHERE template_id IN (2, 6, 10)),
+by_project AS (
+  SELECT question_id, template_id, h.employee_id, hours FROM asked JOIN what USING (v)
+  JOIN work_hour h ON h.project_id = what.uuid AND h.start_date <= hi AND h.end_date >= lo WHERE template_id = 3),
+periods AS (SELECT DISTINCT template_id, lo, hi FROM ranges WHERE template_id IN (8, 9)),
+sums AS (SELECT template_id, lo, hi, CASE template_id WHEN 8 THEN h.project_id ELSE h.employee_id END AS key, sum(hours) AS hours
+         FROM periods JOIN work_hour h ON h.start_date <= hi AND h.end_date >= lo GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY template_id, lo, hi ORDER BY hours DESC, key) AS rank FROM sums) WHERE rank <= 5)
+SELECT question_id, template_id, NULL::BIGINT AS key, NULL::VARCHAR AS item, total_hours, NULL::INTEGER AS rank
+FROM ranges LEFT JOIN totals USING (question_id) WHERE template_id IN (1, 4, 5)
+UNION ALL SELECT DISTINCT question_id, 2, project_id, p.name, NULL, NULL FROM by_person LEFT JOIN project p ON p.uuid = project_id WHERE template_id = 2
+UNION ALL SELECT DISTINCT question_id, 3, NULL, e.name, NULL, NULL FROM by_project JOIN employee e ON e.uuid = employee_id
+UNION ALL SELECT question_id, 6, e.uuid, e.name, sum(hours), NULL FROM by_person JOIN employee e ON e.uuid = employee_id WHERE template_id = 6 GROUP BY 1, 3, 4
+UNION ALL SELECT question_id, 10, project_id, p.name, sum(hours), NULL FROM by_person LEFT JOIN project p ON p.uuid = project_id WHERE template_id = 10 GROUP BY 1, 3, 4
+UNION ALL SELECT question_id, template_id, key, coalesce(p.name, e.name), hours, rank FROM ranges JOIN best USING (template_id, lo, hi)
+  LEFT JOIN project p ON template_id = 8 AND p.uuid = key LEFT JOIN employee e ON template_id = 9 AND e.uuid = key
+UNION ALL SELECT question_id, 12, NULL, e.name, sum(hours), NULL FROM asked JOIN employee e ON e.department = v AND kind = 'department'
+  JOIN work_hour h ON h.employee_id = e.uuid AND h.start_date >= lo AND h.end_date <= hi WHERE template_id = 12 GROUP BY 1, 4""")
 def job_answer(spark, base):
-    """From question text to answers, one plan per template shape (totals by person, project, both)."""
+    """From question text to answers of every matched question: totals, lists, comparisons and the five largest."""
     slots, _ = _slots(spark, base)
-    params = materialize(A.parameters(slots))
-    s = star(spark, base)
-    shapes = {1: ("employee", "project"), 4: ("employee",), 5: ("project",)}
-    parts = [A.answer_totals(params.where(F.col("template_id") == t), s, by) for t, by in shapes.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("question_id", "template_id", "total_hours")
+    return A.answer_log(A.parameters(slots), star(spark, base))
 
 
 @register("job_match", f"""
