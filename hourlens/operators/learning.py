@@ -2,8 +2,8 @@
 
 Counting statistics are plain aggregates with map-side combining. The two
 order-dependent rates are linear recurrences r <- a r + b; they are composed
-slice by slice (hours of one template), so a template that owns a third of the
-log is still spread over many tasks.
+slice by slice of equal size, so a template that owns a third of the log, or
+one hour of it that does, is still spread over many tasks.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourlens.operators.windows import running_sums
+from hourlens.operators.windows import even_slices, running_sums
 
 ORDER = ["ts", "event_id"]
 
@@ -130,7 +130,7 @@ def tuned_thresholds(log: DataFrame, thresholds: DataFrame, last: int = 50) -> D
 def running_mean_ms(requests: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Requests, total and mean response time up to and including each request of the whole log."""
     sums = running_sums(
-        requests, [], ["ts", "request_id"], hour_of() if chunk is None else chunk,
+        requests, [], ["ts", "request_id"], chunk,
         {"n": F.lit(1), "total_ms": F.col("ms")})
     return sums.withColumn("running_mean_ms", F.col("total_ms") / F.col("n"))
 
@@ -140,7 +140,7 @@ def ema_slices(log: DataFrame, alpha: float = 0.1, chunk: Column | None = None)
 
     Inside a slice the weight of an event is (1 - alpha) to the number of later events.
     """
-    sliced = log.withColumn("_chunk", hour_of() if chunk is None else chunk)
+    sliced = even_slices(log, ["template_id"], ORDER) if chunk is None else log.withColumn("_chunk", chunk)
     later = F.row_number().over(
         Window.partitionBy("template_id", "_chunk").orderBy(F.desc("ts"), F.desc("event_id"))) - 1
     weight = alpha * F.pow(F.lit(1 - alpha), later)
@@ -155,10 +155,22 @@ def ema_success_rate(log: DataFrame, alpha: float = 0.1, start: float = 1.0, chu
 
 
 def _fold_slices(parts: DataFrame, start: float) -> DataFrame:
-    """(template_id, uses, success_rate) from per-slice maps r -> a r + b, in slice order."""
-    slices = F.array_sort(F.collect_list(F.struct("_chunk", "a", "b")))
-    rate = F.aggregate(slices, F.lit(float(start)), lambda r, s: r * s["a"] + s["b"])
-    return parts.groupBy("template_id").agg(F.sum("uses").alias("uses"), rate.alias("success_rate"))
+    """(template_id, uses, success_rate) from per-slice maps r -> a r + b, in slice order.
+
+    What a slice adds is kept by the maps behind it: products of their a, as
+    sums of logarithms, nothing behind a slice with a = 0 that lies later.
+    """
+    later = Window.partitionBy("template_id").orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    ln = F.when(F.col("a") > 0, F.log(F.when(F.col("a") > 0, F.col("a")))).otherwise(0.0)
+    marked = parts.withColumns({"_ln": ln, "_zero": (F.col("a") <= 0).cast("int")})
+
+    def kept(logs: Column, zeros: Column) -> Column:
+        return F.when(F.coalesce(zeros, F.lit(0)) > 0, 0.0).otherwise(F.exp(F.coalesce(logs, F.lit(0.0))))
+
+    added = marked.withColumn("_add", F.col("b") * kept(F.sum("_ln").over(later), F.sum("_zero").over(later)))
+    return added.groupBy("template_id").agg(
+        F.sum("uses").alias("uses"),
+        (F.sum("_add") + start * kept(F.sum("_ln"), F.sum("_zero"))).alias("success_rate"))
 
 
 def adaptive_success_rate(uses: DataFrame, start: float = 1.0, chunk: Column | None = None) -> DataFrame:
@@ -169,7 +181,7 @@ def adaptive_success_rate(uses: DataFrame, start: float = 1.0, chunk: Column | N
     feedback). A feedback sees the uses up to and including its own event.
     """
     counted = running_sums(
-        uses, ["template_id"], ORDER, hour_of() if chunk is None else chunk,
+        uses, ["template_id"], ORDER, chunk,
         {"_uses": F.col("used").cast("int")}, keep_chunk=True)
     rate = F.when(F.col("success").isNotNull(), 1 / (1 + F.log1p("_uses"))).otherwise(0.0)
     keep = 1 - F.col("_lr")

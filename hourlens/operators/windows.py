@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourlens.operators.partitioning import materialize
+
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
     """First spelling of each value per key, ignoring case.
@@ -28,19 +30,39 @@ def number_by_length(mentions: DataFrame) -> DataFrame:
     return distinct.withColumn("ordinal", F.row_number().over(order) - 1)
 
 
+#: Rows of one key that are ordered together, at most.
+SLICE = 100_000
+
+
+def even_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = SLICE, name: str = "_chunk") -> DataFrame:
+    """Add a column that cuts each key, in ``order``, into slices of at most ``rows`` rows, in the order of their values.
+
+    The whole table is range-partitioned and sorted by key and order, so one
+    key, one hour or one instant of it lies over as many tasks as its rows
+    need. A slice is the place of a partition and of a block of rows in it.
+    ``order`` must tell all rows of a key apart; the slices are then the same
+    whenever a task is run again. Read the result once, or write it first: two
+    evaluations may draw different bounds.
+    """
+    at = F.monotonically_increasing_id()  # partition in the upper bits, place in the lower 33
+    ordered = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    return ordered.withColumn(name, at).withColumn(name, (F.col(name) - F.pmod(name, F.lit(rows))).cast("long"))
+
+
 def running_sums(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, sums: Mapping[str, Column],
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None, sums: Mapping[str, Column],
     keep_chunk: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums per key, in ``order``, without one task per key.
 
     ``chunk`` maps a row to an order-preserving slice of its key (for example
-    the hour of its timestamp). Sums run inside (key, chunk); the totals of the
+    the hour of its timestamp); without one, slices of equal size are written
+    first (:func:`even_slices`). Sums run inside (key, chunk); the totals of the
     earlier chunks, one small row each, are added back. The rows are shuffled
-    once, on (key, chunk); a key of any size spreads over its chunks.
+    on (key, chunk); a key of any size spreads over its chunks.
     """
     keys = list(keys)
-    sliced = df.withColumn("_chunk", chunk)
+    sliced = materialize(even_slices(df, keys, order)) if chunk is None else df.withColumn("_chunk", chunk)
     for name, value in sums.items():
         sliced = sliced.withColumn(f"_v_{name}", value)
     # Repartitioned once here: the window and the chunk totals both reuse it.

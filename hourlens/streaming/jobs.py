@@ -1,19 +1,21 @@
 """The batch jobs on live logs.
 
-Windowed metrics are a plain streaming aggregation. The other jobs run their
-batch plan on every micro-batch and write under the batch id, so a replayed
-batch replaces its own output and nothing is counted twice.
+Windowed metrics are a plain streaming aggregation, template rates keyed state.
+The other jobs run their batch plan on every micro-batch. All write under the
+batch id, so a replayed batch replaces its own output and nothing is counted
+twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hourlens.operators.learning import ema_slices
 from hourlens.plans.extraction import find_mentions, mentions_long
 from hourlens.plans.maintenance import learn
 from hourlens.schemas import TEMPLATES
@@ -68,37 +70,70 @@ def start_extraction(
     return _start(questions, checkpoint, each, **trigger)
 
 
-def start_template_rates(feedback: DataFrame, out: str, checkpoint: str, alpha: float = 0.1,
-                         start: float = 1.0, **trigger) -> StreamingQuery:
-    """Running exponential success rate per template; every batch writes the next version of the table.
+_STATE = "uses LONG, rate DOUBLE, ms ARRAY<LONG>, ids ARRAY<LONG>, values ARRAY<DOUBLE>"
 
-    A batch is reduced to one map r -> a r + b per slice of a template, as in
-    the batch job, and folded onto the version before. Batches must come in
-    event order.
+
+def _rate_state(alpha: float, start: float):
+    """Exponential success rate of one template; events that earlier ones may still precede are kept apart.
+
+    The state holds uses and rate up to the watermark, and the events behind
+    it. A timeout at the newest of these settles what has become certain;
+    every answer is the settled rate with the open events folded onto it in
+    their order.
+    """
+
+    def fold(uses: int, rate: float, events: list[tuple]) -> tuple[int, float]:
+        for _, _, value in events:
+            uses, rate = uses + 1, (1 - alpha) * rate + alpha * value
+        return uses, rate
+
+    def update(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        uses, rate, *kept = state.get if state.exists else (0, float(start), [], [], [])
+        new = [] if state.hasTimedOut else [
+            (int(t.value // 1_000_000), int(i), float(v)) for part in parts
+            for t, i, v in zip(part["at"], part["event_id"], part["success"])]
+        events = sorted([*zip(*kept), *new])
+        until = state.getCurrentWatermarkMs()
+        certain = sum(e[0] < until for e in events)
+        uses, rate = fold(uses, rate, events[:certain])
+        rest = events[certain:]
+        state.update((uses, rate, *([list(c) for c in zip(*rest)] if rest else ([], [], []))))
+        if rest:
+            state.setTimeoutTimestamp(max(rest[-1][0], until) + 1)
+        uses, rate = fold(uses, rate, rest)
+        yield pd.DataFrame({"template_id": [key[0]], "uses": [uses], "success_rate": [rate]})
+
+    return update
+
+
+def start_template_rates(feedback: DataFrame, out: str, checkpoint: str, alpha: float = 0.1, start: float = 1.0,
+                         late: str = "1 day", **trigger) -> StreamingQuery:
+    """Running exponential success rate per template in keyed state; each batch appends the templates it changed.
+
+    Events (template_id, ts, event_id, success) may come in any order: those
+    within ``late`` of the newest are folded again when one comes in before
+    them, older ones are settled, and what is later still is dropped by the
+    watermark, as in every stream. An event without success counts as failed.
+    State lives in the state store under ``checkpoint``, which recovers it.
     """
+    events = feedback.select(
+        "template_id", F.col("ts").cast("timestamp").alias("at"), F.col("event_id").cast("long").alias("event_id"),
+        F.coalesce(F.col("success").cast("double"), F.lit(0.0)).alias("success")).withWatermark("at", late)
+    rates = events.groupBy("template_id").applyInPandasWithState(
+        _rate_state(alpha, start), RATES, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = _earlier(spark, out, RATES, number)
-        last = before.agg(F.max("batch").alias("b")).scalar()
-        state = before.where(F.col("batch") == last).drop("batch")
-        slices = F.array_sort(F.collect_list(F.struct("_chunk", "a", "b")))
-        new = ema_slices(batch, alpha).groupBy("template_id").agg(F.sum("uses").alias("_uses"), slices.alias("_slices"))
-        rate = F.aggregate(
-            F.col("_slices"), F.coalesce("success_rate", F.lit(float(start))), lambda r, s: r * s["a"] + s["b"])
-        joined = state.join(new, "template_id", "full").select(
-            "template_id",
-            (F.coalesce("uses", F.lit(0)) + F.coalesce("_uses", F.lit(0))).cast("bigint").alias("uses"),
-            F.when(F.col("_slices").isNull(), F.col("success_rate")).otherwise(rate).alias("success_rate"))
-        joined.write.mode("overwrite").parquet(_version(out, number))
-
-    return _start(feedback, checkpoint, each, **trigger)
+        batch.write.mode("overwrite").parquet(_version(out, number))
+
+    return (rates.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def current_rates(spark: SparkSession, path: str) -> DataFrame:
-    """The last version of the rates table."""
+    """The newest row of every template in what the batches appended."""
     rows = spark.read.schema(f"{RATES}, batch BIGINT").parquet(path)
-    last = rows.agg(F.max("batch").alias("b")).scalar()
-    return rows.where(F.col("batch") == last).drop("batch")
+    return rows.groupBy("template_id").agg(F.max_by(F.struct("uses", "success_rate"), "batch").alias("r")).select(
+        "template_id", "r.*")
 
 
 def start_learning(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hourlens import schemas
 from hourlens.operators import learning as L
-from hourlens.operators.windows import running_sums
+from hourlens.operators.windows import even_slices, running_sums
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -112,3 +112,27 @@ def test_metrics_of_an_empty_log(spark):
     row = L.cache_metrics(requests, spark.range(3)).first()
     assert (row.requests, row.hits, row.hit_rate, row.mean_ms, row.templates) == (0, 0, 0.0, None, 3)
     assert L.feedback_summary(feedback(spark, [(1, 0, True)]).where("false")).first().success_rate == 0.0
+
+
+def test_one_hour_of_one_template_lies_over_several_slices(spark):
+    """Slices of equal size in order of key and time, whatever the hour; the rates folded over them equal a loop."""
+    rng = random.Random(4)
+    hour = dt.datetime(2024, 1, 1, 5)
+    events = [(1 if i % 10 else 2, i, hour + dt.timedelta(milliseconds=rng.choice([0, i])), rng.random() < 0.4, 1.0, None) for i in range(2000)]
+    log = spark.createDataFrame(events, schemas.FEEDBACK).repartition(5)
+    sliced = even_slices(log, ["template_id"], ["ts", "event_id"], rows=90)
+    sliced.write.parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/slices-{rng.random()}")
+    sliced = spark.read.parquet(path)
+    sizes = sliced.groupBy("template_id", "_chunk").count().collect()
+    assert max(r["count"] for r in sizes) <= 90 and sum(r.template_id == 1 for r in sizes) >= 20
+    placed = sorted((r.template_id, r.ts, r.event_id, r._chunk) for r in sliced.collect())
+    for template in (1, 2):
+        chunks = [c for t, _, _, c in placed if t == template]
+        assert chunks == sorted(chunks)
+    want = {}
+    for template, _, _, success, _, _ in sorted(events, key=lambda e: (e[0], e[2], e[1])):
+        uses, rate = want.get(template, (0, 1.0))
+        want[template] = uses + 1, 0.9 * rate + 0.1 * success
+    for chunk in (F.col("_chunk"), None):
+        rows_ = L.ema_success_rate(sliced if chunk is not None else log, chunk=chunk).collect()
+        assert {r.template_id: (r.uses, r.success_rate) for r in rows_} == {k: (n, pytest.approx(r, abs=1e-9)) for k, (n, r) in want.items()}

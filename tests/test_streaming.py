@@ -41,6 +41,29 @@ def test_rates_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rates_do_not_depend_on_the_split_or_order_of_the_log(spark, tmp_path, seed):
+    """Batches that overlap in time, events out of order within the lateness, one template with most of the rows."""
+    rng = random.Random(seed)
+    events = [(rng.choice([1, 1, 1, 1, 2, 3]), i, T0 + dt.timedelta(minutes=11 * i), rng.random() < 0.5, 1.0, None) for i in range(300)]
+    log = spark.createDataFrame(events, schemas.FEEDBACK)
+    order = sorted(range(300), key=lambda i: i + rng.uniform(0, 100))  # up to 100 events, under a day, too late
+    parts = [spark.createDataFrame([events[i] for i in order[lo:lo + 75]], schemas.FEEDBACK) for lo in range(0, 300, 75)]
+    J.start_template_rates(as_stream(spark, parts, tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {r.template_id: (r.uses, r.success_rate) for r in J.current_rates(spark, str(tmp_path / "out")).collect()}
+    want = {}
+    for template, _, _, success, _, _ in events:
+        uses, rate = want.get(template, (0, 1.0))
+        want[template] = uses + 1, 0.9 * rate + 0.1 * success
+    assert got == {k: (n, pytest.approx(r, abs=1e-12)) for k, (n, r) in want.items()}
+    # The stream goes on from its state where it was stopped.
+    more = spark.createDataFrame([(1, 900, T0 + dt.timedelta(days=4), True, 1.0, None)], schemas.FEEDBACK)
+    J.start_template_rates(as_stream(spark, [more], tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    after = {r.template_id: (r.uses, r.success_rate) for r in J.current_rates(spark, str(tmp_path / "out")).collect()}
+    uses, rate = want[1]
+    assert after[1] == (uses + 1, pytest.approx(0.9 * rate + 0.1, abs=1e-12)) and after[2] == got[2]
+
+
 def test_metrics_stream_equals_batch_and_drops_late_rows(spark, tmp_path):
     log = spark.createDataFrame(
         [(i, T0 + dt.timedelta(minutes=10 * i), i % 3 == 0, float(i)) for i in range(30)], schemas.REQUESTS)
