@@ -250,7 +250,7 @@ def department_in_periods(star: Star, department: str, periods: Sequence[tuple[s
 
 def employee_project_breakdown(star: Star, lo: dt.date, hi: dt.date) -> DataFrame:
     """Hours per (employee name, project name) of rows inside the period."""
-    fact = _hours_per(star.work_hour.where(contained(lo, hi)), "employee_id", "project_id")
+    fact = star.work_hour.where(contained(lo, hi)).select("employee_id", "project_id", "hours")
     fact = _of_projects(star, _of_employees(star, fact, F.lit(True)), F.lit(True))
     return fact.groupBy(
         F.col("employee_name").alias("employee"), F.col("project_name").alias("project")
@@ -268,3 +268,14 @@ def flat_projects(rollup: DataFrame, employee: str, period: str) -> DataFrame:
     return rollup.where(
         (F.col("employee") == employee) & (F.col("period") == period)
     ).select("project").distinct()
+
+
+def flat_answers(rollup: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (question_id, employee, project, period) with the hours of each on the flat table, null without any.
+
+    Equal questions meet the flat table once. Where the asked periods are known
+    to be few, Spark reads only their folders of the stored table.
+    """
+    keys = ["employee", "project", "period"]
+    totals = rollup.join(asked.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.sum("hours").alias("total_hours"))
+    return asked.join(totals, keys, "left").select("question_id", *keys, "total_hours")

@@ -13,6 +13,7 @@ from hourlens.plans import answering as A
 from hourlens.plans import context as C
 from hourlens.plans import maintenance as MT
 from hourlens.plans.extraction import mentions_long
+from hourlens.plans.reports import flat_answers
 from hourlens.sources.templates import library
 from hourlens.sources.tpch import (
     feedback, question_parts, questions, skeleton_log, star, table, used_templates,
@@ -20,7 +21,7 @@ from hourlens.sources.tpch import (
 from hourlens.workload import register
 from hourlens.workload.learning import FEEDBACK_SQL
 from hourlens.workload.names import MENTIONS_SQL, SKELETONS_SQL, extracted
-from hourlens.workload.reports import STAR_SQL
+from hourlens.workload.reports import ROLLUP_SQL, STAR_SQL, stored_rollup
 from hourlens.workload.templates import AS_OF, TEMPLATES_SQL, TFIDF_SQL
 from hourlens.workload.texts import PARTS_SQL
 
@@ -303,6 +304,18 @@ def answer_question_log(spark, base):
     return A.answer_totals(materialize(params), star(spark, base))
 
 
+@register("q_flat_log", f"""
+WITH {PARTS_SQL}, {ROLLUP_SQL.removeprefix(STAR_SQL).removeprefix(",").strip()}
+SELECT question_id, e AS employee, p AS project, q AS period, total_hours FROM parts LEFT JOIN (
+  SELECT employee, project, period, sum(hours) AS total_hours FROM work_hours GROUP BY ALL) w
+  ON w.employee = e AND w.project = p AND w.period = q""")
+def q_flat_log(spark, base):
+    """Hours of every question's person, project and quarter on the stored flat table."""
+    asked = question_parts(spark, base).select(
+        "question_id", F.col("e").alias("employee"), F.col("p").alias("project"), F.col("q").alias("period"))
+    return flat_answers(stored_rollup(spark, base), asked)
+
+
 @register("period_range_join", f"""
 WITH {STAR_SQL},
 periods AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS start_date, last_day(CAST(o_orderdate AS DATE)) AS end_date FROM orders)

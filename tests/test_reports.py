@@ -2,7 +2,7 @@ import datetime as dt
 
 
 from hourlens.plans import reports as R
-from hourlens.sources.star import quarterly_rollup, read_star, write_rollup, write_star
+from hourlens.sources.star import quarterly_rollup, read_rollup, read_star, write_rollup, write_star
 from tests.conftest import rows
 
 LO, HI = dt.date(2025, 1, 1), dt.date(2025, 3, 31)
@@ -71,3 +71,24 @@ def test_rollup_is_pruned_by_period(spark, small_star, tmp_path):
 def test_reports_over_all_people_sum_before_they_join(small_star):
     plan = R.top_employees(small_star, LO, HI)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_rollup_reads_only_asked_periods(spark, small_star, tmp_path):
+    write_rollup(quarterly_rollup(small_star), str(tmp_path / "flat"))
+    flat = read_rollup(spark, str(tmp_path / "flat"))
+    assert sorted(map(str, flat.collect())) == sorted(map(str, quarterly_rollup(small_star).select(*flat.columns).collect()))
+    one = R.flat_total(flat, "Alex Stone", "Website Redesign", "Q1 2025")
+    assert "PartitionFilters: [isnotnull(period" in plan_of(one) and "(period" in plan_of(one).split("PartitionFilters")[1]
+    assert len(flat.where("period = 'Q1 2025'").inputFiles()) > 0
+    # A log whose periods are few prunes folders while it runs.
+    asked = [(i, "Alex Stone", "Website Redesign", q) for i, q in enumerate(["Q1 2025", "Q1 2025", "Q3 1999", None])]
+    log = spark.createDataFrame(asked, "question_id BIGINT, employee STRING, project STRING, period STRING")
+    log.write.parquet(str(tmp_path / "log"))
+    stored = spark.read.parquet(str(tmp_path / "log")).where("question_id < 3")
+    answers = R.flat_answers(flat, stored)
+    assert "dynamicpruning" in plan_of(answers).lower()
+    assert sorted((r.question_id, r.total_hours) for r in answers.collect()) == [(0, 15.0), (1, 15.0), (2, None)]
