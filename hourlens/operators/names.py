@@ -1,8 +1,8 @@
 """Known names and aliases: lookup, variations, fuzzy match, search, maintenance.
 
-Text-to-name matching is written as equi-joins on word runs or substrings, so
-Spark hashes or broadcasts it by size; nothing compares every text with every
-name.
+Text-to-name matching is written as equi-joins on first words or short pieces,
+so Spark hashes or broadcasts it by size; nothing compares every text with
+every name.
 """
 
 from __future__ import annotations
@@ -152,35 +152,56 @@ def alias_search(aliases: DataFrame, term: str, entity_type: str | None = None)
 # --- containment as equi-joins -----------------------------------------------------
 
 
-def substrings(text: Column, shortest: Column) -> Column:
-    """Distinct substrings of ``text`` of at least ``shortest`` characters."""
-    size = F.length(text)
-    shortest = F.greatest(shortest, F.lit(1)).cast("int")
-    pieces = F.transform(
-        F.sequence(shortest, F.greatest(size, shortest)),
-        lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(text, i, n)),
-    )
-    return F.when(size >= shortest, F.array_distinct(F.flatten(pieces))).otherwise(F.array().cast("array<string>"))
+#: Characters of the pieces by which contained texts are looked up; shorter texts are looked up as they are.
+GRAM = 3
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """Distinct pieces of ``size`` characters of a text."""
+    count = F.length(text) - size + 1
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(text, i, size))
+    return F.when(count >= 1, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
+def containing_pairs(
+    needles: DataFrame, needle: str, texts: DataFrame, text: str, on: list[str], min_ratio: float = 0.0
+) -> DataFrame:
+    """All columns of both sides where ``text`` contains ``needle`` and is at most 1 / ``min_ratio`` times as long.
+
+    A needle is looked up by one piece of GRAM characters only, the one that
+    the fewest texts have, and compared with these; one that has a piece no
+    text has is dropped at once. A text of n characters gives up to 3 n
+    pieces, whatever the needles are. Empty and null needles are in nothing.
+    """
+    size = F.least(F.length(needle), F.lit(GRAM))
+    asked = needles.select(*on, needle).where(F.length(needle) > 0).distinct()
+    cut = F.explode(F.flatten(F.transform(F.array(*map(F.lit, range(1, GRAM + 1))), lambda n: _grams(F.col(text), n))))
+    index = texts.where(F.length(text) > 0).select(*on, F.xxhash64(text).alias("_h"), cut.alias("_gram")).distinct()
+    held = index.groupBy(*on, "_gram").agg(F.count("*").alias("_df"))
+    pieces = asked.withColumn("_gram", F.explode(_grams(F.col(needle), size))).join(held, [*on, "_gram"], "left")
+    rare = pieces.groupBy(*on, needle).agg(
+        F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "_gram")).alias("_r")).where("_r.df > 0").select(
+        *on, needle, F.col("_r._gram").alias("_gram"))
+    # Pieces carry a hash of their text; what they meet is compared with the text itself.
+    met = rare.join(index, [*on, "_gram"]).select(*on, needle, "_h").distinct()
+    found = texts.withColumn("_h", F.xxhash64(text)).join(met, [*on, "_h"]).where(
+        F.contains(text, F.col(needle)) & (F.length(needle) >= F.length(text) * F.lit(min_ratio) - F.lit(1e-9)))
+    return needles.join(found.drop("_h").distinct(), [*on, needle])
 
 
 def containment_pairs(
     left: DataFrame, left_text: str, right: DataFrame, right_text: str, on: list[str], min_ratio: float = 0.0
 ) -> DataFrame:
-    """Pairs where either text contains the other, with score = shorter / longer length.
+    """Pairs where either text contains the other, with score = shorter / longer length (at least ``min_ratio``).
 
-    Exact: one side's substrings of at least ``min_ratio`` of its length are
-    joined by equality with the other side's whole text, in both directions.
+    Exact, in both directions by :func:`containing_pairs`; empty texts are in no pair.
     """
-    def indexed(df: DataFrame, text: str) -> DataFrame:
-        shortest = F.ceil(F.length(text) * F.lit(min_ratio) - F.lit(1e-9))
-        return df.select("*", F.explode_outer(substrings(F.col(text), shortest)).alias("_piece"))
-
-    a = indexed(left, left_text).join(right.withColumn("_piece", F.col(right_text)), [*on, "_piece"])
-    b = left.withColumn("_piece", F.col(left_text)).join(indexed(right, right_text), [*on, "_piece"])
     columns = [*left.columns, *(c for c in right.columns if c not in on)]
+    a = containing_pairs(right, right_text, left, left_text, on, min_ratio).select(*columns)
+    b = containing_pairs(left, left_text, right, right_text, on, min_ratio).select(*columns)
     short = F.least(F.length(left_text), F.length(right_text))
     long = F.greatest(F.length(left_text), F.length(right_text))
-    return a.select(*columns).unionByName(b.select(*columns)).distinct().withColumn("score", short / long)
+    return a.unionByName(b).distinct().withColumn("score", short / long)
 
 
 def fuzzy_canonical(df: DataFrame, aliases: DataFrame, threshold: float = 0.8,
@@ -216,25 +237,11 @@ def fuzzy_canonical(df: DataFrame, aliases: DataFrame, threshold: float = 0.8,
 def rows_containing(values: DataFrame, value: str, dim: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(value, key): dimension rows whose name columns contain each distinct value, ignoring case.
 
-    The set form of a ``LIKE '%value%'`` filter: substrings of the names that
-    have the length of some value are joined by equality with the values.
+    The set form of a ``LIKE '%value%'`` filter (:func:`containing_pairs`).
     """
-    wanted = values.select(value).where(F.length(value) > 0).distinct()
-    needles = wanted.select(F.col(value), F.lower(value).alias("_piece"))
-    # The distinct lengths of the values: at most as many as the longest value has characters.
-    lengths = needles.agg(F.collect_set(F.length("_piece")).alias("n")).scalar()
-
-    def cut(text: Column) -> Column:
-        return F.flatten(F.transform(
-            F.filter("_lengths", lambda n: n <= F.length(text)),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))))
-
-    texts = F.filter(F.array(*(F.lower(F.col(c)) for c in columns)), lambda t: t.isNotNull())
-    pieces = F.array_distinct(F.flatten(F.transform(texts, cut)))
-    measured = dim.select(key, *columns, lengths.alias("_lengths"))
-    index = measured.select(key, F.explode_outer(pieces).alias("_piece"))
-    return index.join(needles, "_piece").select(value, key).distinct()
+    wanted = values.select(value).where(F.length(value) > 0).distinct().select(F.col(value), F.lower(value).alias("_needle"))
+    names = dim.select(key, F.explode(F.array(*(F.lower(F.col(c)) for c in columns))).alias("_text")).where("_text IS NOT NULL")
+    return containing_pairs(wanted, "_needle", names, "_text", []).select(value, key).distinct()
 
 
 # --- dictionary matching ----------------------------------------------------------------

@@ -171,3 +171,29 @@ def test_one_long_name_changes_nothing(spark):
     assert rows(found.where("length(value) <= 9"), "question_id", "value") == [
         (1, "W0 W1"), (1, "W9998"), (2, "w0 w1"), (2, "w9998"), (3, "w0 w1"), (3, "w9998")]
     assert max(len(r.piece) for r in N.name_index(known).collect()) < 30
+
+
+def test_containing_pairs_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(12)
+    piece = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    texts = [(i, rng.choice("xy"), piece(rng.randint(0, 14))) for i in range(80)] + [(900, "x", None), (901, "x", "")]
+    needles = [(rng.choice("xy"), piece(rng.randint(0, 6))) for _ in range(60)] + [("x", None), ("x", "")]
+    for ratio in (0.0, 0.5):
+        got = N.containing_pairs(spark.createDataFrame(needles, "t STRING, n STRING").distinct(), "n",
+                                 spark.createDataFrame(texts, "id INT, t STRING, text STRING"), "text", ["t"], ratio)
+        want = sorted({(n, i) for t, n in needles for i, u, x in texts if n and x and t == u and n in x and len(n) >= ratio * len(x)})
+        assert rows(got, "n", "id") == sorted(want, key=str) and len(want) > 10
+
+
+def test_a_long_name_costs_its_length(spark):
+    """A name of 10,000 characters: linear in pieces, found by what it contains and in what contains it."""
+    import random
+
+    rng = random.Random(13)
+    long = "".join(rng.choice("abcdefgh") for _ in range(10_000))
+    left = spark.createDataFrame([(long,), (long[40:90],), ("zzz",)], "l STRING")
+    right = spark.createDataFrame([(long[50:80],), (f"x{long}y",), ("q",)], "r STRING")
+    got = N.containment_pairs(left, "l", right, "r", [])
+    assert {(len(r.l), len(r.r)) for r in got.collect()} == {(10_000, 30), (50, 30), (10_000, 10_002), (50, 10_002)}
