@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourlens.llm.components import components
-from hourlens.llm.shared import drop, shingles, small, written
+from hourlens.llm.shared import drop, shingles, small, spare, written
 
 
 @dataclass(frozen=True)
@@ -258,12 +258,13 @@ def without_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFram
 
     Texts are shuffled once, by doc_id and hash, at every size: what is dropped has no bound.
     """
+    id_, key = spare("id", docs), spare("key", docs)
     named = written(near_duplicates(docs, settings).select("doc_id", "text_key", "n_shingles", "kept"), "decided")
-    gone = written(named.where(~F.col("kept")).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "gone")
-    often = written(named.where("kept AND (doc_id IS NOT NULL OR n_shingles > 0)").groupBy("doc_id", "text_key").agg(
-        F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "often")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    named = named.withColumnsRenamed({"doc_id": id_, "text_key": key})
+    gone = written(named.where(~F.col("kept")).select(id_, key).distinct(), "gone")
+    often = written(named.where(F.col("kept") & (F.col(id_).isNotNull() | (F.col("n_shingles") > 0))).groupBy(id_, key).agg(
+        F.count("*").alias("n")).where("n > 1").select(id_, key), "often")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key))
     stay = docs.join(gone.hint("merge"), same, "left_anti")
     if often.isEmpty():
         return stay

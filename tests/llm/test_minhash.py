@@ -145,3 +145,10 @@ def test_ids_on_several_texts_and_rows_without_id(spark):
     kept = [(r.doc_id, r.text) for r in minhash.without_copies(docs).collect()]
     assert sorted(t for i, t in kept if i is not None) == sorted([a, b, c]) and kept.count((None, "")) == 2
     assert len(kept) == 6 and [t for i, t in kept if i is None and t][0] in (d, near[d])
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["id", "_id", "key", "_key", "n", "kept", "component", "part"]
+    rows = [(1, "one two three four five six seven", *names), (2, "one two three four five six seven", *names), (3, "else", *names)]
+    left = minhash.without_copies(spark.createDataFrame(rows, ["doc_id", "text", *names]))
+    assert left.columns == ["doc_id", "text", *names] and sorted(r.doc_id for r in left.collect()) == [1, 3]
