@@ -35,7 +35,7 @@ HELD = 0.9
 #: Ids after which a segment is closed. A document is never divided, so a segment has at most that and a document.
 SEGMENT = 1 << 18
 #: Bytes of text that are encoded together.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 _HEAD = struct.Struct("<4sQI")
 _BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("n", "<u2")])
 
