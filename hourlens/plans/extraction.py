@@ -25,9 +25,9 @@ def _mask(text, kept):
 
 def find_mentions(
     questions: DataFrame, dictionary: DataFrame | None, aliases: DataFrame | None = None,
-    as_of: str = "ts", chinese: bool = True, partitions: int | None = None,
+    as_of: str = "ts", chinese: bool = True, partitions: int | None = None, spans: bool = False,
 ) -> DataFrame:
-    """Questions with ``kept`` (resolved spans), ``numbered`` entities and their ``skeleton``.
+    """Questions with ``numbered`` entities, their values as ``entities`` and their ``skeleton``; with ``spans`` also ``kept``.
 
     Pattern mentions are found where the text lies. Only dictionary hits are
     grouped by question, and a question's hits are bounded by its length.
@@ -52,7 +52,14 @@ def find_mentions(
         found = found.withColumn(
             "kept", F.when(X.has_chinese(text), X.keep_longest(F.concat("kept", rest))).otherwise(F.col("kept"))
         )
-    keyed = found.drop("_found").withColumn("keys", X.entity_keys(F.col("kept")))
+    done = with_skeleton(found.drop("_found"), as_of)
+    return done if spans else done.drop("kept")
+
+
+def with_skeleton(found: DataFrame, as_of: str = "ts") -> DataFrame:
+    """Questions with spans ``kept``: add their ``entities`` and ``skeleton``."""
+    text = F.col("text")
+    keyed = found.withColumn("keys", X.entity_keys(F.col("kept")))
     numbered = keyed.withColumn("numbered", X.number_mentions(F.col("kept"), F.col("keys")))
     day = F.col(as_of).cast("date")
     entities = F.transform("numbered", lambda n: F.struct(
@@ -60,9 +67,7 @@ def find_mentions(
         F.coalesce(n["canonical"], normalize_value(n["value"], n["entity_type"], day)).alias("normalized"),
     ))
     filled = X.skeleton(text, F.col("kept"), F.col("keys"), F.col("numbered"))
-    return numbered.withColumn("skeleton", filled).withColumn("entities", entities).drop(
-        "kept", "keys", "numbered"
-    )
+    return numbered.withColumn("skeleton", filled).withColumn("entities", entities).drop("keys", "numbered")
 
 
 def merge_mentions(

@@ -18,11 +18,20 @@ def load_dictionary(spark: SparkSession, *paths: str, lines: bool = False) -> Da
     return names.select("entity_type", F.trim("name").alias("entity")).distinct()
 
 
-def load_aliases(spark: SparkSession, path: str) -> DataFrame:
+_LINE = "entity_type STRING, canonical STRING, canonical_seq INT, aliases ARRAY<STRING>"
+
+
+def load_aliases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """``{type: {canonical: [alias, ...]}}`` as rows that keep the insertion order.
 
-    A canonical without aliases keeps one row with a NULL alias.
+    A canonical without aliases keeps one row with a NULL alias. With ``lines``
+    every line of a file is one canonical name as :func:`save_aliases` writes
+    it, and Spark splits large files.
     """
+    if lines:
+        return spark.read.schema(_LINE).json(path).select(
+            "entity_type", "canonical", "canonical_seq", F.posexplode_outer("aliases").alias("alias_seq", "alias")
+        ).select("entity_type", "canonical", "canonical_seq", "alias", "alias_seq")
     text = spark.read.text(path, wholetext=True)
     nested = text.select(F.from_json("value", "MAP<STRING, MAP<STRING, ARRAY<STRING>>>").alias("m"))
     by_type = nested.select(F.explode("m").alias("entity_type", "c"))
@@ -32,9 +41,17 @@ def load_aliases(spark: SparkSession, path: str) -> DataFrame:
     ).select("entity_type", "canonical", "canonical_seq", "alias", "alias_seq")
 
 
-def save_aliases(aliases: DataFrame, path: str) -> None:
-    """Alias rows as Parquet, one folder per type."""
-    aliases.write.mode("overwrite").partitionBy("entity_type").parquet(path)
+def save_aliases(aliases: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Alias rows as Parquet, one folder per type, or as JSON, one canonical name with its aliases a line."""
+    if fmt == "parquet":
+        aliases.write.mode("overwrite").partitionBy("entity_type").parquet(path)
+        return
+    if fmt != "json":
+        raise ValueError(f"unknown format {fmt}")
+    own = F.array_sort(F.collect_list(F.when(F.col("alias").isNotNull(), F.struct("alias_seq", "alias"))))
+    per_name = aliases.groupBy("entity_type", "canonical").agg(F.min("canonical_seq").alias("canonical_seq"), own.alias("a"))
+    per_name.select("entity_type", "canonical", "canonical_seq", F.transform("a", lambda a: a["alias"]).alias("aliases")).write.mode(
+        "overwrite").json(path)
 
 
 def nested_aliases(aliases: DataFrame) -> DataFrame:

@@ -137,8 +137,15 @@ def load_templates(spark: SparkSession, path: str, lines: bool = False) -> DataF
         F.try_element_at("metadata", F.lit("source")).alias("source")))
 
 
-def save_templates(templates: DataFrame, path: str) -> None:
-    templates.write.mode("overwrite").parquet(path)
+def save_templates(templates: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """The whole table as Parquet, or as JSON what :func:`load_templates` reads from lines."""
+    if fmt == "parquet":
+        templates.write.mode("overwrite").parquet(path)
+    elif fmt == "json":
+        templates.select("template_query", "sql_template", "usage_count", "success_rate",
+                         F.create_map(F.lit("source"), "source").alias("metadata")).write.mode("overwrite").json(path)
+    else:
+        raise ValueError(f"unknown format {fmt}")
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:

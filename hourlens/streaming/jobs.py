@@ -70,6 +70,20 @@ def start_extraction(
     return _start(questions, checkpoint, each, **trigger)
 
 
+def start_feedback(feedback: DataFrame, out: str, checkpoint: str, late: str = "1 day", **trigger) -> StreamingQuery:
+    """Feedback events appended once each, however often they are sent within ``late``.
+
+    The ids of the last ``late`` are in the state store, so nothing is looked
+    up in what was written before. A batch that is run again after a failure
+    replaces its own folder.
+    """
+    def each(batch: DataFrame, number: int) -> None:
+        batch.drop("_at").write.mode("overwrite").parquet(_version(out, number))
+
+    events = feedback.withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", late)
+    return _start(events.dropDuplicatesWithinWatermark(["event_id"]), checkpoint, each, **trigger)
+
+
 _STATE = "uses LONG, rate DOUBLE, ms ARRAY<LONG>, ids ARRAY<LONG>, values ARRAY<DOUBLE>"
 
 

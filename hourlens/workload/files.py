@@ -68,6 +68,25 @@ def load_templates(spark, base):
         "template_query", "sql_template", "usage_count", "success_rate", "source")
 
 
+@register("save_aliases", with_aliases("SELECT entity_type, canonical, canonical_seq, alias, alias_seq FROM aliases"))
+def save_aliases(spark, base):
+    """Aliases through JSON lines, one canonical name a line."""
+    path = _place(spark, "alias-lines")
+    dictionaries.save_aliases(aliases(spark, base), path, "json")
+    return dictionaries.load_aliases(spark, path, lines=True)
+
+
+@register("save_templates", f"""
+WITH {TEMPLATES_SQL.strip()} SELECT template_query, sql_template, usage_count, success_rate,
+  CASE WHEN template_id <= 10 THEN 'predefined' ELSE 'special' END AS source FROM templates""")
+def save_templates(spark, base):
+    """The used templates saved as JSON and loaded again."""
+    path = _place(spark, "saved-templates")
+    templates.save_templates(used_templates(spark, base), path, "json")
+    return templates.load_templates(spark, path, lines=True).select(
+        "template_query", "sql_template", "usage_count", "success_rate", "source")
+
+
 @register("export_csv", with_star(f"SELECT e.name, sum(h.hours) AS hours FROM {HE} GROUP BY e.name"))
 def export_csv(spark, base):
     """Hours of every employee through a CSV file with a header."""
@@ -199,6 +218,14 @@ def stream_extract(spark, base):
     return spark.read.parquet(out).select("question_id", "entity_type", "ordinal", "value", "normalized")
 
 
+@register("stream_feedback", with_feedback("SELECT template_id, event_id, success FROM feedback"))
+def stream_feedback(spark, base):
+    """The feedback log as a stream in which every event comes twice: each is appended once."""
+    out, log = _place(spark, "appended"), feedback(spark, base)
+    streams.start_feedback(_stream(spark, log.union(log), "doubled"), out, _place(spark, "progress"), late="60 days").awaitTermination()
+    return spark.read.parquet(out).select("template_id", "event_id", "success")
+
+
 @register("stream_template_rate", with_feedback("""
 SELECT template_id, uses, round(pow(0.9, uses) + sum(CASE WHEN success THEN 0.1 * pow(0.9, uses - i) ELSE 0 END), 9) AS success_rate
 FROM (SELECT template_id, success, count(*) OVER (PARTITION BY template_id) AS uses,

@@ -12,17 +12,18 @@ from hourlens.operators.partitioning import materialize
 from hourlens.plans import answering as A
 from hourlens.plans import context as C
 from hourlens.plans import maintenance as MT
-from hourlens.plans.extraction import mentions_long
+from hourlens.plans.chain import answer_questions, match_log
+from hourlens.plans.extraction import find_mentions, mentions_long
 from hourlens.plans.reports import flat_answers
 from hourlens.sources.templates import library
 from hourlens.sources.tpch import (
-    feedback, question_parts, questions, skeleton_log, star, table, used_templates,
+    OPENINGS, aliases, dictionary, feedback, question_parts, questions, skeleton_log, star, table, used_templates,
 )
-from hourlens.workload import register
+from hourlens.workload import cores, register
 from hourlens.workload.learning import FEEDBACK_SQL
 from hourlens.workload.names import MENTIONS_SQL, SKELETONS_SQL, extracted
 from hourlens.workload.reports import ROLLUP_SQL, STAR_SQL, stored_rollup
-from hourlens.workload.templates import AS_OF, TEMPLATES_SQL, TFIDF_SQL
+from hourlens.workload.templates import _OPEN, AS_OF, LOG_SQL, TEMPLATES_SQL, TFIDF_SQL
 from hourlens.workload.texts import PARTS_SQL
 
 # --- SQL texts ------------------------------------------------------------------------
@@ -329,9 +330,7 @@ def period_range_join(spark, base):
     return A.answer_totals(periods, star(spark, base), by=())
 
 
-@register("job_answer", f"""
-WITH {PARTS_SQL}, {SLOTS_SQL},
-ranges AS (SELECT question_id, any_value(template_id) AS template_id, max(start_date) AS lo, max(end_date) AS hi FROM slots GROUP BY question_id),
+ANSWERS_SQL = """ranges AS (SELECT question_id, any_value(template_id) AS template_id, max(start_date) AS lo, max(end_date) AS hi FROM slots GROUP BY question_id),
 asked AS (SELECT r.*, coalesce(entity_type, '') AS kind, normalized AS v FROM ranges r
           LEFT JOIN slots s ON s.question_id = r.question_id AND s.entity_type IN ('employee', 'project', 'department')),
 who AS (SELECT DISTINCT v, uuid, name FROM (SELECT DISTINCT v FROM asked WHERE kind = 'employee') a JOIN employee e
@@ -356,23 +355,63 @@ by_project AS (
 periods AS (SELECT DISTINCT template_id, lo, hi FROM ranges WHERE template_id IN (8, 9)),
 sums AS (SELECT template_id, lo, hi, CASE template_id WHEN 8 THEN h.project_id ELSE h.employee_id END AS key, sum(hours) AS hours
          FROM periods JOIN work_hour h ON h.start_date <= hi AND h.end_date >= lo GROUP BY ALL),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY template_id, lo, hi ORDER BY hours DESC, key) AS rank FROM sums) WHERE rank <= 5)
+largest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY template_id, lo, hi ORDER BY hours DESC, key) AS rank FROM sums) WHERE rank <= 5)
 SELECT question_id, template_id, NULL::BIGINT AS key, NULL::VARCHAR AS item, total_hours, NULL::INTEGER AS rank
 FROM ranges LEFT JOIN totals USING (question_id) WHERE template_id IN (1, 4, 5)
 UNION ALL SELECT DISTINCT question_id, 2, project_id, p.name, NULL, NULL FROM by_person LEFT JOIN project p ON p.uuid = project_id WHERE template_id = 2
 UNION ALL SELECT DISTINCT question_id, 3, NULL, e.name, NULL, NULL FROM by_project JOIN employee e ON e.uuid = employee_id
 UNION ALL SELECT question_id, 6, e.uuid, e.name, sum(hours), NULL FROM by_person JOIN employee e ON e.uuid = employee_id WHERE template_id = 6 GROUP BY 1, 3, 4
 UNION ALL SELECT question_id, 10, project_id, p.name, sum(hours), NULL FROM by_person LEFT JOIN project p ON p.uuid = project_id WHERE template_id = 10 GROUP BY 1, 3, 4
-UNION ALL SELECT question_id, template_id, key, coalesce(p.name, e.name), hours, rank FROM ranges JOIN best USING (template_id, lo, hi)
+UNION ALL SELECT question_id, template_id, key, coalesce(p.name, e.name), hours, rank FROM ranges JOIN largest USING (template_id, lo, hi)
   LEFT JOIN project p ON template_id = 8 AND p.uuid = key LEFT JOIN employee e ON template_id = 9 AND e.uuid = key
 UNION ALL SELECT question_id, 12, NULL, e.name, sum(hours), NULL FROM asked JOIN employee e ON e.department = v AND kind = 'department'
-  JOIN work_hour h ON h.employee_id = e.uuid AND h.start_date >= lo AND h.end_date <= hi WHERE template_id = 12 GROUP BY 1, 4""")
+  JOIN work_hour h ON h.employee_id = e.uuid AND h.start_date >= lo AND h.end_date <= hi WHERE template_id = 12 GROUP BY 1, 4"""
+
+
+@register("job_answer", f"WITH {PARTS_SQL}, {SLOTS_SQL},\n{ANSWERS_SQL}")
 def job_answer(spark, base):
     """From question text to answers of every matched question: totals, lists, comparisons and the five largest."""
     slots, _ = _slots(spark, base)
     return A.answer_log(A.parameters(slots), star(spark, base))
 
 
+# The skeletons that extraction finds in the opened questions, and the best template of each.
+_SAID_SQL = SKELETONS_SQL.replace("skeletons AS (", "plain AS (") + f""",
+said AS (SELECT question_id, {_OPEN} || skeleton AS skeleton FROM plain JOIN orders ON o_orderkey = question_id),
+skeletons AS (SELECT DISTINCT skeleton FROM said)"""
+_BEST_SQL = """
+best AS (SELECT skeleton, template_id, similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY skeleton ORDER BY round(combined, 9) DESC, template_id) AS rn
+  FROM combined WHERE similarity >= 0.65) WHERE rn = 1),
+matches AS (SELECT question_id, template_id, similarity FROM said JOIN best USING (skeleton))"""
+CHAIN_SQL = f"""{PARTS_SQL}, {_SAID_SQL}, {TFIDF_SQL.replace(LOG_SQL + ",", "").strip()}, {_BEST_SQL.strip()}, {SLOTS_SQL.replace(MATCHES_SQL + ", ", "")}"""
+
+
+def _chain(spark, base):
+    """Every question with an opening of its order's status, through the whole chain."""
+    opening = F.create_map(*(F.lit(x) for pair in OPENINGS.items() for x in pair))
+    status = table(spark, base, "orders").select(
+        F.col("o_orderkey").alias("question_id"), F.coalesce(F.try_element_at(opening, "o_orderstatus"), F.lit("")).alias("opening"))
+    log = questions(spark, base).join(status, "question_id").select(
+        "question_id", "session_id", "ts", F.concat("opening", "text").alias("text"))
+    return answer_questions(log, dictionary(spark, base), aliases(spark, base), used_templates(spark, base), star(spark, base),
+                            as_of=AS_OF, chinese=False, partitions=cores(spark))
+
+
+@register("job_chain_matches", f"""
+WITH {CHAIN_SQL}
+SELECT question_id, template_id, round(similarity, 9) AS similarity FROM matches""")
+def job_chain_matches(spark, base):
+    """The template of every opened question, found by its skeleton however it is opened."""
+    return _chain(spark, base)[0].select("question_id", "template_id", F.round("similarity", 9).alias("similarity"))
+
+
+@register("job_chain", f"WITH {CHAIN_SQL},\n{ANSWERS_SQL}")
+def job_chain(spark, base):
+    """From opened questions to answers: nearly matched questions are filled and answered like those word for word."""
+    return _chain(spark, base)[1]
+
+
 @register("job_match", f"""
 WITH {TFIDF_SQL.strip()},
 best AS (SELECT skeleton, template_id, similarity, combined FROM (
@@ -475,25 +514,42 @@ def top1_contextual(spark, base):
         F.col("key").alias("skeleton"), "template_id", F.round("score", 9).alias("score"))
 
 
+# Skeletons of the log as extraction finds them, and of the questions that refer to a person, read with the name.
+_CONTEXT_SKELETONS = SKELETONS_SQL.replace("skeletons AS (", "plain AS (") + """,
+referring AS (
+  SELECT question_id, normalized, 'How many hours did {employee_0} work in {time_period_0}?' AS skeleton FROM (
+    SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY said_in DESC, ordinal DESC) AS rn
+    FROM recent WHERE shape = 12 AND entity_type = 'employee') WHERE rn = 1),
+skeletons AS (SELECT DISTINCT skeleton FROM plain UNION SELECT DISTINCT skeleton FROM referring)"""
+_USED = "list_distinct(regexp_extract_all(sql_template, '(?:FROM|JOIN) ([a-z_]+)', 1))"
+
+
 @register("job_context", f"""
-WITH {PARTS_SQL}, {TURNS_SQL},
-latest AS (
-  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY said_in DESC, ordinal DESC) AS rn
-  FROM recent WHERE shape = 12 AND entity_type = 'employee')
-SELECT question_id, CAST(4 AS BIGINT) AS template_id, normalized AS employee FROM latest WHERE rn = 1""")
+WITH {PARTS_SQL}, {TURNS_SQL}, {_CONTEXT_SKELETONS}, {TFIDF_SQL.replace(LOG_SQL + ",", "").strip()},
+best AS (SELECT skeleton, template_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY skeleton ORDER BY round(combined, 9) DESC, template_id) AS rn
+  FROM combined WHERE similarity >= 0.65) WHERE rn = 1),
+used AS (SELECT t.session_id, t.turn, unnest({_USED}) AS tab FROM turns t JOIN plain USING (question_id) JOIN best USING (skeleton)
+         JOIN templates USING (template_id)),
+seen AS (SELECT DISTINCT t.question_id, tab FROM turns t JOIN used u ON u.session_id = t.session_id AND u.turn BETWEEN t.turn - 3 AND t.turn - 1),
+scored AS (
+  SELECT question_id, normalized, template_id, similarity
+    + CASE WHEN list_has_any({_USED}, coalesce((SELECT list(tab) FROM seen WHERE seen.question_id = r.question_id), [])) THEN 0.1 ELSE 0 END
+    + 0.05 * len(list_intersect(['employee', 'time_period'], list_distinct(regexp_extract_all(template_query, '\\{{([a-z_]+)_\\d+\\}}', 1)))) AS score
+  FROM referring r JOIN tfidf USING (skeleton) JOIN templates USING (template_id) WHERE similarity >= 0.65)
+SELECT question_id, template_id, normalized AS employee, round(score, 9) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, template_id) AS rn FROM scored) WHERE rn = 1""")
 def job_context(spark, base):
-    """Questions that refer to a person named before: who it is, and the template they then fit."""
-    messages, mentions = _conversation(spark, base)
-    resolved = C.resolve_references(messages, mentions).where("resolved_from IS NOT NULL AND entity_type = 'employee'")
-    open_ = messages.join(resolved.select("question_id", F.col("normalized").alias("employee")), "question_id")
-    pronoun = F.regexp_replace("text", r"(?i)\bthey\b", "{employee_0}")
-    skeleton = F.regexp_replace(pronoun, r"\bQ[1-4] \d{4}\b", "{time_period_0}")
-    keyed = open_.withColumn("skeleton", skeleton)
-    scores = M.tfidf_scores(keyed, library(spark)).select(
-        F.col("skeleton").alias("key"), "template_id", "similarity",
-        F.lit(False).alias("tables_shared"), F.lit(0).alias("shared_types"))
-    best = C.contextual_best(scores, THRESHOLDS["tfidf"])
-    return keyed.join(best, keyed.skeleton == best.key).select("question_id", "template_id", "employee")
+    """Questions that refer to a person named before: who it is, and the template they then fit in their session."""
+    log = materialize(find_mentions(
+        questions(spark, base), dictionary(spark, base), aliases(spark, base), chinese=False, partitions=cores(spark), spans=True))
+    templates = used_templates(spark, base)
+    matches = match_log(log, templates, "tfidf", AS_OF)
+    messages = materialize(C.number_turns(log.select("question_id", "session_id", "ts", "text")))
+    spliced, best = C.contextual_matches(log, messages, matches, templates, THRESHOLDS["tfidf"])
+    people = spliced.select("question_id", F.inline("entities")).where("entity_type = 'employee'")
+    return best.join(people, "question_id").select(
+        "question_id", "template_id", F.col("normalized").alias("employee"), F.round("score", 9).alias("score"))
 
 
 @register("job_feedback", f"""

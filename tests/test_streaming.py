@@ -41,6 +41,23 @@ def test_rates_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_feedback_is_appended_once(spark, tmp_path):
+    """Events sent again in the same and in a later batch, and a batch that is run again from its checkpoint."""
+    log = spark.createDataFrame(
+        [(i % 3, i, T0 + dt.timedelta(minutes=5 * i), i % 2 == 0, 1.0, None) for i in range(40)], schemas.FEEDBACK)
+    parts = [log.where("event_id < 25").union(log.where("event_id < 5")), log.where("event_id >= 20"), log.where("event_id > 30")]
+    out, progress = str(tmp_path / "out"), str(tmp_path / "cp")
+    J.start_feedback(as_stream(spark, parts, tmp_path / "in"), out, progress).awaitTermination()
+    assert rows(spark.read.parquet(out), "event_id") == sorted(((i,) for i in range(40)), key=str)
+    # The last batch was written but not committed: it runs again and replaces its folder.
+    commits = sorted(p for p in (tmp_path / "cp" / "commits").iterdir() if p.name.isdigit())
+    for file in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        file.unlink(missing_ok=True)
+    J.start_feedback(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")),
+                     out, progress).awaitTermination()
+    assert rows(spark.read.parquet(out), "event_id") == sorted(((i,) for i in range(40)), key=str)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_rates_do_not_depend_on_the_split_or_order_of_the_log(spark, tmp_path, seed):
     """Batches that overlap in time, events out of order within the lateness, one template with most of the rows."""
