@@ -267,22 +267,25 @@ def fit(texts: Iterable[str | None] | Corpus, labels: np.ndarray, languages: lis
 class Scorer:
     """Scores whole texts; keeps what the words met so far add to each filter, up to ``size`` words."""
 
-    def __init__(self, model: Model, size: int = 200_000):
+    def __init__(self, model: Model, size: int = 100_000):
         self.m, self.size, self.known = model, size, {}
         s, p = model.settings, model.weights
         #: All filters' places side by side: dims x (places x filters).
         self.filters = np.concatenate([p[f"f{w}"][j] for w in s.widths for j in range(w)], axis=1)
-        self.adds = np.zeros((0, self.filters.shape[1]), np.float32)
+        self.adds = np.empty((size, self.filters.shape[1]), np.float32)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.size:
-            self.known, self.adds, new = {}, self.adds[:0], list(words)
-        if not new:
-            return
-        vectors = embed(self.m.weights["e"], *subwords(new, self.m.settings))
-        self.known.update(zip(new, range(len(self.adds), len(self.adds) + len(new))))
-        self.adds = np.concatenate([self.adds, vectors @ self.filters])
+            self.known, new = {}, list(words)
+            if len(new) > len(self.adds):  # a text with more words than are kept
+                self.adds = np.empty((len(new), self.filters.shape[1]), np.float32)
+        first = len(self.known)
+        self.known.update(zip(new, range(first, first + len(new))))
+        for i in range(0, len(new), 10_000):
+            part = new[i:i + 10_000]
+            self.adds[first + i:first + i + len(part)] = embed(
+                self.m.weights["e"], *subwords(part, self.m.settings)) @ self.filters
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         s, p, out = self.m.settings, self.m.weights, np.zeros(len(texts))
@@ -360,8 +363,8 @@ def scorer(spark, model: Model | None) -> Column:
         for part in texts:
             values = part.tolist()
             yield pd.Series(np.concatenate([
-                scorer_.scores(values[i:i + 256]) if scorer_ else np.zeros(len(values[i:i + 256]))
-                for i in range(0, max(len(values), 1), 256)]))
+                scorer_.scores(values[i:i + 128]) if scorer_ else np.zeros(len(values[i:i + 128]))
+                for i in range(0, max(len(values), 1), 128)]))
 
     return score
 
