@@ -47,6 +47,26 @@ def targets(sources: DataFrame, weights: tuple[int, ...], most: float) -> DataFr
     return state.select("source", "source_size", "n_units", share.alias("target"))
 
 
+def sliced(units: DataFrame, plan: DataFrame) -> DataFrame:
+    """Units (source, unit, rate, ...) with ``rest`` of their source's plan and ``slice``, its keys' range cut evenly.
+
+    A key with rate r is above x with a chance of exp(-r x), so the mean of
+    that over a source's rates, 1 - G(x), spreads its keys evenly over 0 to 1 in
+    their order. Rates are counted in bins 10 % wide, a few per source; the
+    bins decide how even the slices are, never what is taken.
+    """
+    bins = units.groupBy("source", F.round(F.log("rate"), 1).alias("ln")).agg(F.count("*").alias("n"))
+    shape = written(bins.groupBy(F.col("source").alias("known_source")).agg(
+        F.collect_list(F.struct(F.exp("ln").alias("rate"), F.col("n").cast("double").alias("n"))).alias("bins"),
+        F.sum("n").cast("double").alias("total")), "shape")
+    known = plan.select(F.col("source").alias("plan_source"), "slices", "rest")
+    above = F.aggregate("bins", F.lit(0.0), lambda s, b: s + b["n"] * F.exp(-b["rate"] * F.col("unit.key"))) / F.col("total")
+    place = F.least(F.floor((1 - above) * F.col("slices")), F.col("slices") - 1)
+    return units.join(known, F.col("source").eqNullSafe(F.col("plan_source"))).join(
+        shape, F.col("source").eqNullSafe(F.col("known_source"))).withColumn(
+        "slice", F.greatest(place, F.lit(0))).drop("plan_source", "known_source", "bins", "total")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
     """How often the mix takes each row of ``docs`` (doc_id, source, size, quality; see :func:`size_of`).
 
@@ -70,20 +90,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     summed size; empty tables give no rows.
     """
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
-    key = -F.log(u) / F.when(F.col("quality") > 0, F.col("quality")).otherwise(1.0)
+    rate = F.when(F.col("quality") > 0, F.col("quality")).otherwise(1.0)
+    key = -F.log(u) / rate
     order = F.struct(key.alias("key"), F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc_id"), F.col("size"))
-    units = written(docs.groupBy("source", order.alias("unit")).agg(F.count("*").alias("n")), "units").withColumn(
-        "words", F.col("n") * F.col("unit.size"))
+    units = written(docs.groupBy("source", order.alias("unit")).agg(
+        F.count("*").alias("n"), F.max(rate).alias("rate")), "units").withColumn("words", F.col("n") * F.col("unit.size"))
     plan = targets(units.groupBy("source").agg(F.sum("words").alias("source_size"), F.count("*").alias("n_units")),
                    weights, most)
     plan = written(plan.withColumns({
         "epochs": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0),
         "slices": F.ceil(F.col("n_units") / float(SLICE)),
     }).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "plan")
-    known = plan.select(F.col("source").alias("known_source"), "slices", "rest")
-    # 1 - exp(-key) spreads the keys over 0 to 1 in their order.
-    slice_ = F.least(F.floor((1 - F.exp(-F.col("unit.key"))) * F.col("slices")), F.col("slices") - 1)
-    units = units.join(known, F.col("source").eqNullSafe(F.col("known_source"))).withColumn("slice", slice_)
+    units = sliced(units, plan)
     sums = written(units.groupBy("source", "slice").agg(F.sum("words").alias("words")), "slices")
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("at_source"), F.col("slice").alias("at_slice"),
@@ -113,7 +131,12 @@ def quality_of(text: Column) -> Column:
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, source, and any others) as often as the mix takes them."""
+    """The rows of ``docs`` (doc_id, text, source, and any others), with all columns, as often as the mix takes them.
+
+    Null and empty texts have size 0 and are taken or not like others; null
+    sources are a source; equal rows go together; an empty table gives an empty
+    table. Columns may have any names.
+    """
     rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"),
                        quality_of(F.col("text")).alias("quality"), F.struct(*docs.columns).alias("row"))
     taken = mix(rows, weights, most, seed).where("copies > 0")

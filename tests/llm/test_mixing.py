@@ -93,3 +93,39 @@ def test_odd_rows(spark, odd, none):
 def test_size_counts_runs(spark):
     rows = spark.createDataFrame([("a b c",), ("\x1ca\x0bb\r\n",), (" ",), (None,)], "text string")
     assert [r[0] for r in rows.select(size_of(F.col("text"))).collect()] == [2, 2, 0, 0]
+
+
+@pytest.mark.parametrize("quality", [0.1, 1.0, None])
+def test_slices_are_even_whatever_the_quality(spark, monkeypatch, quality):
+    """No slice of a source holds more than three times its share of the rows; None: qualities from 0.1 to 1."""
+    monkeypatch.setattr(mixing, "SLICE", 100)
+    docs = documents(spark, 6000).withColumn("source", F.lit("one")).withColumn(
+        "quality", F.lit(quality) if quality else (F.col("doc_id") % 10 + 1) / 10)
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(0), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
+    units = docs.select("source", F.struct((-F.log(u) / F.col("quality")).alias("key"), "doc_id", "size").alias("unit"),
+                        F.col("quality").alias("rate"))
+    plan = spark.createDataFrame([("one", 60, 1.0)], "source string, slices long, rest double")
+    found = mixing.sliced(units, plan).groupBy("slice").agg(
+        F.count("*").alias("n"), F.min("unit.key").alias("low"), F.max("unit.key").alias("high")).orderBy("slice").collect()
+    assert len(found) > 50 and max(r.n for r in found) <= 3 * 6000 / 60
+    assert all(a.high <= b.low for a, b in zip(found, found[1:]))
+
+
+def test_whole_result_equals_sorting_in_one_place(spark, monkeypatch):
+    """Every document's copies against a plain sort of the exponential keys and a running sum."""
+    monkeypatch.setattr(mixing, "SLICE", 40)
+    docs = documents(spark, 900).withColumn("quality", F.element_at(F.array(*map(F.lit, (0.1, 0.5, 1.0, 0.0))), (
+        F.col("doc_id") % 4 + 1).cast("int")))
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(0), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
+    rows = docs.select("doc_id", "source", "size", "quality", u.alias("u")).collect()
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r.source] += r.size
+    wanted, want = fill(sizes), {}
+    for source, size in sizes.items():
+        epochs = math.floor(wanted[source] / size)
+        rest, before = wanted[source] - epochs * size, 0
+        for r in sorted((r for r in rows if r.source == source), key=lambda r: (-math.log(r.u) / (r.quality or 1.0), r.doc_id)):
+            want[r.doc_id] = epochs + (rest > 0 and before + r.size / 2 <= rest)
+            before += r.size
+    assert {r.doc_id: r.copies for r in mix(docs).collect()} == want and len(set(want.values())) > 2
