@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourlens.llm.shared import sized, small, spare, windows, written
+from hourlens.llm.shared import release, sized, small, spare, windows, written
 
 # Units of measure and of money, in the singular and as signs.
 UNITS = """mm cm m km inch inches foot feet yard yards mile miles mg g kg t ton tons ounce ounces pound pounds ml l
@@ -36,6 +36,7 @@ UNITS = """mm cm m km inch inches foot feet yard yards mile miles mg g kg t ton
 NUMBERS = """two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen
  eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million""".split()
 
+_UNITS, _NUMBERS = frozenset(UNITS), frozenset(NUMBERS)
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _AROUND = re.compile(r"^\W+|\W+$")
 _NUM, _NAME, _UNIT, _CAPITAL, _END = 1, 2, 4, 8, 16
@@ -56,36 +57,37 @@ class _Words(dict):
     """Hash of each token's word, with flags in the low bits; starts anew when it is large."""
 
     def __missing__(self, token: str) -> int:
-        word = _AROUND.sub("", token)
+        plain = token.isalpha()
+        word = token if plain else _AROUND.sub("", token)
         lower = word.lower()
         flags = 0
-        if _NUMBER.fullmatch(token.strip("()[]{}.,;:!?\"'")) or lower in NUMBERS:
+        if lower in _NUMBERS or not plain and _NUMBER.fullmatch(token.strip("()[]{}.,;:!?\"'")):
             flags |= _NUM
-        if lower in UNITS or token.strip(".,;:!?") in UNITS:
+        if lower in _UNITS or not plain and token.strip(".,;:!?") in _UNITS:
             flags |= _UNIT
         if word[:1].isupper():
             flags |= _CAPITAL
-        if token.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":"):
+        if not plain and token.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":"):
             flags |= _END
         if not word and not flags & (_NUM | _UNIT):
             value = 0  # signs alone are no word
         else:
             value = xxhash.xxh3_64_intdigest(lower) >> 6 << 5 | flags
-        if len(self) > 200_000:
+        if len(self) >= 400_000:
             self.clear()
         self[token] = value
         return value
 
 
 #: Bytes of text that are read together.
-CHUNK = 1 << 20
+CHUNK = 2 << 20
 
 
 class _Tokens(dict):
     """Hash of each token as it stands, in lower case without punctuation around it; starts anew when it is large."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 200_000:
+        if len(self) >= 400_000:
             self.clear()
         self[token] = value = xxhash.xxh3_64_intdigest((token.strip("()[]{}.,;:!?\"'").lower() or token), 1)
         return value
@@ -282,6 +284,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
                 [batch.column(0).take(of), batch.column(1).take(of), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(
                     (pa.int64(), pa.int32(), pa.list_(pa.string())), 1))],
                 ["doc_id", "text_key", "hash", "doc_place", "doc_values"])
+        known.clear(), tokens.clear()
+        release()
 
     hits = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
         run, "doc_id long, text_key long, hash long, doc_place int, doc_values array<string>")

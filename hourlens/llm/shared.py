@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -71,6 +73,15 @@ def sized(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iterato
             first = last
 
 
+def release() -> None:
+    """Give back what a task has freed. Python workers are kept for later tasks, and with them memory they do not use."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # only the GNU library keeps freed memory this way
+        trim(0)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of a column as bytes, null as empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
