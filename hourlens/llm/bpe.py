@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -116,10 +116,10 @@ class Cache(dict):
         super().__init__()
         self.encode, self.size = encode, size
 
-    def add(self, pieces: set[str]) -> None:
-        """Afterwards all of these pieces are known."""
-        new = {p for p in pieces if p not in self}
+    def add(self, pieces: Collection[str]) -> None:
+        """Afterwards all of these distinct pieces are known."""
+        new = [p for p in pieces if p not in self]
         if len(self) + len(new) > self.size:
             self.clear()
-            new = pieces
-        self.update(zip(new, self.encode(list(new))))
+            new = list(pieces)
+        self.update(zip(new, self.encode(new)))

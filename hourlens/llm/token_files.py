@@ -35,7 +35,7 @@ HELD = 0.9
 #: Ids after which a segment is closed. A document is never divided, so a segment has at most that and a document.
 SEGMENT = 1 << 18
 #: Bytes of text that are encoded together.
-CHUNK = 2 << 20
+CHUNK = 4 << 20
 _HEAD = struct.Struct("<4sQI")
 _BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("n", "<u2")])
 
@@ -135,17 +135,11 @@ def _pieces(texts: list[str]) -> pa.ListArray:
     return pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
 
 
-def _gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Places of consecutive runs: starts[i], starts[i] + 1, ... for each i."""
-    before = np.cumsum(lengths) - lengths
-    return np.arange(lengths.sum()) + np.repeat(starts - before, lengths)
-
-
 def encode_texts(texts: list[str | None], path: str, end_id: int, cache_size: int) -> list[np.ndarray]:
     """Ids of each text with the end id.
 
     The pieces of all texts are numbered by Arrow; each distinct one is looked
-    up once in this worker's cache, and ids are gathered by number.
+    up once in this worker's cache, and Arrow strings their ids together.
     """
     tokenizer, cache, (_, pattern) = bpe.load(path), _cache(path, cache_size), bpe.special(path)
     ready = ["" if not t else None if pattern is not None and pattern.search(t) else bpe.spaced(t) for t in texts]
@@ -154,16 +148,14 @@ def encode_texts(texts: list[str | None], path: str, end_id: int, cache_size: in
     pieces = _pieces([r or "" for r in ready])
     numbered = pieces.flatten().dictionary_encode()
     distinct = numbered.dictionary.to_pylist()
-    cache.add(set(distinct))
-    known = [cache[p] for p in distinct]
-    ids = np.frombuffer(b"".join(known), "u4")
-    sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-    numbers = numbered.indices.to_numpy(zero_copy_only=False)
-    lengths = sizes[numbers]
-    gathered = ids[_gathered((np.cumsum(sizes) - sizes)[numbers], lengths)]
-    places = np.concatenate([[0], np.cumsum(lengths)])[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
+    cache.add(distinct)
+    strung = pa.array([cache[p] for p in distinct], pa.large_binary()).take(numbered.indices)
+    offsets, data = strung.buffers()[1:]
+    ids = np.frombuffer(data, "u4", len(data) // 4) if data is not None and len(data) else np.zeros(0, "u4")
+    ends = np.frombuffer(offsets, "i8", len(strung) + 1) if len(strung) else np.zeros(1, np.int64)
+    places = ends[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()] // 4
     end = np.array([end_id], "<u4")
-    return [np.concatenate([np.array(next(whole).ids, "<u4") if r is None else gathered[a:b], end])
+    return [np.concatenate([np.array(next(whole).ids, "<u4") if r is None else ids[a:b], end])
             for r, a, b in zip(ready, places[:-1], places[1:])]
 
 
@@ -191,7 +183,7 @@ def _write_segments(batches, path: str, end_id: int, cache_size: int):
         yield close()
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int, cache_size: int = 500_000) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, end_id: int, cache_size: int = 700_000) -> DataFrame:
     """Segments of all texts of ``docs`` (doc_id, text; other columns are ignored) in ascending doc_id order.
 
     Rows are dealt by ranges of doc_id, so shard, segment and place follow its
