@@ -10,6 +10,7 @@ double precision.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,9 @@ class Settings:
     seed: int = 7
 
 
+@lru_cache(maxsize=4)
 def rotation(dims: int, seed: int) -> np.ndarray:
-    """A random rotation, the same everywhere."""
+    """A random rotation, the same everywhere, made once by each worker."""
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, dims)))
     return q * np.sign(np.diag(r))
 
