@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourlens.llm.components import components
-from hourlens.llm.shared import drop, shingles, small, spare, written
+from hourlens.llm.shared import drop, release, shingles, small, spare, written
 
 
 @dataclass(frozen=True)
@@ -72,6 +72,7 @@ def sign(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(prints, pa.binary()),
                  pa.array(signs, pa.binary())], ["doc_id", "text_key", "n_shingles", "print", "signature"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(
         run, "doc_id long, text_key long, n_shingles long, print binary, signature binary")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourlens.llm.shared import held_out, written
+from hourlens.llm.shared import held_out, release, written
 
 _WORD = re.compile(r"\w+")
 
@@ -365,6 +365,8 @@ def scorer(spark, model: Model | None) -> Column:
             yield pd.Series(np.concatenate([
                 scorer_.scores(values[i:i + 128]) if scorer_ else np.zeros(len(values[i:i + 128]))
                 for i in range(0, max(len(values), 1), 128)]))
+        del scorer_
+        release()
 
     return score
 
