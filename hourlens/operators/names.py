@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourlens.functions import extract as X
+from hourlens.operators.partitioning import materialize
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -272,20 +273,30 @@ _LEAD, _TRAIL = r"^[^\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+$"
 #: Words (characters of a Chinese name) by which a name is looked up at most, and signs that are carried around them.
 HEAD, SIGNS = 8, 4
 
-_HEAD = "struct<start:int,before:int,around:string,ends:array<int>,first:string,chinese:boolean>"
+_HEAD = "struct<start:int,before:int,around:string,first:string,chinese:boolean>"
 
 
-def _head(text: Column, start: Column, ends: Column, first: Column, chinese: bool) -> Column:
-    """A place where a name may begin: up to HEAD words from there with a few signs, and where each of them ends."""
+def _head(text: Column, start: Column, end: Column, first: Column, chinese: bool) -> Column:
+    """A place where a name may begin: up to HEAD words from there, with a few signs around them."""
     before = F.least(start, F.lit(SIGNS))
-    around = F.substring(text, start - before + 1, before + F.element_at(ends, -1) + SIGNS)
-    return F.struct(start.alias("start"), before.alias("before"), around.alias("around"), ends.alias("ends"),
-                    F.lower(first).alias("first"), F.lit(chinese).alias("chinese"))
+    around = F.substring(text, start - before + 1, before + end - start + SIGNS)
+    return F.struct(start.alias("start"), before.alias("before"), around.alias("around"), first.alias("first"),
+                    F.lit(chinese).alias("chinese"))
 
 
-def _word_heads(text: Column, tokens: Column) -> Column:
-    return F.transform(tokens, lambda t, i: _head(
-        text, t["start"], F.transform(F.slice(tokens, i + 1, F.lit(HEAD)), lambda last: last["end"] - t["start"]), t["value"], False))
+#: A word with what lies in front of it.
+_CHUNK = rf"[^\p{{L}}\p{{N}}_]*{WORD}"
+
+
+def _ends(text: Column) -> Column:
+    """Where each word of a text ends, behind a 0."""
+    return F.aggregate(X.matches(text, _CHUNK), F.array(F.lit(0)), lambda ends, c: F.concat(
+        ends, F.array(F.element_at(ends, -1) + F.length(c))))
+
+
+def _word_heads(text: Column, words: Column, ends: Column) -> Column:
+    return F.transform(words, lambda w, i: _head(
+        text, F.get(ends, i + 1) - F.length(w), F.get(ends, F.least(i + HEAD, F.size(words))), w, False))
 
 
 def _chinese_heads(text: Column) -> Column:
@@ -294,11 +305,22 @@ def _chinese_heads(text: Column) -> Column:
         F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))),
         lambda p: _starts_chinese(F.substring(text, p + 1, F.lit(1))),
     )
-    heads = F.transform(starts, lambda p: _head(
-        text, p, F.sequence(F.lit(1), F.least(F.lit(HEAD), size - p)), F.substring(text, p + 1, F.lit(1)), True))
+    heads = F.transform(starts, lambda p: _head(text, p, F.least(p + HEAD, size), F.substring(text, p + 1, F.lit(1)), True))
     return F.when(X.has_chinese(text), heads).otherwise(F.array().cast(f"array<{_HEAD}>"))
 
 
+def _meeting(pieces: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join in which only ``known`` may be broadcast.
+
+    Pieces of texts are many times what the planner takes the texts for, so
+    they must not be gathered. A left join builds its right side, and the
+    generator keeps later filters from turning it into an inner join.
+    """
+    rows = known.select(*on, F.struct(*(c for c in known.columns if c not in on)).alias("_known"))
+    met = pieces.join(rows, on, "left").select(*pieces.columns, F.explode_outer(F.array("_known")).alias("_known"))
+    return met.where("_known IS NOT NULL").select(*pieces.columns, "_known.*")
+
+
 def name_index(names: DataFrame) -> DataFrame:
     """Names as they are looked up: their first word, how many words (at most HEAD) are looked up, and these as one piece.
 
@@ -332,16 +354,21 @@ def dictionary_hits(texts: DataFrame, names: DataFrame, key: str = "question_id"
     read once more for the places that begin like them.
     """
     body = F.col(text)
-    tokens = texts.select(key, text, X.spans(body, f"({WORD})").alias("_tokens"))
-    heads = tokens.select(key, F.explode(F.concat(
-        _word_heads(body, F.col("_tokens")), _chinese_heads(body))).alias("_h")).select(key, "_h.*")
-    index = name_index(names)
+    read = texts.select(key, text, X.matches(body, WORD).alias("_words"), _ends(body).alias("_ends"))
+    heads = read.select(key, F.explode(F.concat(
+        _word_heads(body, F.col("_words"), F.col("_ends")), _chinese_heads(body))).alias("_h")).select(
+        key, "_h.start", "_h.before", "_h.around", F.lower("_h.first").alias("first"), "_h.chinese")
+    # As a table its size is known, so that texts are not shuffled to meet a few names.
+    index = materialize(name_index(names))
     begun = index.groupBy("first", "chinese").agg(F.collect_set("words").alias("sizes"))
-    met = heads.join(begun, ["first", "chinese"]).select(
-        key, "start", "before", "around", "ends", "chinese",
-        F.explode(F.filter("sizes", lambda n: n <= F.size("ends"))).alias("words"))
-    pieces = met.withColumn("piece", F.lower(F.substring(
-        F.col("around"), F.col("before") + 1, F.element_at("ends", F.col("words"))))).join(index, ["piece", "words", "chinese"])
+    # What a head can hold: its words with the signs between them, or its characters.
+    bare = F.expr("substring(around, before + 1)")
+    chunks = F.when(F.col("chinese"), F.split(bare, "")).otherwise(X.matches(bare, _CHUNK))
+    met = _meeting(heads, begun, ["first", "chinese"]).withColumn("_chunks", chunks).select(
+        key, "start", "before", "around", "chinese", "_chunks",
+        F.explode(F.filter("sizes", lambda n: n <= F.size("_chunks"))).alias("words"))
+    piece = F.lower(F.array_join(F.slice("_chunks", F.lit(1), F.col("words")), ""))
+    pieces = _meeting(met.withColumn("piece", piece).drop("_chunks"), index, ["piece", "words", "chinese"])
     start = F.col("start") - F.col("lead")
     out = [key, start.alias("start"), (start + F.length("_name")).alias("end"), "entity_type"]
     value = F.substring(F.col("around"), F.col("before") - F.col("lead") + 1, F.length("_name"))

@@ -28,12 +28,16 @@ def _slot_name(entity: Column) -> Column:
 def learn(generated: DataFrame, extracted: DataFrame, templates: DataFrame) -> DataFrame:
     """New valid templates: one per skeleton that the table does not hold yet.
 
-    The first question (smallest id) of a skeleton gives the SQL; a minimum per
-    skeleton combines on the map side, however often a skeleton occurs.
+    The first question (smallest id) with valid SQL gives the SQL of a skeleton.
+    Equal texts of a skeleton are one before they are checked; both minima
+    combine on the map side, however often a skeleton occurs.
     """
     found = sql_templates(generated, extracted)
-    valid = found.where(F.size(Q.lint_sql(F.col("sql_template"), F.col("mapped"))) == 0)
-    first = valid.groupBy("skeleton").agg(F.min_by("sql_template", "question_id").alias("sql_template"))
+    # The checks read results of the aggregation: a filter on its keys would be pushed into the join, once for every check.
+    texts = found.groupBy("skeleton", "sql_template", "mapped").agg(
+        F.min("question_id").alias("first"), F.any_value(F.struct("sql_template", "mapped")).alias("t"))
+    valid = texts.where(F.size(Q.lint_sql(F.col("t.sql_template"), F.col("t.mapped"))) == 0)
+    first = valid.groupBy("skeleton").agg(F.min_by("t.sql_template", "first").alias("sql_template"))
     new = first.join(templates.select(F.col("template_query").alias("skeleton")), "skeleton", "left_anti")
     return complete_templates(new.select(
         F.xxhash64("skeleton").alias("template_id"), F.col("skeleton").alias("template_query"), "sql_template"))

@@ -11,13 +11,14 @@ from hourlens.functions.periods import normalize_period
 from hourlens.operators import chartdata as D
 from hourlens.operators import learning as L
 from hourlens.operators import matching as M
+from hourlens.operators.names import dictionary_hits
 from hourlens.plans import answering as A
 from hourlens.plans import context as C
 from hourlens.plans import maintenance as MT
 from hourlens.sources import star as S
 from hourlens.sources.templates import library
 
-from conftest import d
+from conftest import ask, d
 
 PARAMS = "question_id BIGINT, employee STRING, project STRING, start_date DATE, end_date DATE"
 
@@ -141,3 +142,26 @@ def test_normal_forms(spark):
 def test_references_to_a_person(spark, text, hit):
     one = spark.createDataFrame([(text,)], "text STRING")
     assert one.where(F.col("text").rlike(C.REFERENCES["employee"])).count() == int(hit)
+
+
+def test_generated_sql_is_made_a_template_once_for_all_checks(spark):
+    extracted = ask(spark, "Hours of Alex Stone", "Hours of Alex Stone", "Days of Alex Stone").select("question_id", F.col("text").alias("skeleton")).withColumn(
+        "entities", F.expr("array(named_struct('entity_type', 'employee', 'ordinal', 0, 'value', 'Alex Stone', 'normalized', 'Alex Stone'))"))
+    generated = spark.createDataFrame([
+        (0, "DROP TABLE t"), (1, "SELECT h FROM t WHERE e = 'Alex Stone'"), (2, "SELECT 1")], "question_id BIGINT, sql STRING")
+    new = MT.learn(generated, extracted, library(spark))
+    assert new._jdf.queryExecution().optimizedPlan().toString().count("array_sort(transform(entries") == 1
+    assert [(r.template_query, r.sql_template) for r in new.collect()] == [
+        ("Hours of Alex Stone", "SELECT h FROM t WHERE e = '{employee_0}'")]
+
+
+def test_words_of_texts_are_not_broadcast(spark, tmp_path):
+    ask(spark, "Hours of name 7 word", "Hours of (name 299) and name 41 x").write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    names = spark.range(300_000).select(
+        F.lit("employee").alias("entity_type"), F.concat(F.lit("name "), F.col("id").cast("string")).alias("name")).withColumn(
+        "canonical", F.col("name"))
+    found = dictionary_hits(texts, names)
+    assert "BuildLeft" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r.question_id, r.start, r.end, r.value) for r in found.collect()) == [
+        (0, 9, 15, "name 7"), (1, 10, 18, "name 299"), (1, 24, 31, "name 41")]
