@@ -1,6 +1,7 @@
 """Inputs on which an earlier version was wrong."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,3 +166,15 @@ def test_words_of_texts_are_not_broadcast(spark, tmp_path):
     assert "BuildLeft" not in found._jdf.queryExecution().sparkPlan().toString()
     assert sorted((r.question_id, r.start, r.end, r.value) for r in found.collect()) == [
         (0, 9, 15, "name 7"), (1, 10, 18, "name 299"), (1, 24, 31, "name 41")]
+
+
+def test_pairs_alike_by_terms_are_found_as_one_row_a_pair(spark):
+    texts = [f"alpha{i % 50} beta{i % 70} gamma{i % 30} delta" for i in range(300)]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "skeleton_id BIGINT, skeleton STRING")
+    templates = spark.createDataFrame([(i, t + " more") for i, t in enumerate(texts[::3])], "template_id BIGINT, template_query STRING")
+    found = M.tfidf_alike(asked, templates, 0.65)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert not re.search(r"Join \[(b#\w+, term|term#\w+, b)#", plan)
+    every = M.tfidf_scores(asked, templates).where("similarity >= 0.65")
+    rows = lambda df: sorted((r.skeleton, r.template_id, round(r.similarity, 9)) for r in df.collect())
+    assert rows(found) == rows(every) and len(rows(every)) > 100
