@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourlens.llm import bpe
-from hourlens.llm.shared import sized, small, written
+from hourlens.llm.shared import release, sized, small, written
 
 MAGIC = b"PFR1"
 BLOCK = 512
@@ -181,6 +181,8 @@ def _write_segments(batches, path: str, end_id: int, cache_size: int):
                 ids, doc_ids, lengths, held = [], [], [], 0
     if doc_ids:
         yield close()
+    ids = doc_ids = lengths = batch = own = None
+    release()
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int, cache_size: int = 700_000) -> DataFrame:
