@@ -170,3 +170,17 @@ def test_best_templates_equal_all_scores(spark):
     best = M.best_by_combined(every, S.THRESHOLDS["tfidf"]).select("skeleton", "template_id").collect()
     alike = M.combined(M.tfidf_alike(asked, templates), templates, as_of).withColumn("combined", F.round("combined", 9))
     assert set(M.best_by_combined(alike, S.THRESHOLDS["tfidf"]).select("skeleton", "template_id").collect()) == set(best)
+
+
+def test_word_sets_alike_shuffle_no_text_with_a_word(spark):
+    """Sentences go by numbers and their first words by hashes: what is dealt out by words holds no strings."""
+    said = spark.createDataFrame([(i, " ".join(words)) for i, words in sets(200, 5) if words], "skeleton_id long, skeleton string")
+    templates = said.where("skeleton_id % 3 = 0").select(F.col("skeleton_id").alias("template_id"), F.col("skeleton").alias("template_query"))
+    for content in (False, True):
+        found = M.word_sets_alike(said, templates, 0.7, content)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan
+        left = {r.skeleton: r.words for r in said.select("skeleton", (S.content_words if content else lambda t, _: S.words(t))(F.col("skeleton"), False).alias("words")).collect()}
+        right = {r.template_id: left[r.template_query] for r in templates.collect()}
+        want = {(a, b) for a, x in left.items() for b, y in right.items() if jaccard(x, y) >= 0.7}
+        assert {(r.skeleton, r.template_id) for r in found.collect()} == want
