@@ -1,9 +1,13 @@
 """The mention step: what it carries and what the shortened pattern finds."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from hourlens import schemas
 from hourlens.functions import extract as X
 from hourlens.operators import names as N
+from hourlens.plans import extraction as E
 from tests.conftest import ask
 
 
@@ -31,3 +35,22 @@ def test_lexer_tries_no_less_than_all_entries(spark):
     assert every != X.LEXER
     for row in df.select(X.lex(F.col("t")).alias("a"), X.spans(F.col("t"), every, len(X.GRAMMAR)).alias("b")).collect():
         assert row.a == row.b
+
+
+def test_each_text_is_read_once_and_each_day_counts(spark, dictionary, monkeypatch):
+    """A question asked again costs no second look; its relative period still follows its own day, and null texts stay."""
+    read = []
+    plain = E.dictionary_hits
+
+    def counted(texts, *args, **kwargs):
+        read.append(texts.count())
+        return plain(texts, *args, **kwargs)
+
+    monkeypatch.setattr(E, "dictionary_hits", counted)
+    log = spark.createDataFrame(
+        [(i, 1, dt.datetime(2024, 1 + i % 12, 5), "hours of Sam Reed last month" if i < 60 else None) for i in range(64)], schemas.QUESTIONS)
+    found = {r.question_id: r for r in E.find_mentions(log, dictionary).collect()}
+    assert read == [2] and len(found) == 64
+    assert {found[i].skeleton for i in range(60)} == {"hours of {employee_0} {time_period_0}"}
+    assert [found[i].entities[1].normalized for i in (0, 1, 14)] == ["December 2023", "January 2024", "February 2024"]
+    assert all(found[i].skeleton is None and found[i].entities == [] for i in range(60, 64))
