@@ -105,6 +105,31 @@ def test_words_bound_the_texts_that_are_compared(spark):
     assert open_.count() < 0.1 * asked.count() and pairs.count() < met / 8
 
 
+def test_pairs_by_words_go_by_numbers_and_lose_none(spark):
+    """Candidates of a keyword score: narrow rows of numbers, every pair that can reach the floor, few others."""
+    made = texts(150, 6)
+    asked = spark.createDataFrame([(t, i) for i, t in enumerate(sorted({*texts(60, 7), *(f"{t} now" for t in made[:80])}))],
+                                  "skeleton STRING, skeleton_id BIGINT")
+    templates = template_rows(spark, made)
+    pairs, open_ = M.bounded_pairs(asked, templates, 0.595)
+    assert open_.isEmpty()
+    got = {(r.skeleton, r.template_id) for r in pairs.collect()}
+    every = M._with_text_scores(M.word_pairs(asked, templates)).collect()
+    assert {(r.skeleton, r.template_id) for r in every if r.score >= 0.595} <= got and len(got) < len(every) / 8
+    sides = [df.select(F.col(key).alias("key"), *(c.alias(n) for n, c in M._keyword_sets(F.col(text), other).items()))
+             for df, key, text, other in ((asked, "skeleton_id", "skeleton", False), (templates, "template_id", "template_query", True))]
+    found = setjoin.scored_candidates(*sides, 0.4, 0.2, M._text_bound, 0.4, 0.195)
+    assert {t for _, t in found.dtypes} == {"bigint"} and len(got) <= found.count() < len(every) / 4
+
+
+def test_texts_that_cannot_reach_the_floor_are_not_compared(spark):
+    rows = [(a, b, least) for a in ("alpha beta", "ahpla", "", "Zeta") for b in ("beta alpha", "zeta", "qqq", "") for least in (0.1, 0.9, 1.5)]
+    df = spark.createDataFrame(rows, "a STRING, b STRING, least DOUBLE")
+    both = df.select("least", S.text_similarity("a", "b").alias("x"), S.text_similarity("a", "b", F.col("least")).alias("y")).collect()
+    assert all(r.y == r.x or (r.y.lcs is None and r.x.lcs + r.x.jaro < r.least) for r in both)
+    assert sum(r.y.lcs is None for r in both) > 10
+
+
 def vectors(n, seed, key):
     """Unit vectors over a vocabulary with frequent terms."""
     rng = random.Random(seed)
