@@ -155,6 +155,8 @@ def alias_search(aliases: DataFrame, term: str, entity_type: str | None = None)
 
 #: Characters of the pieces by which contained texts are looked up; shorter texts are looked up as they are.
 GRAM = 3
+#: Places of a text from which its rarest piece is taken.
+PLACES = 1 << 20
 
 
 def _grams(text: Column, size: Column) -> Column:
@@ -171,20 +173,28 @@ def containing_pairs(
 
     A needle is looked up by one piece of GRAM characters only, the one that
     the fewest texts have, and compared with these; one that has a piece no
-    text has is dropped at once. A text of n characters gives up to 3 n
+    text has meets nothing. A text of n characters gives up to 3 n
     pieces, whatever the needles are. Empty and null needles are in nothing.
     """
     size = F.least(F.length(needle), F.lit(GRAM))
-    asked = needles.select(*on, needle).where(F.length(needle) > 0).distinct()
+    number = lambda column: F.xxhash64(*on, column)
+    # Needles, texts and pieces go by hashes, so that a task holds narrow rows; what they meet is compared with the
+    # text itself, and whatever piece of a needle is looked up, its texts have it.
+    asked = needles.select(*on, needle).where(F.length(needle) > 0).distinct().withColumn("_n", number(needle))
     cut = F.explode(F.flatten(F.transform(F.array(*map(F.lit, range(1, GRAM + 1))), lambda n: _grams(F.col(text), n))))
-    index = texts.where(F.length(text) > 0).select(*on, F.xxhash64(text).alias("_h"), cut.alias("_gram")).distinct()
-    held = index.groupBy(*on, "_gram").agg(F.count("*").alias("_df"))
-    pieces = asked.withColumn("_gram", F.explode(_grams(F.col(needle), size))).join(held, [*on, "_gram"], "left")
-    rare = pieces.groupBy(*on, needle).agg(
-        F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "_gram")).alias("_r")).where("_r.df > 0").select(
-        *on, needle, F.col("_r._gram").alias("_gram"))
-    # Pieces carry a hash of their text; what they meet is compared with the text itself.
-    met = rare.join(index, [*on, "_gram"]).select(*on, needle, "_h").distinct()
+    # Texts are made distinct, not their many pieces, which would fill a task's memory; a text's pieces are distinct.
+    distinct = texts.where(F.length(text) > 0).select(*on, text).distinct()
+    index = distinct.select(*on, F.xxhash64(text).alias("_h"), cut.alias("_gram")).select(number("_gram").alias("_g"), "_h")
+    held = index.groupBy("_g").agg(F.count("*").alias("_df"))
+    # The rarest piece as one number, its count and place: a minimum that is hashed by needle, not a sort of all pieces.
+    own = F.slice(_grams(F.col(needle), size), 1, PLACES)
+    pieces = asked.select(*on, "_n", F.posexplode(own).alias("_at", "_gram")).select("_n", "_at", number("_gram").alias("_g"))
+    rarest = pieces.join(held, "_g", "left").groupBy("_n").agg(
+        F.min(F.coalesce("_df", F.lit(0)) * PLACES + F.col("_at")).alias("_r"))
+    place = (F.col("_r") % PLACES).cast("int")
+    rare = asked.join(rarest, "_n").withColumn("_gram", F.coalesce(F.get(own, place), F.get(own, F.lit(0)))).select(
+        *on, needle, number("_gram").alias("_g"))
+    met = rare.join(index, "_g").select(*on, needle, "_h").distinct()
     found = texts.withColumn("_h", F.xxhash64(text)).join(met, [*on, "_h"]).where(
         F.contains(text, F.col(needle)) & (F.length(needle) >= F.length(text) * F.lit(min_ratio) - F.lit(1e-9)))
     return needles.join(found.drop("_h").distinct(), [*on, needle])

@@ -197,3 +197,14 @@ def test_a_long_name_costs_its_length(spark):
     right = spark.createDataFrame([(long[50:80],), (f"x{long}y",), ("q",)], "r STRING")
     got = N.containment_pairs(left, "l", right, "r", [])
     assert {(len(r.l), len(r.r)) for r in got.collect()} == {(10_000, 30), (50, 30), (10_000, 10_002), (50, 10_002)}
+
+
+def test_pieces_are_neither_sorted_nor_gathered(spark):
+    """One task's memory holds needles or texts, not all their pieces: no sort by needle, no hash of every piece of a text."""
+    needles = spark.createDataFrame([("alpha",), ("beta",)], "n STRING")
+    texts = spark.createDataFrame([("alphabet",), ("alphabet",), ("abet a beta",)], "text STRING")
+    found = N.containing_pairs(needles, "n", texts, "text", [])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    assert not [line for line in plan.splitlines() if "Aggregate(keys=[_" in line and "_gram" in line]
+    assert rows(found, "n", "text") == [("alpha", "alphabet"), ("beta", "abet a beta")]
