@@ -22,16 +22,21 @@ from hourlens.llm.shared import written
 
 @dataclass(frozen=True)
 class Settings:
-    """Nearest wanted, width of the error bound in deviations, bits of a query's coordinates, rows per block."""
+    """Nearest wanted, width of the error bound in deviations, bits of a query's coordinates, rows per block, queries held at once."""
 
     k: int = 20
     width: float = 3.0
     query_bits: int = 6
     block: int = 8192
     queries: int = 2048
+    asked: int = 65536
     seed: int = 7
 
 
+#: No rows of (query_id, vec_id, score).
+NOTHING = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
 @lru_cache(maxsize=4)
 def rotation(dims: int, seed: int) -> np.ndarray:
     """A random rotation, the same everywhere, made once by each worker."""
@@ -96,7 +101,17 @@ def search(ids: np.ndarray, vectors: np.ndarray, words: np.ndarray, scale: np.nd
         exact = (vectors[likely] * queries[i]).sum(axis=1)
         best = np.lexsort((ids[likely], -exact))[:s.k]
         found.append((np.full(len(best), query_ids[i]), ids[likely][best], exact[best]))
-    return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+    return [np.concatenate(x) for x in zip(*found)] if found else list(NOTHING)
+
+
+def best_of(found: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The first k rows of each query of (query_id, vec_id, score) arrays, by score and then vec_id."""
+    query_ids, ids, scores = found
+    order = np.lexsort((ids, -scores, query_ids))
+    own = query_ids[order]
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    rank = np.arange(len(own)) - np.repeat(starts, np.diff(np.r_[starts, len(own)]))
+    return [x[order[rank < k]] for x in found]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -150,9 +165,12 @@ def nearest(vectors: DataFrame, every: int = 20, settings: Settings = Settings()
 
     Nearest is the largest inner product of the original vectors in double
     precision, ties to the smaller vec_id; all candidates where there are
-    fewer than k. Every vector is coded. Blocks of queries meet blocks of
-    vectors of the same length in the cells of a grid, each cell a key of its
-    own; a cell gives at most k rows a query, of which the best are kept.
+    fewer than k. Every vector is coded. Blocks of vectors lie in groups, at
+    most as many as there are shuffle partitions, and are shuffled once; only
+    blocks of queries, of the same length, go to every group. A group gives at
+    most k rows a query, of which the best are kept. Beyond ``settings.asked``
+    queries the groups are made again for the next ones, so what a worker holds
+    is bounded. Grouped, not joined: nothing that is repeated can be broadcast.
     Null, zero and not finite vectors take no part; rows with one vec_id are
     one vector; vectors of different lengths are not compared; an empty table
     gives no rows.
@@ -161,29 +179,33 @@ def nearest(vectors: DataFrame, every: int = 20, settings: Settings = Settings()
     number = _number(rows)
     data = written(_blocks(rows, settings.block, settings.seed), "blocks")
     asked = written(_blocks(rows.where(F.col("vec_id") % every == 0), settings.queries, None), "queries")
-    # Places of the grid by hashes of the blocks' ids, as many as there are blocks.
-    high, wide = max(1, data.count()), max(1, asked.count())
-    data = data.withColumn("x", F.pmod(F.xxhash64("ids"), F.lit(high))).withColumn(
-        "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(wide - 1).cast("long"))))
-    asked = asked.select("dims", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"),
-                         F.pmod(F.xxhash64("ids"), F.lit(wide)).alias("y")).withColumn(
-        "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(high - 1).cast("long"))))
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                dims = row["dims"]
-                found = search(
-                    np.frombuffer(row["ids"], "<i8"),
-                    np.frombuffer(row["vectors"], number).reshape(-1, dims).astype(np.float64),
-                    np.frombuffer(row["words"], "<u8").reshape(-1, -(-dims // 64)), np.frombuffer(row["scale"]),
-                    np.frombuffer(row["off"]), np.frombuffer(row["query_ids"], "<i8"),
-                    np.frombuffer(row["queries"], number).reshape(-1, dims).astype(np.float64),
-                    rotation(dims, settings.seed), settings)
-                yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], ["query_id", "vec_id", "score"])
-
-    found = data.join(asked, ["x", "y", "dims"]).mapInArrow(run, "query_id long, vec_id long, score double")
+    count = rows.where(F.col("vec_id") % every == 0).count()
+    groups = max(1, min(data.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rounds = max(1, -(-count // settings.asked))
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    data = data.withColumn("x", place(groups)).withColumn("y", every_of(rounds))
+    asked = asked.withColumn("y", place(rounds)).withColumn("x", every_of(groups))
+
+    def run(key, data: pa.Table, asked: pa.Table) -> pa.Table:
+        dims, found = key[0].as_py(), []
+        turn = rotation(dims, settings.seed)
+        for i in range(asked.num_rows):
+            query_ids, queries = (asked.column(c)[i].as_py() for c in ("ids", "vectors"))
+            query_ids = np.frombuffer(query_ids, "<i8")
+            queries = np.frombuffer(queries, number).reshape(-1, dims).astype(np.float64)
+            kept = list(NOTHING)
+            for j in range(data.num_rows):
+                ids, vectors, words, scale, off = (data.column(c)[j].as_py() for c in ("ids", "vectors", "words", "scale", "off"))
+                block = search(np.frombuffer(ids, "<i8"), np.frombuffer(vectors, number).reshape(-1, dims).astype(np.float64),
+                               np.frombuffer(words, "<u8").reshape(-1, -(-dims // 64)), np.frombuffer(scale), np.frombuffer(off),
+                               query_ids, queries, turn, settings)
+                kept = best_of([np.concatenate(p) for p in zip(kept, block)], settings.k)
+            found.append(kept)
+        return pa.table([np.concatenate(p) for p in zip(*found)] if found else list(NOTHING), ["query_id", "vec_id", "score"])
+
+    on = ["dims", "x", "y"]
+    found = data.groupBy(*on).cogroup(asked.groupBy(*on)).applyInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= settings.k).select(
         "query_id", "rank", "vec_id", "score")

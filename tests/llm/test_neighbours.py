@@ -81,3 +81,18 @@ def test_odd_rows(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [
         (0, 1, 1, 11.0), (0, 2, 2, 5.0), (0, 3, 5, 5.0)]
     assert nearest(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_what_is_repeated_is_never_broadcast(spark):
+    """Only queries go to every group; few bytes of them must not become a broadcast of all their copies, and rounds change nothing."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(400, 32))
+    docs = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], SCHEMA.replace("float", "double")).repartition(3)
+    settings = Settings(block=40, queries=4, k=5, width=6.0)
+    found = nearest(docs, 20, settings)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(map(tuple, found.collect()))
+    want = brute(np.arange(400), vectors, 20, 5)
+    assert [(q, r, i) for q, r, i, _ in rows] == [(q, r, i) for q in sorted(want) for r, (i, _) in enumerate(want[q], 1)]
+    again = nearest(docs, 20, Settings(block=40, queries=4, k=5, width=6.0, asked=6))
+    assert sorted(map(tuple, again.collect())) == rows
