@@ -209,3 +209,28 @@ def test_word_sets_alike_shuffle_no_text_with_a_word(spark):
         right = {r.template_id: left[r.template_query] for r in templates.collect()}
         want = {(a, b) for a, x in left.items() for b, y in right.items() if jaccard(x, y) >= 0.7}
         assert {(r.skeleton, r.template_id) for r in found.collect()} == want
+
+
+def test_pairs_with_one_shared_term_are_dropped_in_the_join(spark):
+    """60 vectors share a rare term but have other heavy ones: lengths of parts by groups of terms keep them apart."""
+    x, y = math.sqrt(0.3), math.sqrt(0.7)
+    rows = [(i, t, w) for i in range(60) for t, w in (("shared", x), (f"t{i // 6}", y))]
+    rows += [(100 + i, f"t{i // 61}", 1.0) for i in range(610)]
+    both = spark.createDataFrame(rows, "a long, term string, a_weight double")
+    right = both.toDF("b", "term", "b_weight")
+    found = ranked.candidates(both.where("a < 100"), ranked.index(right), F.lit(0.65)).where("b < 100").count()
+    assert 360 <= found < 1500
+    got = {(r.a, r.b) for r in ranked.alike(both.where("a < 100"), right, 0.65).where("b < 100").collect()}
+    assert got == {(a, b) for a in range(60) for b in range(60) if a // 6 == b // 6}
+
+
+def test_packed_vectors_equal_rows(spark):
+    """Words of a chunk meet the vocabulary once; null, empty and unknown texts have no vector."""
+    made = [None, "", "zzz qqq", "the of", *texts(60, 9)]
+    asked = spark.createDataFrame([((i << 20) + i, t) for i, t in enumerate(made)], "a long, skeleton string")
+    templates = spark.createDataFrame(list(enumerate(texts(80, 8))), "template_id long, template_query string")
+    vocabulary = M.tfidf_fit(templates, "template_id", "template_query").withColumn("number", F.xxhash64("term"))
+    known = vocabulary.select("term", "number", "idf", "df", F.lit(1.0).alias("highest"))
+    want = {(r.a, r.term): r.weight for r in M.tfidf_vectors(asked, "a", "skeleton", vocabulary, name="number").collect()}
+    rows = M.packed_vectors(asked, "a", "skeleton", known).select("a", "norm", F.inline("entries")).collect()
+    assert len(rows) == len(want) > 0 and {(r.a, r.term): r.raw / r.norm for r in rows} == {k: pytest.approx(v) for k, v in want.items()}
